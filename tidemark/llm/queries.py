@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, mixing, packing, quality, rules, simhash
+from . import extraction, mixing, neighbours, packing, quality, rules, simhash, toxicity
 from .base import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return near.select("query_id", "rank", "vec_id", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,6 +64,8 @@ QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
