@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import written
@@ -98,7 +98,6 @@ def _stars(n_bits: int):
         return (np.concatenate(a), np.concatenate(b)) if a else (run[:0], run[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[np.ndarray, np.ndarray] | None = None
         last: tuple[np.ndarray, np.ndarray] | None = None
 
         def out(g: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -126,7 +125,6 @@ def _stars(n_bits: int):
             last = g[cut:].copy(), fp[cut:].copy()
         if last is not None and len(last[0]):
             yield out(*last)
-        del kept
 
     return run
 
@@ -137,16 +135,16 @@ def links(distinct: DataFrame, n_bits: int = 3, hot: int = 2048) -> DataFrame:
     Inside a key's fingerprints only a spanning forest of the links is given: at most one edge per fingerprint and key,
     never all pairs. Keys of over `hot` fingerprints are refined before any comparison; nothing is dropped.
     """
-    parts = [[(0, 32), (32, 32)], None, None]
-    keyed = distinct.select("fp", F.explode(_variants(F.col("fp"), parts[0])).alias("v")).select("fp", F.xxhash64("v.slot", "v.key").alias("g"), "v.slot")
-    sizes = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = written(sizes, "simhash-keys")
-    shared = keyed.join(sizes, "g")
+    keyed = distinct.select("fp", F.explode(_variants(F.col("fp"), [(0, 32), (32, 32)])).alias("v"))
+    half = F.when(F.col("v.slot") >= 64, 1).otherwise(0).cast("long")  # the key's half, in its lowest bit
+    keyed = keyed.select("fp", F.xxhash64("v.slot", "v.key").bitwiseAND(F.lit(-2)).bitwiseOR(half).alias("g"))
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("n > 1")
+    shared = written(shared, "simhash-keys")  # the one shuffle of all variants; few keys are shared
     found = [_paired(shared.where(F.col("n") <= hot), n_bits)]
-    if sizes.where(F.col("n") > hot).limit(1).count():
+    if shared.where(F.col("n") > hot).limit(1).count():
         # the half that is not the key's, cut into 16 + 16 and then the 16 that is not into 8 + 8
-        for half, slots in ((0, F.col("slot") >= 64), (32, F.col("slot") < 64)):
-            deep = shared.where((F.col("n") > hot) & slots)
+        for half, mine in ((0, 1), (32, 0)):
+            deep = shared.where((F.col("n") > hot) & (F.col("g").bitwiseAND(F.lit(1)) == mine))
             for sixteen, other in ((half, half + 16), (half + 16, half)):
                 first = F.array(*[F.struct(F.lit(100 + i).alias("slot"), k.alias("key")) for i, k in enumerate(_wiped(F.col("fp"), sixteen, 16))])
                 second = _variants(F.col("fp"), [(other, 8), (other + 8, 8)])
