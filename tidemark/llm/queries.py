@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, mixing, neighbours, packing, quality, rules, simhash, toxicity
+from . import extraction, language, mixing, neighbours, packing, quality, rules, simhash, toxicity
 from .base import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
     return near.select("query_id", "rank", "vec_id", "score")
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op4_language_id": op4_language_id,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
