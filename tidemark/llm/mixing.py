@@ -120,8 +120,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     Null texts have size 0 and get no copies; null sources are one source, ranked last; repeated rows are documents of
     their own; an empty table gives no rows. Other columns are not read. uid is the row's place in the scan of docs.
     """
-    sized = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    uid = F.col("__uid") if "__uid" in docs.columns else F.monotonically_increasing_id()
+    sized = docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     sized = written(sized, "mix-sizes")
     targets = source_targets(sized.select("source", "size"), weights, share, most).withColumnRenamed("source", "of_source")
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     return pivotal_copies(rows, seed, fan)
+
+
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it (not at all, once or more), all columns kept."""
+    base = written(docs.withColumn("__uid", F.monotonically_increasing_id()), "mix-docs")  # one numbering for both uses
+    copies = mix(base, **how).where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies"))
+    taken = base.join(copies, "__uid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return taken.select(*docs.columns)

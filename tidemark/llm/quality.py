@@ -155,3 +155,20 @@ def score(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id
     """
     schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["score double"])
     return docs.select(*[F.col(k) for k in keep], F.col("text").cast("string").alias("__text")).mapInArrow(_scorer(net), schema)
+
+
+def _keeper(net: Network | None, threshold: float, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if net is None:
+                yield batch
+                continue
+            x = np.array([features(t.as_py()) for t in batch.column(text_at)], float).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(net.scores(x) >= threshold))
+
+    return run
+
+
+def keep_good(docs: DataFrame, net: Network | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores at least `threshold`, all columns kept, no shuffle; without a network all rows."""
+    return docs.mapInArrow(_keeper(net, threshold, docs.columns.index("text")), docs.schema)

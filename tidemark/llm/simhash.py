@@ -11,6 +11,7 @@ the other half, cut in two and then in two again, so that what is left under one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +26,12 @@ from .components import components
 _BITS = np.array([[(b >> (7 - i)) & 1 for i in range(8)] for b in range(256)], np.int32)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles, repeats included; 0 without words.
-
-    Words: ASCII white space apart, A-Z lower-cased. Hash: XXH64 of the shingle's UTF-8 with seed 42. A bit is 1 if set in
-    over half of the hashes.
-    """
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle's UTF-8, repeats included; one of the whole sequence if it is shorter."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z changes, only ASCII space splits
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     line, h = b" ".join(words), xxhash.xxh64_digest
     if n <= width:
         hashes = [h(line, 42)]
@@ -42,7 +39,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         at = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
         starts = [0, *at[: n - width].tolist()]
         hashes = [h(line[s:e], 42) for s, e in zip(starts, (at[width - 1 :] - 1).tolist())]
-    grid = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles, repeats included; 0 without words.
+
+    Words: ASCII white space apart, A-Z lower-cased. Hash: XXH64 of the shingle's UTF-8 with seed 42. A bit is 1 if set in
+    over half of the hashes.
+    """
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0
+    grid = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(grid[:, i], minlength=256) @ _BITS for i in range(8)])
     return int.from_bytes(np.packbits(ones * 2 > len(grid)).tobytes(), "big")
 
@@ -76,11 +85,10 @@ def _variants(fp: Column, parts: list[tuple[int, int]]) -> Column:
 
 def _stars(n_bits: int):
     """Edges inside runs of equal keys: every fingerprint to one earlier linked one, enough to join what is linked."""
-    _COUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+    _COUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.int16)
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x = a ^ b
-        return sum(_COUNT[(x >> np.uint64(16 * i)) & np.uint64(0xFFFF)].astype(np.int8) for i in range(4)) <= n_bits
+        return sum(_COUNT[part] for part in (a ^ b).view(np.uint16).reshape(-1, 4).T) <= n_bits
 
     def forest(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A spanning forest of the links within run (distinct fingerprints), breadth first; no pair list is kept."""
@@ -88,11 +96,11 @@ def _stars(n_bits: int):
         while len(left):
             front, left = left[:1], left[1:]
             while len(front) and len(left):
-                x, front = front[0], front[1:]
+                x, front = front[:1], front[1:]
                 hit = near(left, x)
                 if hit.any():
                     new = left[hit]
-                    a.append(np.full(len(new), x))
+                    a.append(np.repeat(x, len(new), axis=0))
                     b.append(new)
                     front, left = np.concatenate([front, new]), left[~hit]
         return (np.concatenate(a), np.concatenate(b)) if a else (run[:0], run[:0])
@@ -162,6 +170,132 @@ def _paired(rows: DataFrame, n_bits: int) -> DataFrame:
     return rows.select("g", "fp").repartition("g").sortWithinPartitions("g").mapInArrow(_stars(n_bits), "a bigint, b bigint")
 
 
+# Similar texts, beyond copies: the same index over longer fingerprints.
+
+WORDS, SEGMENT = 4, 24  # 256 bits; segments of 24 bits, cut from them one after the other
+
+
+def long_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """256-bit SimHash of a text's word shingles, from one 64-bit hash per shingle mixed four ways; zeros without words."""
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return bytes(8 * WORDS)
+    bits = []
+    for k in range(WORDS):
+        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        grid = (h ^ (h >> np.uint64(29))).view(np.uint8).reshape(-1, 8)
+        ones = np.concatenate([np.bincount(grid[:, i], minlength=256) @ _BITS for i in range(8)])
+        bits.append(np.packbits(ones * 2 > len(grid)))
+    return np.concatenate(bits).tobytes()
+
+
+def _long(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.num_columns - 1
+            fp = np.frombuffer(b"".join(long_fingerprint(t.as_py(), width) for t in batch.column(k)), ">i8").astype(np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *(pa.array(fp[:, i]) for i in range(WORDS))], names=[*batch.schema.names[:k], *(f"w{i}" for i in range(WORDS))])
+
+    return run
+
+
+def _linked(n_bits: int):
+    """Runs of equal g (g, node, w0..): edges (a, b) of nodes, a spanning forest of the pairs within n_bits."""
+    count = np.array([bin(i).count("1") for i in range(1 << 16)], np.int16)
+
+    def forest(node: np.ndarray, w: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        a, b = [], []
+        left = np.arange(len(node))
+        while len(left) > 1:
+            front, left = left[:1], left[1:]
+            while len(front) and len(left):
+                x, front = front[0], front[1:]
+                far = sum(count[p] for p in (w[left] ^ w[x]).view(np.uint16).reshape(-1, 4 * WORDS).T)
+                hit = far <= n_bits
+                if hit.any():
+                    new = left[hit]
+                    a.append(np.full(len(new), node[x]))
+                    b.append(node[new])
+                    front, left = np.concatenate([front, new]), left[~hit]
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: np.ndarray | None = None
+
+        def out(m: np.ndarray) -> pa.RecordBatch:
+            g, node, w = m[:, 0], m[:, 1], np.ascontiguousarray(m[:, 2:])
+            edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+            sizes = np.diff(edge)
+            i = edge[:-1][sizes == 2]
+            ok = sum(count[p] for p in (w[i] ^ w[i + 1]).view(np.uint16).reshape(-1, 4 * WORDS).T) <= n_bits if len(i) else np.zeros(0, bool)
+            a, b = [node[i][ok]], [node[i + 1][ok]]
+            for s, n in zip(edge[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                x, y = forest(node[s : s + n], w[s : s + n])
+                a += x
+                b += y
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+        for batch in batches:
+            m = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            m = m if held is None else np.concatenate([held, m])
+            if not len(m):
+                continue
+            cut = len(m) - int(np.argmax(m[::-1, 0] != m[-1, 0])) if (m[:, 0] != m[-1, 0]).any() else 0
+            if cut:
+                yield out(m[:cut])
+            held = m[cut:].copy()
+        if held is not None and len(held):
+            yield out(held)
+
+    return run
+
+
+def similar_groups(prints: DataFrame, n_bits: int, hot: int = 20_000) -> DataFrame:
+    """(node, root) of fingerprints (node, w0..w3, distinct) that chains of pairs within n_bits of 256 join.
+
+    Index keys are one-wildcard variants of 24-bit segments: a pair is found if in any of the ten segments it differs in at
+    most one bit (at 10 % of the bits 97 of 100 pairs, at 15 % 67; chains of group members add to that). A key with over
+    `hot` fingerprints is refined by the values of the other segments before fingerprints are compared.
+    """
+    n_segments = 64 * WORDS // SEGMENT
+    bits = lambda low: (F.shiftrightunsigned(F.col(f"w{low // 64}"), low % 64) if low % 64 <= 64 - SEGMENT else F.shiftrightunsigned(F.col(f"w{low // 64}"), low % 64).bitwiseOR(F.shiftleft(F.col(f"w{low // 64 + 1}"), 64 - low % 64))).bitwiseAND(F.lit((1 << SEGMENT) - 1).cast("long"))
+    values = [bits(SEGMENT * k) for k in range(n_segments)]
+    keys = F.array(*[v.bitwiseOR(F.lit(1 << i).cast("long")) + F.lit((SEGMENT * k + i) << SEGMENT).cast("long") for k, v in enumerate(values) for i in range(SEGMENT)])
+    keyed = prints.select("node", F.explode(keys).alias("g"))
+    shared = written(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("n > 1"), "similar-keys")
+    words = [f"w{i}" for i in range(WORDS)]
+    rows = shared.join(prints, "node")
+    pairs = lambda some: some.select("g", "node", *words).repartition("g").sortWithinPartitions("g").mapInArrow(_linked(n_bits), "a bigint, b bigint")
+    edges = pairs(rows.where(F.col("n") <= hot))
+    if shared.where(F.col("n") > hot).limit(1).count():
+        finer = F.array(*[F.xxhash64("g", F.lit(k), v) for k, v in enumerate(values)])
+        edges = edges.unionAll(pairs(rows.where(F.col("n") > hot).withColumn("g", F.explode(finer))))
+    return components(edges.distinct())
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group the row with the smallest doc_id stays, whole.
+
+    Rows are alike at an estimated Jaccard similarity of word shingles of `similarity` or more: in 256-bit fingerprints, at
+    most the share of bits that the angle between such texts turns, and one standard deviation. Null, empty and word-less
+    texts are alike. Null doc_ids come last; among rows with the same doc_id the first read stays. An empty table stays
+    empty; all columns of docs are kept.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    turned = math.acos(cosine) / math.pi
+    n_bits = round(64 * WORDS * turned + math.sqrt(64 * WORDS * turned * (1 - turned)))
+    base = written(docs.withColumn("__uid", F.monotonically_increasing_id()), "similar-docs")  # one numbering for all uses
+    words = [f"w{i}" for i in range(WORDS)]
+    prints = base.select("__uid", "doc_id", F.col("text").cast("string").alias("__text")).mapInArrow(_long(width), f"__uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{w} bigint" for w in words))
+    prints = written(prints.withColumn("node", F.xxhash64(*words)), "similar-prints")
+    distinct = written(prints.groupBy("node", *words).agg(F.count(F.lit(1)).alias("times")).drop("times"), "similar-distinct")
+    roots = similar_groups(distinct, n_bits)
+    grouped = prints.join(roots, "node", "left").select(F.coalesce("root", "node").alias("g"), "doc_id", "__uid")
+    first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("m")).select(F.col("m.__uid").alias("__uid"))
+    return base.join(first, "__uid", "left_semi").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, n_bits: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links of at most n_bits bits reach.
 
