@@ -1,6 +1,6 @@
 """Registered queries with their DuckDB counterparts."""
 
-from . import scalars
+from . import scalars, temporal
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "scalars", "temporal"]
