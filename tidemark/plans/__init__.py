@@ -1,6 +1,6 @@
 """Registered queries with their DuckDB counterparts."""
 
-from . import scalars, temporal
+from . import analysis, scalars, temporal
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "scalars", "temporal"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "scalars", "temporal"]
