@@ -9,7 +9,7 @@ from ..functions import market, text
 from ..operators import evaluation as ev
 from ..operators import identity, windows
 from .base import FX, fixtures, query, r6, sides, table
-from .scalars import NOVIG, O, SETTLE, settled
+from .scalars import NOVIG, SETTLE, odds, settled
 
 
 def _bets(spark, sf):
@@ -217,7 +217,7 @@ Y = "CASE WHEN hg>ag THEN 0 WHEN hg=ag THEN 1 ELSE 2 END"
 
 
 def _scored(spark, sf):
-    h, d, a = market.novig(O)
+    h, d, a = market.novig(odds())
     return fixtures(spark, sf).select("*", h.alias("ph"), d.alias("pd"), a.alias("pa"), F.expr(Y).alias("y"))
 
 

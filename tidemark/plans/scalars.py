@@ -8,15 +8,24 @@ from ..functions import dates, market, text
 from ..operators import windows
 from .base import FX, fixtures, query, r6, table
 
-O = [F.col("odds_h"), F.col("odds_d"), F.col("odds_a")]  # noqa: E741
+
+
+def odds():
+    return [F.col("odds_h"), F.col("odds_d"), F.col("odds_a")]
+
+
+def margin():
+    return F.col("hg") - F.col("ag")
+
+
 NOVIG = f"""{FX}, nv AS (SELECT *, 1/odds_h AS ih, 1/odds_d AS id, 1/odds_a AS ia, 1/odds_h+1/odds_d+1/odds_a AS tot FROM fx),
 p AS (SELECT *, ih/tot AS ph, id/tot AS pd, ia/tot AS pa FROM nv)"""
 
 
 @query(f"WITH {NOVIG} SELECT match_id, round(ph,6) AS p_home, round(pd,6) AS p_draw, round(pa,6) AS p_away, round(tot-1,6) AS overround FROM p")
 def novig_1x2(spark, sf):
-    h, d, a = market.novig(O)
-    return fixtures(spark, sf).select("match_id", r6(h).alias("p_home"), r6(d).alias("p_draw"), r6(a).alias("p_away"), r6(market.overround(O)).alias("overround"))
+    h, d, a = market.novig(odds())
+    return fixtures(spark, sf).select("match_id", r6(h).alias("p_home"), r6(d).alias("p_draw"), r6(a).alias("p_away"), r6(market.overround(odds())).alias("overround"))
 
 
 @query(
@@ -25,13 +34,13 @@ t AS (SELECT *, coalesce(ih,0)+id+ia AS tot FROM x)
 SELECT match_id, round(ih/tot,6) AS p_home, round(id/tot,6) AS p_draw, round(ia/tot,6) AS p_away FROM t"""
 )
 def novig_skipna(spark, sf):
-    legs = [F.when(F.col("odds_h") >= 2, F.col("odds_h")), O[1], O[2]]
+    legs = [F.when(F.col("odds_h") >= 2, F.col("odds_h")), *odds()[1:]]
     return fixtures(spark, sf).select("match_id", *[r6(p).alias(n) for p, n in zip(market.novig_skipping(legs), ("p_home", "p_draw", "p_away"))])
 
 
 @query(f"WITH {NOVIG} SELECT league, count(*) AS n, round(avg(tot-1),6) AS mean_overround, round(min(tot-1),6) AS min_overround, round(max(tot-1),6) AS max_overround FROM p GROUP BY league")
 def overround_by_league(spark, sf):
-    o = market.overround(O)
+    o = market.overround(odds())
     return fixtures(spark, sf).groupBy("league").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(o)).alias("mean_overround"), r6(F.min(o)).alias("min_overround"), r6(F.max(o)).alias("max_overround"))
 
 
@@ -40,7 +49,7 @@ def overround_by_league(spark, sf):
 round(ph-pa,6) AS home_away_gap, round(ln(pa/(1-pa)),6) AS away_logit FROM p"""
 )
 def market_entropy(spark, sf):
-    p = market.novig(O)
+    p = market.novig(odds())
     return fixtures(spark, sf).select("match_id", r6(market.entropy(p)).alias("entropy"), r6(F.greatest(*p)).alias("top_probability"), r6(p[0] - p[2]).alias("home_away_gap"), r6(market.logit(p[2])).alias("away_logit"))
 
 
@@ -53,7 +62,7 @@ SELECT match_id, round(model,6) AS model, round(model-pa,6) AS edge, round(model
 round(CASE WHEN ag>hg THEN odds_a-1 ELSE -1 END,6) AS profit FROM m WHERE model-pa >= 0.02 AND odds_a >= 1.5 AND odds_a <= 5"""
 )
 def ev_edge_rules(spark, sf):
-    fx = fixtures(spark, sf).withColumn("pa", market.novig(O)[2]).withColumn("model", F.col("pa") + F.expr(MODEL)).withColumn("edge", F.col("model") - F.col("pa"))
+    fx = fixtures(spark, sf).withColumn("pa", market.novig(odds())[2]).withColumn("model", F.col("pa") + F.expr(MODEL)).withColumn("edge", F.col("model") - F.col("pa"))
     fx = fx.where("edge >= 0.02 AND odds_a >= 1.5 AND odds_a <= 5")
     return fx.select("match_id", r6("model").alias("model"), r6("edge").alias("edge"), r6(market.ev(F.col("model"), F.col("odds_a"))).alias("ev"), F.round(market.fair_odds(F.col("model")), 4).alias("min_odds"), r6(market.settle_1x2(F.col("ag") > F.col("hg"), F.col("odds_a"))).alias("profit"))
 
@@ -62,16 +71,15 @@ SETTLE = f"""{FX}, q AS (SELECT *, CASE WHEN (CAST(round(ah_line*4) AS BIGINT)%2
  CASE WHEN (CAST(round(ah_line*4) AS BIGINT)%2+2)%2=1 THEN ceil(ah_line*2)/2 ELSE ah_line END AS l2 FROM fx),
 h AS (SELECT *, CASE WHEN hg-ag+l1>0 THEN odds_h-1 WHEN hg-ag+l1<0 THEN -1.0 ELSE 0 END AS a, CASE WHEN hg-ag+l2>0 THEN odds_h-1 WHEN hg-ag+l2<0 THEN -1.0 ELSE 0 END AS b FROM q),
 s AS (SELECT *, (a+b)/2 AS profit, CASE WHEN a>0 AND b>0 THEN 'full_win' WHEN a<0 AND b<0 THEN 'full_loss' WHEN a=0 AND b=0 THEN 'push' WHEN a>0 OR b>0 THEN 'half_win' ELSE 'half_loss' END AS label FROM h)"""
-MARGIN = F.col("hg") - F.col("ag")
 
 
 def settled(fx):
-    return fx.withColumn("profit", market.handicap_profit(MARGIN, F.col("ah_line"), F.col("odds_h"))).withColumn("label", market.handicap_label(MARGIN, F.col("ah_line"), F.col("odds_h")))
+    return fx.withColumn("profit", market.handicap_profit(margin(), F.col("ah_line"), F.col("odds_h"))).withColumn("label", market.handicap_label(margin(), F.col("ah_line"), F.col("odds_h")))
 
 
 @query(f"WITH {SETTLE} SELECT match_id, ah_line, label, 'SETTLED_' || upper(label) AS status, round(profit,6) AS profit FROM s")
 def ah_settlement_labels(spark, sf):
-    status = market.settled_status(MARGIN, F.col("ah_line"), F.col("odds_h"))
+    status = market.settled_status(margin(), F.col("ah_line"), F.col("odds_h"))
     return settled(fixtures(spark, sf)).select("match_id", "ah_line", "label", status.alias("status"), r6("profit").alias("profit"))
 
 
@@ -107,7 +115,7 @@ def clv_shift(spark, sf):
 SELECT match_id, round((x+y-z)/2,6) AS dc_home, round((x+z-y)/2,6) AS dc_draw, round((y+z-x)/2,6) AS dc_away, round((x+y-z)/2-ph,6) AS margin_diff, (x+y-z<0 OR x+z-y<0 OR y+z-x<0) AS invalid FROM n"""
 )
 def double_chance(spark, sf):
-    p = market.novig(O)
+    p = market.novig(odds())
     h, d, a = market.double_chance(p[0] + p[1], p[0] + p[2], p[1] + p[2])
     return fixtures(spark, sf).select("match_id", r6(h).alias("dc_home"), r6(d).alias("dc_draw"), r6(a).alias("dc_away"), r6(h - p[0]).alias("margin_diff"), ((h < 0) | (d < 0) | (a < 0)).alias("invalid"))
 
@@ -187,7 +195,7 @@ l AS (SELECT match_id, exp((0.7*ln(ph)+0.3*ln(mh))/1.2) AS a, exp((0.7*ln(pd)+0.
 SELECT match_id, round(a/(a+b+c),6) AS b_home, round(b/(a+b+c),6) AS b_draw, round(c/(a+b+c),6) AS b_away FROM l"""
 )
 def blend_temperature(spark, sf):
-    out = market.blend(market.novig(O), [F.lit(0.4), F.lit(0.3), F.lit(0.3)], F.lit(0.3), F.lit(1.2))
+    out = market.blend(market.novig(odds()), [F.lit(0.4), F.lit(0.3), F.lit(0.3)], F.lit(0.3), F.lit(1.2))
     return fixtures(spark, sf).select("match_id", *[r6(p).alias(n) for p, n in zip(out, ("b_home", "b_draw", "b_away"))])
 
 

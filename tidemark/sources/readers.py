@@ -124,7 +124,7 @@ ODDS = "array<struct<id:string,home_team:string,away_team:string,bookmakers:arra
 def spread_outcomes(df: DataFrame, payload: str) -> DataFrame:
     """Event, bookmaker and both sides of every spreads market that has both, from nested odds JSON."""
     e = df.select(F.explode(F.from_json(payload, ODDS)).alias("e")).select("e.*").withColumn("b", F.explode("bookmakers")).withColumn("m", F.explode("b.markets")).where("m.key = 'spreads'")
-    side = lambda team: F.filter("m.outcomes", lambda x: x["name"] == F.col(team))[0]
+    side = lambda team: F.get(F.filter("m.outcomes", lambda x: x["name"] == F.col(team)), F.lit(0))
     e = e.withColumn("h", side("home_team")).withColumn("a", side("away_team")).where("h IS NOT NULL AND a IS NOT NULL")
     return e.select("id", F.col("b.key").alias("bookmaker"), "home_team", "away_team", F.col("h.point").alias("home_line"), F.col("h.price").alias("home_odds"), F.col("a.point").alias("away_line"), F.col("a.price").alias("away_odds"))
 
