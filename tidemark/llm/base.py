@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +24,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_open: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("scratch", default=None)
+
+
+class Scratch:
+    """Tables written while it is open, to be removed at its end unless kept."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, SparkSession] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.pop(df._written, None)
+        return df
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Removes what was written inside, once nothing outside depends on it: keep() what the result still reads."""
+    own = Scratch()
+    token = _open.set(own)
+    try:
+        yield own
+    finally:
+        _open.reset(token)
+        for path, spark in own.paths.items():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
     A lost executor costs the recomputation of nothing before this point. Column types survive; row order does not.
     """
-    path = f"{shared_dir(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    if (now := _open.get()) is not None:
+        now.paths[path] = spark
+    return out
 
 
 def n_words(text: Column) -> Column:

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import n_words, written
+from .base import n_words, scratch, written
 
 UNIT = "struct<uid:bigint,doc_id:bigint,size:bigint,source_size:bigint,target:double,base:bigint,p:double>"
 
@@ -130,7 +130,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (not at all, once or more), all columns kept."""
-    base = written(docs.withColumn("__uid", F.monotonically_increasing_id()), "mix-docs")  # one numbering for both uses
-    copies = mix(base, **how).where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies"))
-    taken = base.join(copies, "__uid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    with scratch() as temp:
+        base = temp.keep(written(docs.withColumn("__uid", F.monotonically_increasing_id()), "mix-docs"))  # one numbering for both uses
+        copies = temp.keep(written(mix(base, **how).where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies")), "mix-copies"))
+    taken = base.join(copies.hint("merge"), "__uid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return taken.select(*docs.columns)

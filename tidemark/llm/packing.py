@@ -155,7 +155,7 @@ class WordEncoder:
     _PLAIN = regex.compile(f"[{_LETTERS}]+")
     _END = "</w>"
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 300_000):
         import tiktoken
         from tokenizers import Tokenizer
 

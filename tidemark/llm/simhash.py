@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import scratch, written
 from .components import components
 
 _BITS = np.array([[(b >> (7 - i)) & 1 for i in range(8)] for b in range(256)], np.int32)
@@ -285,15 +285,16 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     cosine = 2 * similarity / (1 + similarity)
     turned = math.acos(cosine) / math.pi
     n_bits = round(64 * WORDS * turned + math.sqrt(64 * WORDS * turned * (1 - turned)))
-    base = written(docs.withColumn("__uid", F.monotonically_increasing_id()), "similar-docs")  # one numbering for all uses
     words = [f"w{i}" for i in range(WORDS)]
-    prints = base.select("__uid", "doc_id", F.col("text").cast("string").alias("__text")).mapInArrow(_long(width), f"__uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{w} bigint" for w in words))
-    prints = written(prints.withColumn("node", F.xxhash64(*words)), "similar-prints")
-    distinct = written(prints.groupBy("node", *words).agg(F.count(F.lit(1)).alias("times")).drop("times"), "similar-distinct")
-    roots = similar_groups(distinct, n_bits)
-    grouped = prints.join(roots, "node", "left").select(F.coalesce("root", "node").alias("g"), "doc_id", "__uid")
-    first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("m")).select(F.col("m.__uid").alias("__uid"))
-    return base.join(first, "__uid", "left_semi").select(*docs.columns)
+    with scratch() as temp:
+        base = temp.keep(written(docs.withColumn("__uid", F.monotonically_increasing_id()), "similar-docs"))  # one numbering for all uses
+        prints = base.select("__uid", "doc_id", F.col("text").cast("string").alias("__text")).mapInArrow(_long(width), f"__uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{w} bigint" for w in words))
+        prints = written(prints.withColumn("node", F.xxhash64(*words)), "similar-prints")
+        distinct = written(prints.groupBy("node", *words).agg(F.count(F.lit(1)).alias("times")).drop("times"), "similar-distinct")
+        grouped = prints.join(similar_groups(distinct, n_bits), "node", "left").select(F.coalesce("root", "node").alias("g"), "doc_id", "__uid")
+        first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("m"))
+        first = temp.keep(written(first.select(F.col("m.__uid").alias("__uid")), "similar-first"))
+    return base.join(first.hint("merge"), "__uid", "left_semi").select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, n_bits: int = 3) -> DataFrame:
@@ -302,9 +303,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, n_bits: int = 3) -> DataFra
     Empty, null and word-less texts have fingerprint 0 and link like any other. Repeated rows stay. A null doc_id takes
     part; a component of null ids only has a null component_id. An empty table gives no rows. Other columns are not read.
     """
-    prints = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ("doc_id",), width), "simhash-fp")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = written(components(links(distinct.select("fp"), n_bits)), "simhash-roots")
+    with scratch() as temp:
+        prints = temp.keep(written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ("doc_id",), width), "simhash-fp"))
+        distinct = temp.keep(written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct"))
+        roots = temp.keep(written(components(links(distinct.select("fp"), n_bits)), "simhash-roots"))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = rooted.join(smallest, "root").select("fp", "component_id")

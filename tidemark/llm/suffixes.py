@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import scratch, written
 
 _LOW = np.uint64((1 << 24) - 1)
 _CHUNK = 1 << 18  # bytes of text hashed at a time; must stay below 2^24 with the longest text cut by _SLICE
@@ -146,7 +146,7 @@ def _contexts(length: int, hot: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, unpack = TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             rows = []
             for z, found in zip(batch.column(0), batch.column(1)):
                 raw = unpack.decompress(z.as_py())
@@ -263,6 +263,11 @@ def _merge(length: int, block: int = 4096):
 def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 80, hot: int = 20_000) -> DataFrame:
     """(th, nb, starts): of each distinct text with a repeat (named by its hash and bytes), the ranges [lo, hi) of starts
     of `length`-byte strings that also start elsewhere, in it or in any other row."""
+    with scratch() as temp:
+        return temp.keep(_repeated_ranges(docs, length, gram, hot))
+
+
+def _repeated_ranges(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     named = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("th"), F.octet_length("text").alias("nb"), "text").where(F.col("nb") >= length)
     found = written(named.mapInArrow(_anchor_rows(length, gram), "th bigint, nb int, pos int, own int, off int, seed bigint, ctx bigint"), "sfx-anchors")
     seeds = found.groupBy("seed").agg(F.count(F.lit(1)).alias("times"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("times > 1").select("seed", (F.col("c0") != F.col("c1")).alias("differ"))
@@ -277,7 +282,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 80, hot: int
 
     def with_text(some: DataFrame, hot_ones: bool, schema: str) -> DataFrame:
         per_text = some.select("at.th", "at.nb", F.struct("seed", "ctx", "n", "at.pos", "at.own", "at.off").alias("c")).groupBy("th", "nb").agg(F.collect_list("c").alias("found"))
-        return texts.join(per_text, ["th", "nb"]).select("z", "found").mapInArrow(_contexts(length, hot_ones), schema)
+        return texts.join(per_text.hint("merge"), ["th", "nb"]).select("z", "found").mapInArrow(_contexts(length, hot_ones), schema)
 
     calm = contexts.join(crowded, "seed", "left_anti") if any_crowded else contexts
     rows = with_text(calm, False, "seed bigint, ctx bigint, n bigint, off int, own int, bytes binary, shard int, place int")
@@ -354,6 +359,6 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length:
     rows = docs.select(*[F.col(k) for k in keep], F.xxhash64(text).alias("__th"), F.octet_length(text).alias("__nb"), text.alias("__t"))
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     small = rows.mapInArrow(_squeeze, f"{kinds}, __th bigint, __nb int, z binary")
-    joined = small.join(ranges.withColumnsRenamed({"th": "__th", "nb": "__nb"}), ["__th", "__nb"], "left").select(*keep, "z", "starts")
+    joined = small.join(ranges.withColumnsRenamed({"th": "__th", "nb": "__nb"}).hint("merge"), ["__th", "__nb"], "left").select(*keep, "z", "starts")
     out = "text string, removed array<struct<start:int,end:int>>" if rewrite else "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     return joined.mapInArrow(_apply(length, rewrite), f"{kinds}, {out}")

@@ -7,13 +7,15 @@ trained machine is folded into one weight per triple, which scores a string exac
 
 Only whole documents are labelled. The strings that make a document toxic are found by covering: of strings that clean
 documents lack, the one most toxic documents hold, then the one most of the rest hold, and so on. The machine learns
-these against strings of clean documents, then relearns with every candidate it agrees to. A document's margin is its
-most toxic string's; a logistic fit on labelled documents turns margins into scores.
+these against strings of clean documents, then relearns with every candidate it agrees to and with the clean strings
+that come near. A document has the margins of its three most toxic strings; a logistic fit on labelled documents turns
+them into a score.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import crc_fold, written
+from .base import crc_fold, scratch, written
 
 ALPHABET = 64
 LONGEST, STEP = 24, 8  # a longer string is scored window by window
+TOP = 3  # margins of a document
 
 _PUNCTUATION = re.compile(r"[^\w\s]|_")
 _APART = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
@@ -92,7 +95,7 @@ class Machine:
     weights: np.ndarray  # per triple
     bias: float
     decay: float
-    slope: float = 4.0
+    slopes: tuple[float, ...] = (4.0, 0.0, 0.0)  # of a document's largest margins
     shift: float = 0.0
 
     def word_margins(self, words: list[str]) -> np.ndarray:
@@ -117,9 +120,6 @@ class Machine:
                 out[part] += (self.weights[u] * weight).sum(1) / norm
         return out
 
-    def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -40, 40)))
-
 
 def train(positive: list[str], negative: list[str], decay: float = 0.6, landmarks: int = 256, cost: float = 20.0, seed: int = 5) -> Machine:
     """Squared-hinge machine on Nystroem features, by Newton steps. The first positives, most telling first, are the
@@ -188,6 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4_000, strings_kept: int
     `strings_kept` candidate strings and twice as many clean ones reach the driver. Without toxic documents every
     document scores low.
     """
+    with scratch():
+        return _fit(docs, labels, most, strings_kept, folds, seed)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, most: int, strings_kept: int, folds: int, seed: int) -> Machine:
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), folds) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
     pick = lambda v, n: own.where(F.col("lo") == v).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
     chosen = pick(1, most).unionAll(pick(0, 2 * most)).select("doc_id", F.col("lo").cast("int").alias("toxic"))
@@ -209,29 +214,31 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4_000, strings_kept: int
     positive = seeds + sorted(agreed - set(seeds))
     for _ in range(2):  # clean strings that come near the boundary are learnt from too
         machine = train(positive, clean, seed=seed)
-        near = counts.where("n0 > 0").select("w", F.col("w").alias("t")).mapInArrow(_margins(machine), "w string, margin double").where("margin > -0.5")
+        near = counts.where("n0 > 0").select("w", F.col("w").alias("t")).mapInArrow(_margins(machine), "w string, margins array<double>").select("w", F.col("margins")[0].alias("margin")).where("margin > -0.5")
         clean = sorted({*clean, *(r.w for r in near.orderBy(F.desc("margin"), "w").limit(strings_kept).collect())})
     machine = train(positive, clean, seed=seed)
-    got = texts.mapInArrow(_margins(machine), "doc_id bigint, toxic int, margin double").toPandas().sort_values(["doc_id", "margin"])
-    machine.slope, machine.shift = _logistic(got.margin.to_numpy(), got.toxic.to_numpy(float))
+    got = texts.mapInArrow(_margins(machine), "doc_id bigint, toxic int, margins array<double>").toPandas().sort_values("doc_id", kind="stable")
+    machine.slopes, machine.shift = _logistic(np.array(got.margins.tolist(), float).reshape(-1, TOP), got.toxic.to_numpy(float))
     return machine
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    a, w = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and shift of a ridge logistic fit, shifted so that 0.5 lies where fewest documents err."""
+    a, w = np.concatenate([x, np.ones((len(x), 1))], 1), np.zeros(TOP + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(h, a.T @ (y - p) - 1e-2 * w), -5, 5)
-    slope = float(w[0]) if w[0] > 0 else 4.0
+        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-1 * np.eye(TOP + 1)
+        w = w + np.clip(np.linalg.solve(h, a.T @ (y - p) - 1e-1 * w), -5, 5)
+    slopes = w[:TOP] if w[:TOP].sum() > 0 else np.array([4.0, 0.0, 0.0])
+    z = x @ slopes
     # 0.5 lies in the middle of the widest gap among the cuts with the fewest errors
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
     errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-    edges = np.concatenate([[x[0] - 1], x, [x[-1] + 1]])
+    edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
     gaps = np.where(errors == errors[np.diff(edges) > 0].min(), np.diff(edges), 0.0)
     k = int(np.argmax(gaps))
-    return slope, -slope * float(edges[k] + edges[k + 1]) / 2
+    return tuple(float(v) for v in slopes), -float(edges[k] + edges[k + 1]) / 2
 
 
 def _margins(machine: Machine, keep: int = 600_000):
@@ -249,8 +256,8 @@ def _margins(machine: Machine, keep: int = 600_000):
             for w in new:
                 if len(w) > LONGEST:
                     known[w] = float(machine.word_margins(windows(w)).max())
-            out = [max(map(known.__getitem__, s), default=machine.bias) for s in sets]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(out, pa.float64())], names=[*batch.schema.names[:k], "margin"])
+            out = [(heapq.nlargest(TOP, map(known.__getitem__, s)) + [machine.bias] * TOP)[:TOP] for s in sets]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names[:k], "margins"])
 
     return run
 
@@ -260,6 +267,7 @@ def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)
 
     Null, empty and letter-less texts have the machine's bias as their margin. Scores depend on the text alone.
     """
-    schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["margin double"])
+    schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["margins array<double>"])
     got = docs.select(*[F.col(k) for k in keep], F.col("text").cast("string").alias("__text")).mapInArrow(_margins(machine), schema)
-    return got.select(*keep, (1 / (1 + F.exp(-F.greatest(F.least(F.col("margin") * machine.slope + machine.shift, F.lit(40.0)), F.lit(-40.0))))).alias("score"))
+    z = sum((F.col("margins")[i] * w for i, w in enumerate(machine.slopes)), F.lit(float(machine.shift)))
+    return got.select(*keep, (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))).alias("score"))
