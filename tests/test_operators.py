@@ -175,7 +175,7 @@ def test_streaming_windows_and_state(spark, tmp_path):
     rows = [(1, datetime(2024, 1, 1, 0, 1), 7, "view", 1.0), (2, datetime(2024, 1, 1, 0, 40), 7, "view", 2.0), (2, datetime(2024, 1, 1, 0, 40), 7, "view", 2.0), (3, datetime(2024, 1, 1, 5, 0), 7, "view", 3.0)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(src)
     stream = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double").parquet(src)
-    q = streaming.tumbling(streaming.deduplicated(stream)).writeStream.outputMode("append").format("memory").queryName("tumble").start()
+    q = streaming.tumbling(streaming.deduplicated(stream), late=None).writeStream.outputMode("append").format("memory").queryName("tumble").start()
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r.value) for r in spark.table("tumble").collect()] == [(2, 3.0)]
