@@ -29,7 +29,7 @@ class Hashing:
     """projections: hash functions; width: of a window, in radii; ratio: of successive radii; miss: chance to overlook
     a vector inside the radius; first: smallest radius (Euclidean, between unit vectors)."""
 
-    projections: int = 32
+    projections: int = 24
     width: float = 2.0
     ratio: float = 1.2
     miss: float = 0.05
@@ -49,28 +49,30 @@ class SortedProjections:
         self.unit, self.hashing = unit, hashing
         self.lines = np.random.default_rng(hashing.seed).normal(size=(hashing.projections, unit.shape[1]))
         flat = self.lines @ unit.T
-        self.order = np.argsort(flat, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(flat, axis=1, kind="stable")
         self.sorted = np.take_along_axis(flat, self.order, axis=1)
 
     def search(self, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and squared distances of the k nearest found (more on ties); skip: a row that is no candidate."""
         h, n, m = self.hashing, len(self.unit), self.hashing.projections
         centre, need = self.lines @ q, self.hashing.threshold()
-        lo = np.array([np.searchsorted(self.sorted[j], centre[j]) for j in range(m)])
-        hi, count = lo.copy(), np.zeros(n, np.int16)
+        radii = h.first * h.ratio ** np.arange(math.ceil(math.log(2.5 / h.first) / math.log(h.ratio)) + 1)  # no two unit vectors lie farther apart
+        halves = h.width * radii / 2
+        below = [np.searchsorted(line, c - halves, "left") for line, c in zip(self.sorted, centre)]  # windows of all radii at once
+        above = [np.searchsorted(line, c + halves, "right") for line, c in zip(self.sorted, centre)]
+        lo = hi = [np.searchsorted(line, c) for line, c in zip(self.sorted, centre)]
+        count = np.zeros(n, np.int16)
         verified = np.zeros(n, bool)
         rows, dist = np.zeros(0, np.int64), np.zeros(0)
         if skip >= 0:
             verified[skip] = True
-        left, radius = n - (skip >= 0), h.first
-        while True:
-            half = h.width * radius / 2
+        left = n - (skip >= 0)
+        for step, radius in enumerate(radii):
             fresh = []
+            now_lo, now_hi = [w[step] for w in below], [w[step] for w in above]
             for j in range(m):
-                line = self.sorted[j]
-                a, b = np.searchsorted(line, centre[j] - half, "left"), np.searchsorted(line, centre[j] + half, "right")
-                fresh += [self.order[j, a : lo[j]], self.order[j, hi[j] : b]]
-                lo[j], hi[j] = a, b
+                fresh += [self.order[j, now_lo[j] : lo[j]], self.order[j, hi[j] : now_hi[j]]]
+            lo, hi = now_lo, now_hi
             got = np.concatenate(fresh)
             if len(got):
                 count += np.bincount(got, minlength=n).astype(np.int16)
@@ -83,13 +85,11 @@ class SortedProjections:
                     if len(rows) > 4 * k:
                         bar = np.partition(dist, k - 1)[k - 1]
                         rows, dist = rows[dist <= bar + 1e-12], dist[dist <= bar + 1e-12]
-            if (dist <= radius * radius).sum() >= k or left <= 0 or radius > 2.5:
-                if left > 0 and len(rows) < k:  # beyond every distance: what is left is verified without a window
-                    new = np.flatnonzero(~verified)
-                    gap = self.unit[new] - q
-                    rows, dist = np.concatenate([rows, new]), np.concatenate([dist, np.einsum("ij,ij->i", gap, gap)])
+            if (dist <= radius * radius).sum() >= k or left <= 0:
                 return rows, dist
-            radius *= h.ratio
+        new = np.flatnonzero(~verified)  # fewer than k within any distance: the rest needs no window
+        gap = self.unit[new] - q
+        return np.concatenate([rows, new]), np.concatenate([dist, np.einsum("ij,ij->i", gap, gap)])
 
 
 def _valid(vector: Column) -> Column:
@@ -139,7 +139,7 @@ def _block_search(hashing: Hashing, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, hashing: Hashing = Hashing(), rows_per_block: int = 5_000, queries_per_block: int = 20_000, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, hashing: Hashing = Hashing(), rows_per_block: int = 20_000, queries_per_block: int = 20_000, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, query_row, rank, vec_id, score): the k nearest rows by cosine of every row for which `queries` holds.
 
     Nearest first, ties to the smaller id. Vectors that are null, zero or hold null or non-finite components take no part, as
