@@ -31,6 +31,7 @@ from .base import crc_fold, scratch, written
 ALPHABET = 64
 LONGEST, STEP = 24, 8  # a longer string is scored window by window
 TOP = 3  # margins of a document
+POOLS = ((1.0, 0.0, 0.0), (1.0, 0.25, 0.1), (1.0, 0.5, 0.25), (1.0, 1.0, 0.5))
 
 _PUNCTUATION = re.compile(r"[^\w\s]|_")
 _APART = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
@@ -45,8 +46,8 @@ def strings(text: str | None) -> set[str]:
 
 
 def codes(word: str) -> list[int]:
-    """Letters as small numbers: a-z, digits, Latin-1 letters, and a few classes for the rest."""
-    out = []
+    """The word's start (0) and its letters as small numbers: a-z, digits, Latin-1 letters, a few classes for the rest."""
+    out = [0]
     for c in word:
         o = ord(c)
         out.append(o - 96 if 97 <= o <= 122 else 27 + (o - 48) // 5 if 48 <= o <= 57 else 29 + o - 0xDF if 0xDF <= o <= 0xFF else 62 + o % 2)
@@ -101,13 +102,13 @@ class Machine:
     def word_margins(self, words: list[str]) -> np.ndarray:
         """Margins of words of at most LONGEST letters, by length, all words of a length at once."""
         out = np.full(len(words), self.bias)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1  # with the start
         for n in np.unique(lengths):
             if n < 3:
                 continue
             at = np.flatnonzero(lengths == n)
             i, j, k, weight = _triples(int(n), self.decay)
-            for part in np.array_split(at, max(1, len(at) * len(weight) // 2_000_000)):
+            for part in np.array_split(at, max(1, len(at) * len(weight) // 200_000)):
                 c = np.array([codes(words[x]) for x in part], np.int64)
                 u = (c[:, i] * ALPHABET + c[:, j]) * ALPHABET + c[:, k]
                 order = np.argsort(u, axis=1, kind="stable")
@@ -176,7 +177,7 @@ def cover(pairs: Iterable[tuple[int, str]], times: int = 3, least: int = 2) -> l
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
         found = [list(strings(t.as_py())) for t in batch.column(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "words"])
 
@@ -222,29 +223,35 @@ def _fit(docs: DataFrame, labels: DataFrame, most: int, strings_kept: int, folds
     return machine
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
-    """Slopes and shift of a ridge logistic fit, shifted so that 0.5 lies where fewest documents err."""
-    a, w = np.concatenate([x, np.ones((len(x), 1))], 1), np.zeros(TOP + 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-1 * np.eye(TOP + 1)
-        w = w + np.clip(np.linalg.solve(h, a.T @ (y - p) - 1e-1 * w), -5, 5)
-    slopes = w[:TOP] if w[:TOP].sum() > 0 else np.array([4.0, 0.0, 0.0])
-    z = x @ slopes
-    # 0.5 lies in the middle of the widest gap among the cuts with the fewest errors
+def _cut(z: np.ndarray, y: np.ndarray) -> tuple[int, float]:
+    """Errors at the best cut of z, and the middle of the widest gap among such cuts."""
     order = np.argsort(z, kind="stable")
     z, y = z[order], y[order]
     errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    gaps = np.where(errors == errors[np.diff(edges) > 0].min(), np.diff(edges), 0.0)
-    k = int(np.argmax(gaps))
-    return tuple(float(v) for v in slopes), -float(edges[k] + edges[k + 1]) / 2
+    least = errors[np.diff(edges) > 0].min()
+    k = int(np.argmax(np.where(errors == least, np.diff(edges), 0.0)))
+    return int(least), float(edges[k] + edges[k + 1]) / 2
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and shift: of a few fixed ways to pool the margins the one with the fewest errors (the first of equals),
+    scaled by a ridge logistic fit and shifted so that 0.5 lies at its cut."""
+    least, cut, pool = min(((*_cut(x @ np.array(p), y), p) for p in POOLS), key=lambda t: t[0])
+    z, w = x @ np.array(pool), np.array([1.0, 0.0])
+    a = np.stack([z - cut, np.ones_like(z)], 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-1 * np.eye(2)
+        w = w + np.clip(np.linalg.solve(h, a.T @ (y - p) - 1e-1 * w), -5, 5)
+    slope = float(w[0]) if w[0] > 0 else 4.0
+    return tuple(slope * v for v in pool), -slope * cut
 
 
-def _margins(machine: Machine, keep: int = 600_000):
+def _margins(machine: Machine, keep: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             k = batch.num_columns - 1
             sets: list[set[str]] = [strings(t.as_py()) for t in batch.column(k)]
             new = [w for w in set().union(*sets) - known.keys()]
