@@ -1,6 +1,6 @@
 """Registered queries with their DuckDB counterparts."""
 
-from . import analysis, scalars, streams, temporal
+from . import analysis, details, scalars, streams, temporal
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "scalars", "streams", "temporal"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "details", "scalars", "streams", "temporal"]
