@@ -256,7 +256,8 @@ def similar_groups(prints: DataFrame, n_bits: int, hot: int = 20_000) -> DataFra
 
     Index keys are one-wildcard variants of 24-bit segments: a pair is found if in any of the ten segments it differs in at
     most one bit (at 10 % of the bits 97 of 100 pairs, at 15 % 67; chains of group members add to that). A key with over
-    `hot` fingerprints is refined by the values of the other segments before fingerprints are compared.
+    `hot` fingerprints is dealt into blocks of about that many, and each pair of blocks is compared by itself: nothing is
+    lost and no task holds more than two blocks, at the price of as many copies of the key's rows as it has blocks.
     """
     n_segments = 64 * WORDS // SEGMENT
     bits = lambda low: (F.shiftrightunsigned(F.col(f"w{low // 64}"), low % 64) if low % 64 <= 64 - SEGMENT else F.shiftrightunsigned(F.col(f"w{low // 64}"), low % 64).bitwiseOR(F.shiftleft(F.col(f"w{low // 64 + 1}"), 64 - low % 64))).bitwiseAND(F.lit((1 << SEGMENT) - 1).cast("long"))
@@ -269,12 +270,13 @@ def similar_groups(prints: DataFrame, n_bits: int, hot: int = 20_000) -> DataFra
     pairs = lambda some: some.select("g", "node", *words).repartition("g").sortWithinPartitions("g").mapInArrow(_linked(n_bits), "a bigint, b bigint")
     edges = pairs(rows.where(F.col("n") <= hot))
     if shared.where(F.col("n") > hot).limit(1).count():
-        finer = F.array(*[F.xxhash64("g", F.lit(k), v) for k, v in enumerate(values)])
-        edges = edges.unionAll(pairs(rows.where(F.col("n") > hot).withColumn("g", F.explode(finer))))
+        blocks = F.ceil(F.col("n") / hot)
+        own = rows.where(F.col("n") > hot).withColumn("i", F.pmod(F.xxhash64("node"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        edges = edges.unionAll(pairs(own.withColumn("g", F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")))))
     return components(edges.distinct())
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot: int = 20_000) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest doc_id stays, whole.
 
     Rows are alike at an estimated Jaccard similarity of word shingles of `similarity` or more: in 256-bit fingerprints, at
@@ -291,7 +293,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         prints = base.select("__uid", "doc_id", F.col("text").cast("string").alias("__text")).mapInArrow(_long(width), f"__uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{w} bigint" for w in words))
         prints = written(prints.withColumn("node", F.xxhash64(*words)), "similar-prints")
         distinct = written(prints.groupBy("node", *words).agg(F.count(F.lit(1)).alias("times")).drop("times"), "similar-distinct")
-        grouped = prints.join(similar_groups(distinct, n_bits), "node", "left").select(F.coalesce("root", "node").alias("g"), "doc_id", "__uid")
+        grouped = prints.join(similar_groups(distinct, n_bits, hot), "node", "left").select(F.coalesce("root", "node").alias("g"), "doc_id", "__uid")
         first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("m"))
         first = temp.keep(written(first.select(F.col("m.__uid").alias("__uid")), "similar-first"))
     return base.join(first.hint("merge"), "__uid", "left_semi").select(*docs.columns)
