@@ -274,7 +274,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
     """Pack whole documents (doc_id, text), cut freely: one row per piece, columns of PIECE.
 
     A null or empty text is the end id alone. Every id lies in exactly one piece; sequences are gapless from offset 0 and
-    hold at most limits.tokens; shorter ones have power-of-two lengths unless limits.segments closed them. sequence_id
+    hold at most limits.tokens; shorter ones have power-of-two lengths and need no padding. sequence_id
     is the task's number and a count in it. Repeated rows are packed each for itself; a null doc_id stays null; an
     empty table gives no rows; other columns are not read.
     """
