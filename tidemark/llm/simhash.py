@@ -201,12 +201,16 @@ def _long(width: int):
 
 
 def _linked(n_bits: int):
-    """Runs of equal g (g, node, w0..): edges (a, b) of nodes, a spanning forest of the pairs within n_bits."""
+    """Runs of equal g (g, node, w0..): edges (a, b) of nodes that join what a spanning forest of the pairs within n_bits joins.
+
+    Two fingerprints with the same segment meet under all its 24 keys. The edges between them are given under the first
+    key alone; under the others only edges across the wiped bit are. Negative g are blocks of a hot key and give all.
+    """
     count = np.array([bin(i).count("1") for i in range(1 << 16)], np.int16)
 
-    def forest(node: np.ndarray, w: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a, b = [], []
-        left = np.arange(len(node))
+    def forest(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left = np.arange(len(w))
         while len(left) > 1:
             front, left = left[:1], left[1:]
             while len(front) and len(left):
@@ -215,25 +219,38 @@ def _linked(n_bits: int):
                 hit = far <= n_bits
                 if hit.any():
                     new = left[hit]
-                    a.append(np.full(len(new), node[x]))
-                    b.append(node[new])
+                    a.append(np.full(len(new), x))
+                    b.append(new)
                     front, left = np.concatenate([front, new]), left[~hit]
-        return a, b
+        return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None
 
+        def told(g: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Which edges between rows of words a and b are given under key g."""
+            slot = g >> SEGMENT
+            if g < 0 or slot % SEGMENT == 0:
+                return np.ones(len(a), bool)
+            return ((a[:, slot // 64] ^ b[:, slot // 64]) >> (slot % 64)) & 1 == 1
+
         def out(m: np.ndarray) -> pa.RecordBatch:
             g, node, w = m[:, 0], m[:, 1], np.ascontiguousarray(m[:, 2:])
             edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
             sizes = np.diff(edge)
             i = edge[:-1][sizes == 2]
             ok = sum(count[p] for p in (w[i] ^ w[i + 1]).view(np.uint16).reshape(-1, 4 * WORDS).T) <= n_bits if len(i) else np.zeros(0, bool)
+            slot = g[i] >> SEGMENT
+            word, bit = np.where(g[i] < 0, 0, slot // 64), np.where(g[i] < 0, 0, slot % 64)
+            across = (np.take_along_axis(w[i] ^ w[i + 1], word[:, None], 1)[:, 0] >> bit) & 1 == 1
+            ok &= (g[i] < 0) | (slot % SEGMENT == 0) | across
             a, b = [node[i][ok]], [node[i + 1][ok]]
             for s, n in zip(edge[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                x, y = forest(node[s : s + n], w[s : s + n])
-                a += x
-                b += y
+                x, y = forest(w[s : s + n])
+                if len(x):
+                    own = told(int(g[s]), w[s + x], w[s + y])
+                    a.append(node[s + x[own]])
+                    b.append(node[s + y[own]])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
         for batch in batches:
@@ -272,7 +289,7 @@ def similar_groups(prints: DataFrame, n_bits: int, hot: int = 20_000) -> DataFra
     if shared.where(F.col("n") > hot).limit(1).count():
         blocks = F.ceil(F.col("n") / hot)
         own = rows.where(F.col("n") > hot).withColumn("i", F.pmod(F.xxhash64("node"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        edges = edges.unionAll(pairs(own.withColumn("g", F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")))))
+        edges = edges.unionAll(pairs(own.withColumn("g", F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")).bitwiseOR(F.lit(-(1 << 63))))))
     return components(edges.distinct())
 
 
