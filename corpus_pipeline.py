@@ -26,8 +26,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, fingerprints within three bits, and of linked
-    fingerprints those whose shingle sets are really alike at 0.8 or more."""
+    """One document of each group of near-duplicates: candidates by min-hash bands of five-word shingles, and of these the
+    pairs whose shingle sets are really alike at 0.8 or more."""
     return simhash.one_of_each(docs, width=5).select(*COLUMNS)
 
 

@@ -151,6 +151,47 @@ def test_one_of_each_keeps_one_row_of_each_group(spark, hot):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 9] and kept.columns == docs_of(spark, ["a"]).columns
 
 
+@pytest.mark.parametrize("hot", [20_000, 4])
+def test_one_of_each_matches_brute_force_about_the_threshold(spark, hot):
+    rng = random.Random(11)
+    w = [f"w{i}" for i in range(3000)]
+    texts = []
+
+    def changed(words, n):
+        c = list(words)
+        for k in rng.sample(range(len(c)), n):
+            c[k] = rng.choice(w)
+        return c
+
+    for i in range(150):  # pairs at about 0.7 to 0.9
+        b = [rng.choice(w) for _ in range(200)]
+        texts += [b, changed(b, 3 + i % 5)]
+    for _ in range(4):  # groups of versions of one text, some of them joined by chains alone
+        b = [rng.choice(w) for _ in range(150)]
+        texts += [changed(b, rng.randrange(6)) for _ in range(25)]
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(s.split()[k : k + 5]) for k in range(len(s.split()) - 4)} for s in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            alike = common / len(sets[i] | sets[j])
+            close += 0.75 <= alike < 0.85
+            if alike >= 0.8:
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    assert close > 100
+    kept = simhash.one_of_each(docs_of(spark, texts), hot=hot)
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if top(i) == i]
+
+
 # suffix dedup
 
 

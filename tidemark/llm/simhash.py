@@ -170,147 +170,155 @@ def _paired(rows: DataFrame, n_bits: int) -> DataFrame:
     return rows.select("g", "fp").repartition("g").sortWithinPartitions("g").mapInArrow(_stars(n_bits), "a bigint, b bigint")
 
 
-# Similar texts, beyond copies: the same index over longer fingerprints.
+# Similar texts, beyond copies: candidates by min-hash bands of the shingle sets, links by the sets themselves.
 
-WORDS, SEGMENT = 4, 24  # 256 bits; segments of 24 bits, cut from them one after the other
+#: Min-hashes a band and bands: a pair alike at 0.8 shares a band in all but 7 of 10,000 cases, 1 - (1 - 0.8^6)^24.
+ROWS, BANDS = 6, 24
+_TURNS = np.random.default_rng(42).integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def long_fingerprint(text: str | None, width: int = 5) -> bytes:
-    """256-bit SimHash of a text's word shingles, from one 64-bit hash per shingle mixed four ways; zeros without words."""
-    hashes = shingle_hashes(text, width)
-    if not len(hashes):
-        return bytes(8 * WORDS)
-    bits = []
-    for k in range(WORDS):
-        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        grid = (h ^ (h >> np.uint64(29))).view(np.uint8).reshape(-1, 8)
-        ones = np.concatenate([np.bincount(grid[:, i], minlength=256) @ _BITS for i in range(8)])
-        bits.append(np.packbits(ones * 2 > len(grid)))
-    return np.concatenate(bits).tobytes()
-
-
-def _long(width: int):
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; none without words."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def min_hashes(shingles: np.ndarray) -> np.ndarray:
+    """ROWS x BANDS minima of a shingle set that is not empty: two sets share each with the chance of their similarity."""
+    low = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 512):
+        low = np.minimum(low, (_TURNS * shingles[at : at + 512]).min(axis=1))
+    return low
+
+
+def _signed(hashes: list[int]) -> np.ndarray:
+    return np.array(hashes, np.uint64).view(np.int64)
+
+
+def _banded(width: int):
+    """(.., text) -> (.., node, bands, sketch): the hash of the shingle set, one of each band, a byte of each min-hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.num_columns - 1
-            fp = np.frombuffer(b"".join(long_fingerprint(t.as_py(), width) for t in batch.column(k)), ">i8").astype(np.int64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *(pa.array(fp[:, i]) for i in range(WORDS))], names=[*batch.schema.names[:k], *(f"w{i}" for i in range(WORDS))])
+            node, bands, sketch = [], [], []
+            for t in batch.column(k):
+                own = shingle_set(t.as_py(), width)
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                low = min_hashes(own) if len(own) else own
+                bands.append(_signed([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(low.reshape(-1, ROWS))]))
+                sketch.append((low >> np.uint64(16)).astype(np.uint8).tobytes())
+            made = [pa.array(_signed(node)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *made], names=[*batch.schema.names[:k], "node", "bands", "sketch"])
 
     return run
 
 
-def _linked(n_bits: int):
-    """Runs of equal g (g, node, w0..): edges (a, b) of nodes that join what a spanning forest of the pairs within n_bits joins.
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
-    Two fingerprints with the same segment meet under all its 24 keys. The edges between them are given under the first
-    key alone; under the others only edges across the wiped bit are. Negative g are blocks of a hot key and give all.
-    """
-    count = np.array([bin(i).count("1") for i in range(1 << 16)], np.int16)
+    return run
 
-    def forest(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        left = np.arange(len(w))
-        while len(left) > 1:
-            front, left = left[:1], left[1:]
-            while len(front) and len(left):
-                x, front = front[0], front[1:]
-                far = sum(count[p] for p in (w[left] ^ w[x]).view(np.uint16).reshape(-1, 4 * WORDS).T)
-                hit = far <= n_bits
-                if hit.any():
-                    new = left[hit]
-                    a.append(np.full(len(new), x))
-                    b.append(new)
-                    front, left = np.concatenate([front, new]), left[~hit]
-        return np.concatenate(a), np.concatenate(b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray | None = None
+def _apart(least: float):
+    """Runs of equal g (g, node, root, sketch): pairs (a, b) of different roots whose sketches agree in a share of `least`."""
 
-        def told(g: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            """Which edges between rows of words a and b are given under key g."""
-            slot = g >> SEGMENT
-            if g < 0 or slot % SEGMENT == 0:
-                return np.ones(len(a), bool)
-            return ((a[:, slot // 64] ^ b[:, slot // 64]) >> (slot % 64)) & 1 == 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
 
-        def out(m: np.ndarray) -> pa.RecordBatch:
-            g, node, w = m[:, 0], m[:, 1], np.ascontiguousarray(m[:, 2:])
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            g, node, root = (t.column(c).to_numpy() for c in ("g", "node", "root"))
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1)
             edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-            sizes = np.diff(edge)
-            i = edge[:-1][sizes == 2]
-            ok = sum(count[p] for p in (w[i] ^ w[i + 1]).view(np.uint16).reshape(-1, 4 * WORDS).T) <= n_bits if len(i) else np.zeros(0, bool)
-            slot = g[i] >> SEGMENT
-            word, bit = np.where(g[i] < 0, 0, slot // 64), np.where(g[i] < 0, 0, slot % 64)
-            across = (np.take_along_axis(w[i] ^ w[i + 1], word[:, None], 1)[:, 0] >> bit) & 1 == 1
-            ok &= (g[i] < 0) | (slot % SEGMENT == 0) | across
-            a, b = [node[i][ok]], [node[i + 1][ok]]
-            for s, n in zip(edge[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                x, y = forest(w[s : s + n])
-                if len(x):
-                    own = told(int(g[s]), w[s + x], w[s + y])
-                    a.append(node[s + x[own]])
-                    b.append(node[s + y[own]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            a, b, n = [], [], 0
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                for i in range(s, e - 1):
+                    j = i + 1 + np.flatnonzero(root[i + 1 : e] != root[i])
+                    j = j[(sketch[j] == sketch[i]).mean(axis=1) >= least] if len(j) else j
+                    a.append(np.full(len(j), node[i])), b.append(node[j])
+                    n += len(j)
+                    if n > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                        a, b, n = [], [], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
         for batch in batches:
-            m = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            m = m if held is None else np.concatenate([held, m])
-            if not len(m):
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not len(t):
                 continue
-            cut = len(m) - int(np.argmax(m[::-1, 0] != m[-1, 0])) if (m[:, 0] != m[-1, 0]).any() else 0
+            g = t.column("g").to_numpy()
+            cut = int(np.flatnonzero(g[1:] != g[:-1])[-1]) + 1 if (g != g[-1]).any() else 0  # the last run may go on
             if cut:
-                yield out(m[:cut])
-            held = m[cut:].copy()
+                yield from out(t.slice(0, cut))
+            held = t.slice(cut)
         if held is not None and len(held):
-            yield out(held)
+            yield from out(held)
 
     return run
 
 
-def similar_groups(prints: DataFrame, n_bits: int, hot: int = 20_000) -> DataFrame:
-    """(node, root) of fingerprints (node, w0..w3, distinct) that chains of pairs within n_bits of 256 join.
+def similar_groups(base: DataFrame, distinct: DataFrame, width: int, similarity: float, hot: int) -> DataFrame:
+    """(node, root) of shingle sets that chains of pairs, each truly alike at `similarity`, join.
 
-    Index keys are one-wildcard variants of 24-bit segments: a pair is found if in any of the ten segments it differs in at
-    most one bit (at 10 % of the bits 97 of 100 pairs, at 15 % 67; chains of group members add to that). A key with over
-    `hot` fingerprints is dealt into blocks of about that many, and each pair of blocks is compared by itself: nothing is
-    lost and no task holds more than two blocks, at the price of as many copies of the key's rows as it has blocks.
+    base has __uid and __text; distinct has one row per set: node, __uid (of a text with that set), bands, sketch. Equal
+    bands make candidates. First each band's sets are held against one of them, another one in each band; then, in bands
+    where more than one group is left, the pairs across groups that the sketches do not rule out (four standard
+    deviations under `similarity`). So a large group of near copies costs pairs in proportion to its size. A band of over
+    `hot` sets is dealt into blocks and each pair of blocks compared by itself. Every link is checked on the whole sets.
     """
-    n_segments = 64 * WORDS // SEGMENT
-    bits = lambda low: (F.shiftrightunsigned(F.col(f"w{low // 64}"), low % 64) if low % 64 <= 64 - SEGMENT else F.shiftrightunsigned(F.col(f"w{low // 64}"), low % 64).bitwiseOR(F.shiftleft(F.col(f"w{low // 64 + 1}"), 64 - low % 64))).bitwiseAND(F.lit((1 << SEGMENT) - 1).cast("long"))
-    values = [bits(SEGMENT * k) for k in range(n_segments)]
-    keys = F.array(*[v.bitwiseOR(F.lit(1 << i).cast("long")) + F.lit((SEGMENT * k + i) << SEGMENT).cast("long") for k, v in enumerate(values) for i in range(SEGMENT)])
-    keyed = prints.select("node", F.explode(keys).alias("g"))
-    shared = written(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("n > 1"), "similar-keys")
-    words = [f"w{i}" for i in range(WORDS)]
-    rows = shared.join(prints, "node")
-    pairs = lambda some: some.select("g", "node", *words).repartition("g").sortWithinPartitions("g").mapInArrow(_linked(n_bits), "a bigint, b bigint")
-    edges = pairs(rows.where(F.col("n") <= hot))
-    if shared.where(F.col("n") > hot).limit(1).count():
+    keyed = distinct.select("node", F.explode("bands").alias("g"))
+    centre = keyed.groupBy("g").agg(F.min(F.struct(F.xxhash64("node", "g").alias("h"), "node")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(keyed.join(centre.select("g", F.col("m.node").alias("centre"), "n").hint("merge"), "g"), "similar-bands")
+    some = distinct.select("node", "__uid").join(shared.select("node").distinct().hint("merge"), "node", "left_semi")
+    sets = written(base.select("__uid", "__text").join(some.hint("merge"), "__uid").select("node", "__text").mapInArrow(_sets(width), "node bigint, s array<bigint>"), "similar-sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
+        return written(both.where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("a", "b"), "similar-links")
+
+    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = written(ordered(shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "similar-pairs")
+    links = alike(tried)
+    roots = written(components(links), "similar-roots")
+    grouped = shared.select("g", "node", "n").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = grouped.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
+    left = written(grouped.where("n > 2").join(split.hint("merge"), "g", "left_semi"), "similar-split")  # of two, both were tried
+    if not left.limit(1).count():
+        return roots
+    rows = left.join(distinct.select("node", "sketch").hint("merge"), "node")
+    least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / (ROWS * BANDS))
+    pairs = lambda r: r.select("g", "node", "root", "sketch").repartition("g").sortWithinPartitions("g").mapInArrow(_apart(least), "a bigint, b bigint")
+    found = pairs(rows.where(F.col("n") <= hot))
+    if left.where(F.col("n") > hot).limit(1).count():
         blocks = F.ceil(F.col("n") / hot)
         own = rows.where(F.col("n") > hot).withColumn("i", F.pmod(F.xxhash64("node"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        edges = edges.unionAll(pairs(own.withColumn("g", F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")).bitwiseOR(F.lit(-(1 << 63))))))
-    return components(edges.distinct())
+        found = found.unionAll(pairs(own.withColumn("g", F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")))))
+    return components(links.unionAll(alike(ordered(found).join(tried.hint("merge"), ["a", "b"], "left_anti"))))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot: int = 20_000) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest doc_id stays, whole.
 
-    Rows are alike at an estimated Jaccard similarity of word shingles of `similarity` or more: in 256-bit fingerprints, at
-    most the share of bits that the angle between such texts turns, and one standard deviation. Null, empty and word-less
-    texts are alike. Null doc_ids come last; among rows with the same doc_id the first read stays. An empty table stays
-    empty; all columns of docs are kept.
+    Rows are alike at a true Jaccard similarity of their sets of word shingles of `similarity` or more, and a group is what
+    chains of such pairs join. Null, empty and word-less texts are alike. Null doc_ids come last; among rows with the same
+    doc_id the first read stays. An empty table stays empty; all columns of docs are kept.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    turned = math.acos(cosine) / math.pi
-    n_bits = round(64 * WORDS * turned + math.sqrt(64 * WORDS * turned * (1 - turned)))
-    words = [f"w{i}" for i in range(WORDS)]
     with scratch() as temp:
         base = temp.keep(written(docs.withColumn("__uid", F.monotonically_increasing_id()), "similar-docs"))  # one numbering for all uses
-        prints = base.select("__uid", "doc_id", F.col("text").cast("string").alias("__text")).mapInArrow(_long(width), f"__uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{w} bigint" for w in words))
-        prints = written(prints.withColumn("node", F.xxhash64(*words)), "similar-prints")
-        distinct = written(prints.groupBy("node", *words).agg(F.count(F.lit(1)).alias("times")).drop("times"), "similar-distinct")
-        grouped = prints.join(similar_groups(distinct, n_bits, hot), "node", "left").select(F.coalesce("root", "node").alias("g"), "doc_id", "__uid")
+        text = F.col("text").cast("string").alias("__text")
+        prints = base.select("__uid", "doc_id", text).mapInArrow(_banded(width), f"__uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, bands array<bigint>, sketch binary")
+        prints = written(prints, "similar-prints")
+        distinct = prints.groupBy("node").agg(F.min(F.struct("__uid", "bands", "sketch")).alias("m"))
+        distinct = written(distinct.select("node", "m.*"), "similar-distinct")
+        groups = similar_groups(base.select("__uid", text), distinct, width, similarity, hot)
+        grouped = prints.select("node", "doc_id", "__uid").join(groups, "node", "left").select(F.coalesce("root", "node").alias("g"), "doc_id", "__uid")
         first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("m"))
         first = temp.keep(written(first.select(F.col("m.__uid").alias("__uid")), "similar-first"))
     return base.join(first.hint("merge"), "__uid", "left_semi").select(*docs.columns)
