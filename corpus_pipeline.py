@@ -18,6 +18,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is rejected below this score.
 QUALITY = 0.3
 
+#: Repeated passages of over so many words go; the shortest has PASSAGE + 1 letters and PASSAGE spaces.
+PASSAGE = 50
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier, fitted on these docs, scores at QUALITY or more."""
@@ -32,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated 400-byte strings; documents of which nothing is left go."""
-    left = suffixes.remove_repeats(docs, ("doc_id", "lang", "source"), rewrite=True)
+    """Texts without their repeated passages of over PASSAGE words; documents of which nothing is left go."""
+    left = suffixes.remove_repeats(docs, ("doc_id", "lang", "source"), length=2 * PASSAGE + 1, gram=PASSAGE, rewrite=True, words=PASSAGE)
     return left.where(F.length(F.trim("text")) > 0).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 

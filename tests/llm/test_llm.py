@@ -223,6 +223,17 @@ def test_repeats_match_brute_force(spark, hot):
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, 100)
 
 
+def test_pipeline_removes_repeated_passages_of_over_fifty_words(spark):
+    rng = random.Random(8)
+    text = lambda n, most=9: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, most))) for _ in range(n))
+    passages = [text(51), text(51, 4), text(51, 2), text(60), text(50), text(50, 16), text(30), text(30)]
+    texts = [f"{text(20)} <{k}{i}> {p} <{i}{k}> {text(20)}" for k, p in enumerate(passages) for i in "xy"]
+    texts += [f"{text(20)} <ab> {passages[6]} {passages[7]} <ba> {text(20)}"]  # two short ones side by side
+    left = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs_of(spark, texts), "").collect()}
+    assert [left[i] for i in range(8)] == [t.replace(f"> {passages[i // 2]} <", "") for i, t in enumerate(texts[:8])]
+    assert [left[i] for i in range(8, len(texts))] == texts[8:]
+
+
 def test_rewritten_texts_are_whole_characters(spark):
     text = "é" * 150
     got = suffixes.remove_repeats(docs_of(spark, ["x" + text + "y", "z" + text]), length=101, gram=20, rewrite=True).orderBy("doc_id").collect()

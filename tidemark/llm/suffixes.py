@@ -309,6 +309,25 @@ def spans(starts: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return out
 
 
+def wordy(raw: bytes, starts: list[dict] | None, length: int, words: int) -> list[dict]:
+    """Of sorted ranges of starts, joined where they touch, those whose strings together span over `words` whole words."""
+    joined: list[dict] = []
+    for r in starts or ():
+        if joined and r["lo"] <= joined[-1]["hi"]:
+            joined[-1]["hi"] = max(joined[-1]["hi"], r["hi"])
+        else:
+            joined.append(dict(r))
+    space, out = b" \t\n\x0b\x0c\r", []
+    for r in joined:
+        a, b = r["lo"], r["hi"] + length - 1
+        n = len(raw[a:b].split())
+        n -= 0 < a and raw[a - 1] not in space and raw[a] not in space  # begins inside a word
+        n -= b < len(raw) and raw[b] not in space and raw[b - 1] not in space  # ends inside one
+        if n > words:
+            out.append(r)
+    return out
+
+
 def kept_bytes(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
     at, keep = 0, []
     for a, b in cut:
@@ -317,14 +336,15 @@ def kept_bytes(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join([*keep, raw[at:]])
 
 
-def _apply(length: int, rewrite: bool):
+def _apply(length: int, rewrite: bool, words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             k = batch.num_columns - 2
             got = []
             for z, starts in zip(batch.column(k), batch.column(k + 1)):
-                raw, cut = unpack.decompress(z.as_py()), spans(starts.as_py(), length)
+                raw, starts = unpack.decompress(z.as_py()), starts.as_py()
+                cut = spans(starts if words is None else wordy(raw, starts, length, words), length)
                 if rewrite:  # whole characters only: one that is cut in part stays
                     safe = []
                     for a, b in cut:
@@ -346,13 +366,15 @@ def _apply(length: int, rewrite: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = 400, gram: int = 80, hot: int = 20_000, rewrite: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = 400, gram: int = 80, hot: int = 20_000, rewrite: bool = False, words: int | None = None) -> DataFrame:
     """Remove every byte covered by a `length`-byte string that also starts anywhere else in the rows of docs.
 
     All copies go, also within one text; matches never cross rows; strings are judged on the input. Returns keep plus
     n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256; with rewrite, keep plus text (what is left, a
     character cut in part stays whole) and removed (the byte spans). One row per row of docs; a null text is empty, and
     texts under `length` bytes lose nothing. Repeated rows repeat each other's strings. length - gram >= 1.
+
+    With words, only strings of over `words` whole words go: unbroken runs of repeated `length`-byte strings count as one.
     """
     ranges = repeated_ranges(docs, length, gram, hot)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -361,4 +383,4 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length:
     small = rows.mapInArrow(_squeeze, f"{kinds}, __th bigint, __nb int, z binary")
     joined = small.join(ranges.withColumnsRenamed({"th": "__th", "nb": "__nb"}).hint("merge"), ["__th", "__nb"], "left").select(*keep, "z", "starts")
     out = "text string, removed array<struct<start:int,end:int>>" if rewrite else "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return joined.mapInArrow(_apply(length, rewrite), f"{kinds}, {out}")
+    return joined.mapInArrow(_apply(length, rewrite, words), f"{kinds}, {out}")
