@@ -87,16 +87,17 @@ def _ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b
 
 
-def fuzzy_candidates(names: DataFrame, registry: DataFrame, cutoff: float = 0.78, keep: int = 3) -> DataFrame:
+def fuzzy_candidates(names: DataFrame, registry: DataFrame, cutoff: float = 0.78, keep: int = 3, itself: bool = True) -> DataFrame:
     """(name, candidate, score, rank): review candidates of the same block; names and registry hold name and block.
 
     Ratcliff-Obershelp ratio, the larger of plain and token-sorted. Only names sharing a block and a three-letter gram are
-    compared.
+    compared; without itself, a name is no candidate of its own.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
     a = names.select("name", "block").distinct().withColumn("g", F.explode(grams(F.col("name"))))
     b = registry.select(F.col("name").alias("candidate"), "block").distinct().withColumn("g", F.explode(grams(F.col("candidate"))))
     pairs = a.join(b, ["block", "g"]).select("name", "candidate").distinct()
+    pairs = pairs if itself else pairs.where("name <> candidate")
     scored = pairs.mapInPandas(_ratio, "name string, candidate string, score double").where(F.col("score") >= cutoff)
     w = Window.partitionBy("name").orderBy(F.desc("score"), "candidate")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)

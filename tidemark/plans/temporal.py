@@ -193,8 +193,8 @@ def tolerance_join_unique(spark, sf):
 SELECT o.l_suppkey, o.d, count(*) AS n180, round(sum(v),2) AS value180, sum(CASE WHEN e >= d-30 THEN 1 ELSE 0 END)::BIGINT AS n30, round(max(v),2) AS biggest FROM o JOIN l ON o.l_suppkey=l.l_suppkey AND e<d AND e>=d-180 GROUP BY 1,2"""
 )
 def trailing_transfer_window(spark, sf):
-    l = table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("e"), F.col("l_extendedprice").alias("v"))  # noqa: E741
-    o = l.where("l_linenumber = 1 AND l_suppkey % 10 = 0").select("l_suppkey", F.col("e").alias("d")).distinct()
+    l = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("e"), F.col("l_extendedprice").alias("v"))  # noqa: E741
+    o = l.select("l_suppkey", F.col("e").alias("d")).distinct()
     pairs = joins.trailing_join(o, l.select("l_suppkey", "e", "v"), "l_suppkey", "d", "e", 180)
     return pairs.groupBy("l_suppkey", "d").agg(F.count(F.lit(1)).alias("n180"), F.round(F.sum("v"), 2).alias("value180"), F.count_if(F.col("e") >= F.date_sub("d", 30)).alias("n30"), F.round(F.max("v"), 2).alias("biggest"))
 
