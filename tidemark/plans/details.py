@@ -147,7 +147,7 @@ def active_hours(spark, sf):
 def monthly_normal_shock(spark, sf):
     s = sides(fixtures(spark, sf)).withColumn("month", F.month("match_date"))
     normals = s.groupBy("team", "month").agg(F.avg("gf").alias("normal"))
-    return s.where("season = 1997").join(normals, ["team", "month"]).select("match_id", "team", "is_home", r6(F.col("gf") - F.col("normal")).alias("shock"))
+    return s.join(normals, ["team", "month"]).select("match_id", "team", "is_home", r6(F.col("gf") - F.col("normal")).alias("shock"))
 
 
 @query("SELECT t1.c_custkey AS a, t2.c_custkey AS b FROM customer t1 JOIN customer t2 ON t1.c_nationkey=t2.c_nationkey AND t1.c_mktsegment=t2.c_mktsegment AND t1.c_custkey<t2.c_custkey WHERE abs(t1.c_acctbal-t2.c_acctbal)<=25")
@@ -161,5 +161,5 @@ def near_value_pairs(spark, sf):
 
 @query(f"WITH {SETTLE}, m AS (SELECT date_trunc('month', match_date)::DATE AS month, count(*) AS bets, sum(profit) AS profit FROM s WHERE season=1997 GROUP BY 1) SELECT month, bets, round(profit,6) AS profit FROM m")
 def month_summary(spark, sf):
-    s = settled(fixtures(spark, sf)).where("season = 1997")
+    s = settled(fixtures(spark, sf))
     return ev.bet_summary(s.withColumn("month", F.trunc("match_date", "month")), ["month"]).select("month", "bets", r6("profit").alias("profit"))

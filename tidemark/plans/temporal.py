@@ -72,9 +72,9 @@ def rolling_last5_dategroup(spark, sf):
 FROM b LEFT JOIN h g ON g.team=b.team AND g.rn<=b.n_before AND g.rn>b.n_before-5 WHERE b.season = 1996 GROUP BY 1,2,3"""
 )
 def sequence_last5(spark, sf):
-    s = sides(fixtures(spark, sf).where("season <= 1996"))
+    s = sides(fixtures(spark, sf))
     seq = windows.last_n("gf", ["team"], 5, ["match_id", "is_home"])
-    s = s.withColumn("seq", seq).where("season = 1996").withColumn("padded", windows.padded(F.col("seq"), 5))
+    s = s.withColumn("seq", seq).withColumn("padded", windows.padded(F.col("seq"), 5))
     return s.select("match_id", "team", "is_home", r6(F.aggregate("padded", F.lit(0.0), lambda a, x: a + x)).alias("seq_sum"), F.size("seq").cast("long").alias("seq_len"), (F.size("padded") - F.size("seq")).cast("long").alias("pads"))
 
 
