@@ -55,11 +55,15 @@ def memory_values(queries: DataFrame, memory: DataFrame, k: int = 5, beta: float
             return pd.DataFrame({"id": [], "sim": [], "value": [], "mid": []}).astype({"id": "int64", "mid": "int64", "sim": float, "value": float})
         x, y = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float)
         x, y = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300) for z in (x, y))
-        s = x @ y.T
-        s[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), top.shape[1])
-        out = pd.DataFrame({"id": a["id"].to_numpy()[rows], "sim": s[rows, top.ravel()], "value": b["value"].to_numpy()[top.ravel()], "mid": b["id"].to_numpy()[top.ravel()]})
+        ids, mids, values, found = a["id"].to_numpy(), b["id"].to_numpy(), b["value"].to_numpy(), []
+        for at in range(0, len(a), 512):  # so that no more than 512 x block similarities are held
+            own = ids[at : at + 512]
+            s = x[at : at + 512] @ y.T
+            s[own[:, None] == mids[None, :]] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(own)), top.shape[1])
+            found.append(pd.DataFrame({"id": own[rows], "sim": s[rows, top.ravel()], "value": values[top.ravel()], "mid": mids[top.ravel()]}))
+        out = pd.concat(found)
         return out[np.isfinite(out["sim"])]
 
     near = q.groupBy("b").cogroup(m.groupBy("b")).applyInPandas(run, "id long, sim double, value double, mid long")
