@@ -3,9 +3,11 @@
 Every block node of a page's tree has a composite density: characters per tag, scaled by how few of the characters and
 tags belong to links (Sun, Song and Liao, 2011). A node's density sum adds those of its children; the node with the
 largest sum holds the article. The smallest density on the path from the body to that node is the page's own threshold:
-outside that node, a subtree counts as content only if it is at least as dense. Subtrees whose role is known (menus,
-forms, adverts, comments and the like) are cut from the tree before anything is counted, inline formatting belongs to
-its block, and blocks made of links are dropped.
+outside that node, a subtree counts as content only if it is at least as dense and not made of links. Subtrees whose
+role is known (menus, forms, adverts, comments and the like, in an article too) are cut from the tree before anything is
+counted, and inline formatting belongs to its block. Where the body path runs through an `article` or `main`, its author
+has drawn the article's bounds: all nodes of the path are as dense as the threshold, and the outermost such node is taken
+whole, so that short headings and lists of links in it stay.
 """
 
 from __future__ import annotations
@@ -29,10 +31,15 @@ DROPPED_TAGS = frozenset("nav footer aside form button select menu dialog object
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promoted promotion sidebar aside menu submenu nav navbar navigation breadcrumb breadcrumbs "
-    "footer foot masthead topbar comment comments commentlist discussion disqus replies reply respond cookie cookies consent gdpr notice notices disclaimer newsletter subscribe signup "
-    "popup modal overlay share sharing social related recommended recommendations widget widgets login signin search pagination pager toolbar copyright skip hidden".split()
+    "footer foot masthead topbar comment comments commentlist discussion disqus replies reply respond reviews cookie cookies consent gdpr notice notices disclaimer newsletter subscribe signup "
+    "popup modal overlay share sharing social related recommended recommendations widget widgets login signin search pagination pager toolbar copyright skip hidden colophon".split()
 )
-CONTENT_WORDS = frozenset("content article main post entry body story text page".split())
+DROPPED_PAIRS = frozenset({("site", "info"), ("user", "review"), ("customer", "review"), ("reader", "review"), ("user", "rating"), ("user", "ratings")})
+NEGATIONS = frozenset("has with no without not".split())  # has-sidebar tells what a box holds, not what it is
+LAYOUT = frozenset("wrap wrapper container layout grid".split())
+CONTENT_WORDS = frozenset("content article post entry body story text".split())
+ARTICLE_HEADERS = frozenset("article content entry post story section".split())  # whose header is the article's title
+OTHER_ARTICLES = frozenset("comment reply ad ads advert sponsored promo promoted related recommended teaser".split())  # role of an <article> that is none
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
@@ -41,6 +48,7 @@ SCOPES = frozenset("table td th body html article section div ul ol dl main butt
 
 _TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*?)(>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+_NAME = re.compile(r"[-_:.\s]+|(?<=[a-z])(?=[A-Z\d])")  # words of a class or id
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -53,23 +61,33 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _role(name: str, tag: str, in_article: bool) -> bool:
+    """Whether one class or id says that its element is no content. Every word of the name counts, so that a content word
+    beside a dropped one (article-comments, post-notice) saves nothing; only an article's own header is excused."""
+    words = [w for w in _NAME.split(name) if w]
+    words = [w.lower() for w in words]
+    if not words or words[0] in NEGATIONS:
+        return False
+    if tag in ("article", "main"):
+        return not OTHER_ARTICLES.isdisjoint(words)
+    if words[-1] in LAYOUT and words[0] in CONTENT_WORDS:
+        return False  # a box around the content and what is beside it
+    if not DROPPED_WORDS.isdisjoint(words) or not DROPPED_PAIRS.isdisjoint(zip(words, words[1:])):
+        return True
+    return "header" in words and not (in_article and (len(words) == 1 or not ARTICLE_HEADERS.isdisjoint(words)))
+
+
 def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in DROPPED_TAGS or tag == "header" and not in_article:
         return True
     if not attrs or tag in ("html", "body"):
         return False
-    at = {k.lower(): html_lib.unescape(a or b or c).lower() for k, a, b, c in _ATTR.findall(attrs)}
-    if "hidden" in at or at.get("aria-hidden") == "true" or _HIDDEN.search(at.get("style", "")):
+    at = {k.lower(): html_lib.unescape(a or b or c) for k, a, b, c in _ATTR.findall(attrs)}
+    if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(at.get("style", "").lower()):
         return True
-    if at.get("role", "") in DROPPED_ROLES:
+    if at.get("role", "").strip().lower() in DROPPED_ROLES:
         return True
-    for name in at.get("class", "").split() + [at.get("id", "")]:
-        words = set(re.split(r"[-_:.]+|(?<=[a-z])(?=\d)", name))
-        if words & DROPPED_WORDS and not words & CONTENT_WORDS or "header" in words and not in_article and not words & CONTENT_WORDS:
-            return True
-        if words & {"comment", "comments", "sidebar", "related", "ad", "ads", "advert"} and not words & {"main", "with", "has"} and words & CONTENT_WORDS and not words & {"content", "article", "main"}:
-            return True
-    return False
+    return any(_role(name, tag, in_article) for name in [*at.get("class", "").split(), at.get("id", "").strip()])
 
 
 def parse(page: str) -> Node:
@@ -188,6 +206,13 @@ def _density(x: Node, body_links: float) -> float:
     return max(0.0, x.chars / x.tags * math.log(max(ratio, 1.0)) / math.log(base)) if base > 1 else x.chars / x.tags
 
 
+def _text_density(chars: int, body_links: float) -> float:
+    """Composite density of a node's own text, as if it stood in an element by itself."""
+    leaf = Node("#text", None)
+    leaf.chars, leaf.tags = chars, 1
+    return _density(leaf, body_links)
+
+
 def extract(page: str | None) -> str:
     """The main text of one page; empty for a null, empty or text-less page."""
     if not page:
@@ -201,10 +226,12 @@ def extract(page: str | None) -> str:
         x.density = _density(x, share)
     for x in reversed(order):
         own = sum(len("".join(p[0].split())) for p in x.parts if not isinstance(p, Node) and not p[1])
-        x.total = sum(p.density for p in x.parts if isinstance(p, Node)) + own
+        x.total = sum(p.density for p in x.parts if isinstance(p, Node)) + _text_density(own, share)
     best = max(order, key=lambda x: x.total)  # the first of equals in page order
     if not best.total:
         return ""
+    while (inner := next((p for p in best.parts if isinstance(p, Node) and p.total == best.total), None)) is not None:
+        best = inner  # as much in a smaller box
     path, up = [], best
     while up is not None:
         path.append(up)
@@ -225,9 +252,8 @@ def extract(page: str | None) -> str:
                 if t:
                     out.append(p[0])
                 continue
-            if p.link_chars * 2 > p.chars and p.link_tags > 1:
-                continue  # a block of links
-            now = t or p is best or id(p) not in inside and p.density >= threshold and p.chars > 0
+            linked = p.link_chars * 2 > p.chars and p.link_tags > 1  # a block of links; inside the article it is content
+            now = t or p is best or id(p) not in inside and p.density >= threshold and p.chars > 0 and not linked
             out.append(" ")
             todo.append(((" ", False), now))
             todo.extend((q, now) for q in reversed(p.parts))
