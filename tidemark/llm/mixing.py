@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .base import n_words, scratch, written
 
-UNIT = "struct<uid:bigint,doc_id:bigint,size:bigint,source_size:bigint,target:double,base:bigint,p:double>"
+UNIT = "struct<uid:bigint,doc_id:bigint,size:bigint,row:bigint,source_size:bigint,target:double,base:bigint,p:double>"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -61,7 +61,7 @@ def _meet(seed: int, state: Column, x: Column) -> Column:
     to_carry = _draw(seed, cur["uid"], x["uid"]) * (up + down) < down
     a2 = F.when(to_carry, F.when((1 - a) * sa <= b * sb, F.lit(1.0)).otherwise(a + b * sb / sa)).otherwise(F.when((1 - b) * sb <= a * sa, F.greatest(a - (1 - b) * sb / sa, F.lit(0.0))).otherwise(F.lit(0.0)))
     b2 = F.when(to_carry, F.when((1 - a) * sa <= b * sb, F.greatest(b - (1 - a) * sa / sb, F.lit(0.0))).otherwise(F.lit(0.0))).otherwise(F.when((1 - b) * sb <= a * sa, F.lit(1.0)).otherwise(b + a * sa / sb))
-    with_p = lambda u, p: F.struct(*[p.alias("p") if k == "p" else u[k].alias(k) for k in ("uid", "doc_id", "size", "source_size", "target", "base", "p")])
+    with_p = lambda u, p: F.struct(*[p.alias("p") if k == "p" else u[k].alias(k) for k in ("uid", "doc_id", "size", "row", "source_size", "target", "base", "p")])
     pair = F.array(with_p(cur, a2), with_p(x, b2))
     settled = F.when((a2 == 0.0) | (a2 == 1.0), 1).otherwise(2)
     return F.when(cur.isNull(), F.struct(x.alias("carry"), state["done"].alias("done"))).otherwise(
@@ -80,9 +80,9 @@ def _fold(units: DataFrame, seed: int) -> DataFrame:
 def pivotal_copies(rows: DataFrame, seed: int = 17, fan: int = 32) -> DataFrame:
     """Copies of each document, by pivotal dependent rounding down a reduction tree.
 
-    rows: (uid, doc_id, source, size, n, source_size, target); uid tells rows apart, n is the source's documents.
-    Returns (uid, doc_id, size, source_size, target, copies). Documents without words get no copies. A row that no
-    fraction touches keeps its whole part. The same input rows give the same copies.
+    rows: (row, uid, doc_id, source, size, n, source_size, target); uid deals the rows and their draws, n is the source's
+    documents. Returns (row, uid, doc_id, size, source_size, target, copies). Documents without words get no copies. A row that no
+    fraction touches keeps its whole part. The same uids give the same copies.
     """
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     near = F.when(F.abs(ratio - F.round(ratio)) < 1e-12, F.round(ratio)).otherwise(ratio)
@@ -90,15 +90,15 @@ def pivotal_copies(rows: DataFrame, seed: int = 17, fan: int = 32) -> DataFrame:
         "source",
         F.pmod(F.xxhash64(F.lit(seed), "uid"), F.greatest(F.ceil(F.col("n") / fan), F.lit(1))).alias("bucket"),
         "n",
-        F.struct("uid", "doc_id", "size", "source_size", "target", F.floor("r").cast("long").alias("base"), (F.col("r") - F.floor("r")).alias("p")).alias("unit"),
+        F.struct("uid", "doc_id", "size", "row", "source_size", "target", F.floor("r").cast("long").alias("base"), (F.col("r") - F.floor("r")).alias("p")).alias("unit"),
     )
     units = written(units, "mix-units")
     fractional = (F.col("unit.p") > 0) & (F.col("unit.size") > 0)
     whole = units.where(~fractional).select("unit.*")
-    done = [whole.select("uid", "doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("base")).otherwise(F.lit(0).cast("long")).alias("copies"))]
+    done = [whole.select("row", "uid", "doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("base")).otherwise(F.lit(0).cast("long")).alias("copies"))]
     n = units.agg(F.max("n")).first()[0] or 0
     left, buckets = units.where(fractional).select("source", "bucket", "unit"), math.ceil(n / fan)
-    settled = lambda df: df.select("uid", "doc_id", "size", "source_size", "target", (F.col("base") + F.round("p").cast("long")).alias("copies"))
+    settled = lambda df: df.select("row", "uid", "doc_id", "size", "source_size", "target", (F.col("base") + F.round("p").cast("long")).alias("copies"))
     while True:
         level = written(_fold(left, seed), "mix-level")
         done.append(settled(level.select(F.explode("done").alias("u")).select("u.*")))
@@ -114,24 +114,52 @@ def pivotal_copies(rows: DataFrame, seed: int = 17, fan: int = 32) -> DataFrame:
     return out
 
 
+def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows with uid: a hash of the key columns and of the row's place among the rows with the same key.
+
+    rows have row, a number that is the same whenever they are read and whose upper bits name the task that gave it. Equal
+    rows may change places without anything changing, so uid depends on what the rows hold, not on how they are split or
+    ordered. A key that many rows share is counted task by task; only one row per key and task is brought together.
+    """
+    cells = [c for k in key for c in (F.col(k), F.col(k).isNull())]
+    keys = ["__a", "__b"]  # 128 bits of the key
+    local = rows.select("*", F.xxhash64(F.lit(1), *cells).alias("__a"), F.xxhash64(F.lit(2), *cells).alias("__b"), F.shiftright("row", 33).alias("__part"))
+    local = local.withColumn("__at", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("row")))
+    counts = local.groupBy(*keys, "__part").agg(F.max("__at").alias("__n"))
+    order = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    later = counts.withColumn("__before", F.sum("__n").over(order)).where("__before > 0")
+    place = F.col("__at") + F.coalesce("__before", F.lit(0))
+    return local.join(later.select(*keys, "__part", "__before"), [*keys, "__part"], "left").withColumn("uid", F.xxhash64(*keys, place)).select(*rows.columns, "uid")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17, fan: int = 32) -> DataFrame:
-    """(uid, doc_id, size, source_size, target, copies) of documents with columns doc_id, source and text.
+    """(row, uid, doc_id, size, source_size, target, copies) of documents with columns doc_id, source and text.
 
     Null texts have size 0 and get no copies; null sources are one source, ranked last; repeated rows are documents of
-    their own; an empty table gives no rows. Other columns are not read. uid is the row's place in the scan of docs.
+    their own; an empty table gives no rows. Other columns are not read. The same rows give the same copies, however they
+    are split into files and tasks: what is drawn depends on doc_id, source, size (and __print, where docs has it) and on
+    the place among rows that agree in them, which are as good as each other. row is docs' __row, or a number of this run.
     """
-    uid = F.col("__uid") if "__uid" in docs.columns else F.monotonically_increasing_id()
-    sized = docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
+    extra = [F.col("__print").alias("print")] if "__print" in docs.columns else []
+    sized = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *extra)
     sized = written(sized, "mix-sizes")
     targets = source_targets(sized.select("source", "size"), weights, share, most).withColumnRenamed("source", "of_source")
-    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+    rows = numbered(sized, ["doc_id", "source", "size", *(["print"] if extra else [])])
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     return pivotal_copies(rows, seed, fan)
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (not at all, once or more), all columns kept."""
+    """The rows of docs, each as often as the mix takes it (not at all, once or more), all columns kept.
+
+    Rows that differ in any column of a simple type are told apart by it, so that the same rows give the same mix however
+    they are split. Nulls, repeated rows and empty tables are as in mix.
+    """
     with scratch() as temp:
-        base = temp.keep(written(docs.withColumn("__uid", F.monotonically_increasing_id()), "mix-docs"))  # one numbering for both uses
-        copies = temp.keep(written(mix(base, **how).where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies")), "mix-copies"))
-    taken = base.join(copies.hint("merge"), "__uid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+        simple = [F.col(c) for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+        base = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__print", F.xxhash64(*simple))
+        base = temp.keep(written(base, "mix-docs"))  # one numbering for both uses
+        copies = temp.keep(written(mix(base, **how).where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies")), "mix-copies"))
+    taken = base.join(copies.hint("merge"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return taken.select(*docs.columns)
