@@ -188,7 +188,7 @@ def test_one_of_each_matches_brute_force_about_the_threshold(spark, hot):
                 x, y = sorted((top(i), top(j)))
                 root[y] = x
     assert close > 100
-    kept = simhash.one_of_each(docs_of(spark, texts), hot=hot)
+    kept = simhash.one_of_each(docs_of(spark, texts), miss=1e-6, hot=hot)
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if top(i) == i]
 
 

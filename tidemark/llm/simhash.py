@@ -1,23 +1,28 @@
 """SimHash near-deduplication with deletion-variant signatures.
 
-Fingerprints that differ in at most three bits agree, in one of two 32-bit halves, up to one bit. Each distinct
-fingerprint is therefore indexed under 2 x 32 keys: a half with one bit wiped out. Equal keys make candidates, and a
-candidate counts once its whole distance is verified. Exact copies have collapsed to one fingerprint before.
-
-A hot key (thousands of fingerprints of near copies share a half) is not paired off: it is refined by the same step on
-the other half, cut in two and then in two again, so that what is left under one key differs in at most
-1 + 1 + 1 + 8 bits, 2,048 fingerprints, however large the corpus.
+A fingerprint is cut into few segments, so few that one of them differs by at most one bit between any two that are to be
+found. Segments are indexed by their one-wildcard variants (a bit wiped out), equal variants make candidates, and a
+candidate counts once it is verified. What is indexed are the distinct values of a segment, never the fingerprints that
+have them: a value that a third of all rows share is one row there. Values one bit apart agree in one of their two
+halves; they meet by that half, and the variants of the other half are made and joined where they meet. So two rows per
+value are shuffled instead of one per variant, and no more than 2^(width / 2) values can ever meet, whatever the data.
+
+Two uses: `near_duplicates` links 64-bit fingerprints that differ in at most three bits (two segments of 32 bits; exact).
+`one_of_each` drops texts whose shingle sets are alike at 0.8 or more: its fingerprints are as long, and cut into as many
+segments, as the number of texts and the similarity ask for, and every candidate is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import scratch, written
@@ -83,12 +88,70 @@ def _variants(fp: Column, parts: list[tuple[int, int]]) -> Column:
     return F.array(*[F.struct(F.lit(64 * p + i).alias("slot"), key.alias("key")) for p, (low, n) in enumerate(parts) for i, key in enumerate(_wiped(fp, low, n))])
 
 
+def one_bit_groups(keyed: DataFrame, width: int, far: int = 64) -> DataFrame:
+    """(g, node): nodes whose segments differ in at most one bit are together in a group; so are chains of such segments.
+
+    keyed: (k, node, check), one row per node and segment; k is the segment's number, then its value (`width` bits, even).
+    Two nodes that are alone with their values and whose `check` prints lie over `far` bits apart are no candidates.
+    """
+    values = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("check"))
+    half, low = width // 2, F.lit((1 << width // 2) - 1).cast("long")
+    number = F.shiftright("k", width) * 2
+    upper, lower = F.shiftright("k", half).bitwiseAND(low), F.col("k").bitwiseAND(low)
+    side = lambda h, same, rest: F.struct(F.shiftleft(number + h, half).bitwiseOR(same).alias("g"), rest.alias("rest"))
+    halves = values.select("k", "n", "check", F.explode(F.array(side(0, upper, lower), side(1, lower, upper))).alias("s")).select("s.g", "s.rest", "k", "n", "check")
+    near = halves.repartition("g").sortWithinPartitions("g", "rest").mapInArrow(_one_bit(half, far), "k bigint, g bigint")
+    return keyed.select("k", "node").join(near.hint("merge"), "k").select("g", "node")
+
+
+def _one_bit(half: int, far: int):
+    """Runs of equal g, sorted: (g, rest, k, n, check) -> (k, g) for values that a variant joins, and for values that several nodes have."""
+
+    def solve(g: np.ndarray, rest: np.ndarray, k: np.ndarray, n: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
+        code = (np.cumsum(np.concatenate([[0], g[1:] != g[:-1]])) << half) | rest  # ascending, each once
+        a, b = [], []
+        for i in range(half):  # the variant without bit i: a value without it meets the one with it
+            at = np.flatnonzero(rest & (1 << i) == 0)
+            want = code[at] | (1 << i)
+            to = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            ok = code[to] == want
+            at, to = at[ok], to[ok]
+            ok = (n[at] > 1) | (n[to] > 1) | (np.bitwise_count(check[at] ^ check[to]) <= far)
+            a.append(at[ok]), b.append(to[ok])
+        root = np.arange(len(k))
+        for x, y in zip(np.concatenate(a).tolist(), np.concatenate(b).tolist()):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            root[max(x, y)] = min(x, y)
+        while (deep := root[root] != root).any():
+            root[deep] = root[root[deep]]
+        first = (g >> half) & 1 == 0
+        keep = np.bincount(root, minlength=len(k))[root] > 1
+        keep |= first & (n > 1)
+        return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array((k[root] << 1 | ~first)[keep])], names=["k", "g"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            if len(held[0]) and held[0][0] != held[0][-1]:
+                cut = int(np.searchsorted(held[0], held[0][-1])) if (held[0][1:] >= held[0][:-1]).all() else int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1
+                yield solve(*(c[:cut] for c in held))
+                held = [c[cut:].copy() for c in held]
+        if held is not None and len(held[0]):
+            yield solve(*held)
+
+    return run
+
+
 def _stars(n_bits: int):
     """Edges inside runs of equal keys: every fingerprint to one earlier linked one, enough to join what is linked."""
-    _COUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.int16)
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return sum(_COUNT[part] for part in (a ^ b).view(np.uint16).reshape(-1, 4).T) <= n_bits
+        return np.bitwise_count(a ^ b) <= n_bits
 
     def forest(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A spanning forest of the links within run (distinct fingerprints), breadth first; no pair list is kept."""
@@ -137,29 +200,34 @@ def _stars(n_bits: int):
     return run
 
 
-def links(distinct: DataFrame, n_bits: int = 3, hot: int = 2048) -> DataFrame:
+def links(distinct: DataFrame, n_bits: int = 3, hot: int = 16_384) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that join everything within n_bits <= 3 bits.
 
-    Inside a key's fingerprints only a spanning forest of the links is given: at most one edge per fingerprint and key,
-    never all pairs. Keys of over `hot` fingerprints are refined before any comparison; nothing is dropped.
+    Inside a group's fingerprints only a spanning forest of the links is given: at most one edge per fingerprint and
+    group, never all pairs. Groups of over `hot` fingerprints are not compared as they are: the same step is taken on the
+    variants of the group's half and on the other half, cut in two and then in two again, so that what meets differs in
+    at most 1 + 1 + 1 + 8 bits, 2,048 fingerprints, however large the corpus. Both ways are exact: of three bits at most
+    one lies in one of two halves, whatever is halved.
     """
-    keyed = distinct.select("fp", F.explode(_variants(F.col("fp"), [(0, 32), (32, 32)])).alias("v"))
-    half = F.when(F.col("v.slot") >= 64, 1).otherwise(0).cast("long")  # the key's half, in its lowest bit
-    keyed = keyed.select("fp", F.xxhash64("v.slot", "v.key").bitwiseAND(F.lit(-2)).bitwiseOR(half).alias("g"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("n > 1")
-    shared = written(shared, "simhash-keys")  # the one shuffle of all variants; few keys are shared
-    found = [_paired(shared.where(F.col("n") <= hot), n_bits)]
-    if shared.where(F.col("n") > hot).limit(1).count():
-        # the half that is not the key's, cut into 16 + 16 and then the 16 that is not into 8 + 8
-        for half, mine in ((0, 1), (32, 0)):
-            deep = shared.where((F.col("n") > hot) & (F.col("g").bitwiseAND(F.lit(1)) == mine))
-            for sixteen, other in ((half, half + 16), (half + 16, half)):
-                first = F.array(*[F.struct(F.lit(100 + i).alias("slot"), k.alias("key")) for i, k in enumerate(_wiped(F.col("fp"), sixteen, 16))])
-                second = _variants(F.col("fp"), [(other, 8), (other + 8, 8)])
-                fine = deep.select("fp", "g", F.explode(first).alias("v")).select("fp", F.xxhash64("g", F.lit(sixteen), "v.slot", "v.key").alias("g"))
-                fine = fine.select("fp", "g", F.explode(second).alias("v")).select("fp", F.xxhash64("g", "v.slot", "v.key").alias("g"))
-                many = fine.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                found.append(_paired(fine.join(many, "g"), n_bits))
+    mask = F.lit((1 << 32) - 1).cast("long")
+    parts = F.array(F.col("fp").bitwiseAND(mask), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))
+    keyed = distinct.select(F.explode(parts).alias("k"), F.col("fp").alias("node"), F.lit(0).cast("long").alias("check"))
+    groups = one_bit_groups(keyed, 32)
+    shared = written(groups.withColumnRenamed("node", "fp"), "simhash-groups")
+    sizes = shared.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("g")
+    if not sizes.limit(1).count():
+        return _paired(shared, n_bits).distinct()
+    found = [_paired(shared.join(sizes, "g", "left_anti"), n_bits)]
+    crowd = written(shared.join(sizes, "g", "left_semi").select("fp", F.shiftright("g", 33).alias("part")).distinct(), "simhash-crowd")
+    for part, own, other in ((0, 0, 32), (1, 32, 0)):
+        deep = crowd.where(F.col("part") == part).select("fp", F.explode(_variants(F.col("fp"), [(own, 32)])).alias("v")).select("fp", F.xxhash64("v.slot", "v.key").alias("g"))
+        for sixteen, rest in ((other, other + 16), (other + 16, other)):
+            first = F.array(*[F.struct(F.lit(100 + i).alias("slot"), k.alias("key")) for i, k in enumerate(_wiped(F.col("fp"), sixteen, 16))])
+            second = _variants(F.col("fp"), [(rest, 8), (rest + 8, 8)])
+            fine = deep.select("fp", "g", F.explode(first).alias("v")).select("fp", F.xxhash64("g", F.lit(part), F.lit(sixteen), "v.slot", "v.key").alias("g"))
+            fine = fine.select("fp", "g", F.explode(second).alias("v")).select("fp", F.xxhash64("g", "v.slot", "v.key").alias("g"))
+            many = fine.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+            found.append(_paired(fine.join(many.hint("merge"), "g"), n_bits))
     out = found[0]
     for x in found[1:]:
         out = out.unionAll(x)
@@ -170,11 +238,38 @@ def _paired(rows: DataFrame, n_bits: int) -> DataFrame:
     return rows.select("g", "fp").repartition("g").sortWithinPartitions("g").mapInArrow(_stars(n_bits), "a bigint, b bigint")
 
 
-# Similar texts, beyond copies: candidates by min-hash bands of the shingle sets, links by the sets themselves.
+# Similar texts, beyond copies: the same index over longer fingerprints, links by the shingle sets themselves.
 
-#: Min-hashes a band and bands: a pair alike at 0.8 shares a band in all but 7 of 10,000 cases, 1 - (1 - 0.8^6)^24.
-ROWS, BANDS = 6, 24
-_TURNS = np.random.default_rng(42).integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+@dataclass(frozen=True)
+class Cut:
+    """How fingerprints are cut so that of pairs alike at `similarity` a share of 1 - miss have a segment that differs in
+    at most one bit, while texts that have nothing in common rarely do: segments grow with the number of texts."""
+
+    similarity: float
+    width: int  # bits of a segment
+    segments: int
+
+    @classmethod
+    def of(cls, texts: int, similarity: float, miss: float) -> Cut:
+        width = max(16, 2 * math.ceil((math.log2(max(texts, 2)) + 6) / 2))
+        p = cls(similarity, 0, 0).differ
+        one = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+        return cls(similarity, width, math.ceil(math.log(miss) / math.log1p(-one)))
+
+    @property
+    def differ(self) -> float:
+        """Chance that a bit differs between two sets at the similarity: their angle (the widest, of equal sizes) by pi."""
+        return math.acos(min(1.0, 2 * self.similarity / (1 + self.similarity))) / math.pi
+
+    @property
+    def lanes(self) -> int:
+        """64-bit words of a print: the segments, and one more as a check."""
+        return -(-self.width * self.segments // 64) + 1
+
+    def far(self, bits: int) -> int:
+        """Bits of `bits` that differ at most at the similarity, but for five standard deviations."""
+        return math.ceil(bits * self.differ + 5 * math.sqrt(bits * self.differ * (1 - self.differ)))
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -182,33 +277,49 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    """ROWS x BANDS minima of a shingle set that is not empty: two sets share each with the chance of their similarity."""
-    low = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 512):
-        low = np.minimum(low, (_TURNS * shingles[at : at + 512]).min(axis=1))
-    return low
+def long_print(shingles: np.ndarray, lanes: int) -> np.ndarray:
+    """SimHash of a shingle set in `lanes` 64-bit words, as bits; every shingle has a weight of its own between 1/2 and 3/2,
+    so that sums of a few shingles do not tie. All 0 for an empty set."""
+    if not len(shingles):
+        return np.zeros(64 * lanes, np.uint8)
+    weight, sums = 0.5 + (shingles >> np.uint64(44) & np.uint64(255)).astype(float) / 255, np.zeros((8 * lanes, 256))
+    offset = np.arange(8 * lanes) * 256
+    for at in range(0, len(shingles), 2048):
+        part = shingles[at : at + 2048, None] * _turns(lanes)
+        part ^= part >> np.uint64(29)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(32)
+        codes = part.astype(">u8").view(np.uint8).reshape(len(part), -1) + offset
+        sums += np.bincount(codes.ravel(), np.repeat(weight[at : at + 2048], 8 * lanes), sums.size).reshape(sums.shape)
+    return (sums @ _BITS > weight.sum() / 2).astype(np.uint8).ravel()
+
+
+@functools.cache
+def _turns(lanes: int) -> np.ndarray:
+    return np.random.default_rng(42).integers(0, 1 << 63, lanes, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _signed(hashes: list[int]) -> np.ndarray:
     return np.array(hashes, np.uint64).view(np.int64)
 
 
-def _banded(width: int):
-    """(.., text) -> (.., node, bands, sketch): the hash of the shingle set, one of each band, a byte of each min-hash."""
+def _printed(width: int, cut: Cut):
+    """(.., text) -> (.., node, keys, print): the hash of the shingle set, one key of each segment, the words of the print."""
+    powers = (1 << np.arange(cut.width)[::-1]).astype(np.int64)
+    number = np.arange(cut.segments, dtype=np.int64) << cut.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             k = batch.num_columns - 1
-            node, bands, sketch = [], [], []
+            node, keys, prints = [], [], []
             for t in batch.column(k):
                 own = shingle_set(t.as_py(), width)
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
-                low = min_hashes(own) if len(own) else own
-                bands.append(_signed([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(low.reshape(-1, ROWS))]))
-                sketch.append((low >> np.uint64(16)).astype(np.uint8).tobytes())
-            made = [pa.array(_signed(node)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *made], names=[*batch.schema.names[:k], "node", "bands", "sketch"])
+                bits = long_print(own, cut.lanes)
+                keys.append(bits[: cut.width * cut.segments].reshape(cut.segments, cut.width) @ powers | number if len(own) else [])
+                prints.append(np.packbits(bits).view(">i8").astype(np.int64))
+            made = [pa.array(_signed(node)), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *made], names=[*batch.schema.names[:k], "node", "keys", "print"])
 
     return run
 
@@ -224,21 +335,21 @@ def _sets(width: int):
     return run
 
 
-def _apart(least: float):
-    """Runs of equal g (g, node, root, sketch): pairs (a, b) of different roots whose sketches agree in a share of `least`."""
+def _apart(far: int):
+    """Runs of equal g (g, node, root, print): pairs (a, b) of different roots whose prints lie within `far` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             g, node, root = (t.column(c).to_numpy() for c in ("g", "node", "root"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1)
+            words = np.stack(t.column("print").to_pylist()).astype(np.int64).view(np.uint64)
             edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
             a, b, n = [], [], 0
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 for i in range(s, e - 1):
                     j = i + 1 + np.flatnonzero(root[i + 1 : e] != root[i])
-                    j = j[(sketch[j] == sketch[i]).mean(axis=1) >= least] if len(j) else j
+                    j = j[np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64) <= far] if len(j) else j
                     a.append(np.full(len(j), node[i])), b.append(node[j])
                     n += len(j)
                     if n > 100_000:
@@ -263,38 +374,48 @@ def _apart(least: float):
     return run
 
 
-def similar_groups(base: DataFrame, distinct: DataFrame, width: int, similarity: float, hot: int) -> DataFrame:
-    """(node, root) of shingle sets that chains of pairs, each truly alike at `similarity`, join.
+def similar_groups(base: DataFrame, distinct: DataFrame, width: int, cut: Cut, hot: int) -> DataFrame:
+    """(node, root) of shingle sets that chains of pairs, each truly alike at the cut's similarity, join.
 
-    base has __uid and __text; distinct has one row per set: node, __uid (of a text with that set), bands, sketch. Equal
-    bands make candidates. First each band's sets are held against one of them, another one in each band; then, in bands
-    where more than one group is left, the pairs across groups that the sketches do not rule out (four standard
-    deviations under `similarity`). So a large group of near copies costs pairs in proportion to its size. A band of over
-    `hot` sets is dealt into blocks and each pair of blocks compared by itself. Every link is checked on the whole sets.
+    base has __uid and __text; distinct has one row per set: node, __uid (of a text with that set), keys, print. Sets with a
+    segment within one bit make candidates. First each group's sets are held against one of them; then, in groups where
+    more than one root is left, the pairs across roots. So a large group of near copies costs pairs in proportion to its
+    size. Pairs whose prints are too far apart for the similarity are not looked at further. A group of over `hot` sets is
+    dealt into blocks and each pair of blocks compared by itself. Every link is checked on the whole sets.
     """
-    keyed = distinct.select("node", F.explode("bands").alias("g"))
-    centre = keyed.groupBy("g").agg(F.min(F.struct(F.xxhash64("node", "g").alias("h"), "node")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(keyed.join(centre.select("g", F.col("m.node").alias("centre"), "n").hint("merge"), "g"), "similar-bands")
-    some = distinct.select("node", "__uid").join(shared.select("node").distinct().hint("merge"), "node", "left_semi")
-    sets = written(base.select("__uid", "__text").join(some.hint("merge"), "__uid").select("node", "__text").mapInArrow(_sets(width), "node bigint, s array<bigint>"), "similar-sets")
+    keyed = distinct.select("node", F.explode("keys").alias("k"), F.element_at("print", -1).alias("check"))
+    groups = written(one_bit_groups(keyed, cut.width, cut.far(64)), "similar-groups")
+    order = F.xxhash64("node", F.shiftright("g", cut.width + 1) % 2)  # few centres, so that pairs recur from segment to segment
+    centre = groups.groupBy("g").agg(F.min(F.struct(order.alias("h"), "node")).alias("m"), F.count(F.lit(1)).alias("n"))
+    shared = written(groups.join(centre.select("g", F.col("m.node").alias("centre"), "n").hint("merge"), "g"), "similar-shared")
+    prints = distinct.select("node", "print")
+    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+    def close(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(prints.select(F.col("node").alias("a"), F.col("print").alias("p")).hint("merge"), "a").join(prints.select(F.col("node").alias("b"), F.col("print").alias("q")).hint("merge"), "b")
+        return both.where(apart <= cut.far(64 * cut.lanes)).select("a", "b")
 
     def alike(pairs: DataFrame) -> DataFrame:
+        """Of pairs, those whose whole sets are alike; only the sets of these pairs are read."""
+        pairs = written(pairs, "similar-pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        some = distinct.select("node", "__uid").join(ids.hint("merge"), "node", "left_semi")
+        sets = written(base.select("__uid", "__text").join(some.hint("merge"), "__uid").select("node", "__text").mapInArrow(_sets(width), "node bigint, s array<bigint>"), "similar-sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
         both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
-        return written(both.where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("a", "b"), "similar-links")
+        return written(both.where(F.col("common") >= cut.similarity * (F.col("total") - F.col("common")) - 1e-9).select("a", "b"), "similar-links")
 
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = written(ordered(shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "similar-pairs")
-    links = alike(tried)
+    tried = written(ordered(shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "similar-tried")
+    links = alike(close(tried))
     roots = written(components(links), "similar-roots")
     grouped = shared.select("g", "node", "n").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = grouped.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
     left = written(grouped.where("n > 2").join(split.hint("merge"), "g", "left_semi"), "similar-split")  # of two, both were tried
     if not left.limit(1).count():
         return roots
-    rows = left.join(distinct.select("node", "sketch").hint("merge"), "node")
-    least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / (ROWS * BANDS))
-    pairs = lambda r: r.select("g", "node", "root", "sketch").repartition("g").sortWithinPartitions("g").mapInArrow(_apart(least), "a bigint, b bigint")
+    rows = left.join(prints.hint("merge"), "node")
+    pairs = lambda r: r.select("g", "node", "root", "print").repartition("g").sortWithinPartitions("g").mapInArrow(_apart(cut.far(64 * cut.lanes)), "a bigint, b bigint")
     found = pairs(rows.where(F.col("n") <= hot))
     if left.where(F.col("n") > hot).limit(1).count():
         blocks = F.ceil(F.col("n") / hot)
@@ -303,21 +424,24 @@ def similar_groups(base: DataFrame, distinct: DataFrame, width: int, similarity:
     return components(links.unionAll(alike(ordered(found).join(tried.hint("merge"), ["a", "b"], "left_anti"))))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, hot: int = 20_000) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 0.01, hot: int = 20_000) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest doc_id stays, whole.
 
     Rows are alike at a true Jaccard similarity of their sets of word shingles of `similarity` or more, and a group is what
-    chains of such pairs join. Null, empty and word-less texts are alike. Null doc_ids come last; among rows with the same
-    doc_id the first read stays. An empty table stays empty; all columns of docs are kept.
+    chains of such pairs join; no pair below it is ever linked. Of pairs at exactly `similarity` a share of `miss` is
+    overlooked, of those above less (see Cut; at any number of rows). Null, empty and word-less texts
+    are alike. Null doc_ids come last; among rows with the same doc_id the first read stays. An empty table stays empty; all
+    columns of docs are kept.
     """
     with scratch() as temp:
         base = temp.keep(written(docs.withColumn("__uid", F.monotonically_increasing_id()), "similar-docs"))  # one numbering for all uses
+        cut = Cut.of(base.count(), similarity, miss)
         text = F.col("text").cast("string").alias("__text")
-        prints = base.select("__uid", "doc_id", text).mapInArrow(_banded(width), f"__uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, bands array<bigint>, sketch binary")
+        prints = base.select("__uid", "doc_id", text).mapInArrow(_printed(width, cut), f"__uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, keys array<bigint>, print array<bigint>")
         prints = written(prints, "similar-prints")
-        distinct = prints.groupBy("node").agg(F.min(F.struct("__uid", "bands", "sketch")).alias("m"))
+        distinct = prints.groupBy("node").agg(F.min(F.struct("__uid", "keys", "print")).alias("m"))
         distinct = written(distinct.select("node", "m.*"), "similar-distinct")
-        groups = similar_groups(base.select("__uid", text), distinct, width, similarity, hot)
+        groups = similar_groups(base.select("__uid", text), distinct, width, cut, hot)
         grouped = prints.select("node", "doc_id", "__uid").join(groups, "node", "left").select(F.coalesce("root", "node").alias("g"), "doc_id", "__uid")
         first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("m"))
         first = temp.keep(written(first.select(F.col("m.__uid").alias("__uid")), "similar-first"))
