@@ -5,8 +5,8 @@ smallest hash of its `gram`-byte substrings lies (the rightmost of equals). Equa
 offsets, so only suffixes that start at anchors are ever ordered: a Burrows-Wheeler transform sampled where the text
 itself says, with the bytes before the anchor in place of the one preceding symbol.
 
-1. Each shard (task) finds the anchors of its texts and the range of starts each anchor stands for. Grouped counts over
-   anchor hashes drop anchors seen once; contexts that are equal as a whole collapse to one, however many copies.
+1. Each shard (task) finds the anchors of its texts and the range of starts each anchor stands for. Contexts that are
+   equal as a whole collapse to one, however many copies; anchors that then have one context only need no order.
 2. The contexts of an anchor come to one task as runs, each run a shard's piece of the order. They are merged by
    refining an interleave, as in Holt and McMillan (2014): start with the runs one after the other, and in round h
    split every interval whose members still agree by symbol h of the context (a word of eight bytes), stably. The round
@@ -16,7 +16,8 @@ itself says, with the bytes before the anchor in place of the one preceding symb
    same interval of both orders at these depths.
 
 Anchors with more distinct contexts than `hot` are not gathered: their starts are counted by a hash of the whole string,
-one grouped sum that combines on the map side.
+one grouped sum that combines on the map side; the result is the same either way. Rows are never brought together by an
+anchor's hash alone, only its distinct contexts, and of these no more than `hot`.
 """
 
 from __future__ import annotations
@@ -267,24 +268,28 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 80, hot: int
         return temp.keep(_repeated_ranges(docs, length, gram, hot))
 
 
+def _few(keys: DataFrame, most: int = 200_000) -> DataFrame:
+    """keys, to be broadcast where they are counted to be few (16 bytes each), else for a merge join."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge")
+
+
 def _repeated_ranges(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     named = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("th"), F.octet_length("text").alias("nb"), "text").where(F.col("nb") >= length)
     found = written(named.mapInArrow(_anchor_rows(length, gram), "th bigint, nb int, pos int, own int, off int, seed bigint, ctx bigint"), "sfx-anchors")
-    seeds = found.groupBy("seed").agg(F.count(F.lit(1)).alias("times"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("times > 1").select("seed", (F.col("c0") != F.col("c1")).alias("differ"))
-    again = written(found.join(seeds, "seed"), "sfx-again")
-    whole = again.where(~F.col("differ")).select("th", "nb", F.col("pos").alias("lo"), (F.col("pos") + F.col("own")).alias("hi"))
-
-    differ = again.where("differ")
-    contexts = written(differ.groupBy("seed", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "nb", "pos", "own", "off")).alias("at")), "sfx-contexts")
-    crowded = contexts.groupBy("seed").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("seed")
-    texts = named.mapInArrow(_squeeze, "th bigint, nb int, z binary").groupBy("th", "nb").agg(F.first("z").alias("z"))
+    # one row per context, however many rows have it; combined on the map side
+    contexts = written(found.groupBy("seed", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "nb", "pos", "own", "off")).alias("at")), "sfx-contexts")
+    seeds = written(contexts.groupBy("seed").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sfx-seeds")
+    crowded = seeds.where(F.col("m") > hot).select("seed")
     any_crowded = crowded.limit(1).count() > 0
+    crowded = _few(crowded) if any_crowded else crowded
+    texts = named.mapInArrow(_squeeze, "th bigint, nb int, z binary").groupBy("th", "nb").agg(F.first("z").alias("z"))
 
     def with_text(some: DataFrame, hot_ones: bool, schema: str) -> DataFrame:
         per_text = some.select("at.th", "at.nb", F.struct("seed", "ctx", "n", "at.pos", "at.own", "at.off").alias("c")).groupBy("th", "nb").agg(F.collect_list("c").alias("found"))
         return texts.join(per_text.hint("merge"), ["th", "nb"]).select("z", "found").mapInArrow(_contexts(length, hot_ones), schema)
 
-    calm = contexts.join(crowded, "seed", "left_anti") if any_crowded else contexts
+    calm = contexts.join(crowded, "seed", "left_anti") if any_crowded else contexts  # no seed has over `hot` contexts here
+    calm = calm.join(seeds.where(F.col("m") <= hot).select("seed").hint("merge"), "seed")
     rows = with_text(calm, False, "seed bigint, ctx bigint, n bigint, off int, own int, bytes binary, shard int, place int")
     merged = rows.repartition("seed").sortWithinPartitions("seed", "shard", "place").mapInArrow(_merge(length), "seed bigint, ctx bigint, lo int, hi int")
     if any_crowded:
@@ -292,9 +297,17 @@ def _repeated_ranges(docs: DataFrame, length: int, gram: int, hot: int) -> DataF
         starts = written(starts, "sfx-starts")
         twice = starts.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
         merged = merged.unionAll(starts.where("n = 1").join(twice, ["w1", "w2"], "left_semi").select("seed", "ctx", F.col("start").alias("lo"), (F.col("start") + 1).alias("hi")))
-    marks = merged.unionAll(contexts.where("n > 1").select("seed", "ctx", F.lit(0).alias("lo"), F.col("at.own").alias("hi")))
-    parts = differ.join(marks, ["seed", "ctx"]).select("th", "nb", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
-    return written(whole.unionAll(parts).groupBy("th", "nb").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("starts")), "sfx-ranges")
+    # every start of a context that two rows have is repeated; contexts that very many rows have go by themselves
+    many = contexts.where(F.col("n") > hot).select("seed", "ctx")
+    marks = merged.unionAll(contexts.where("n > 1").where(F.col("n") <= hot).select("seed", "ctx", F.lit(0).alias("lo"), F.col("at.own").alias("hi")))
+    rare, common = found, None
+    if many.limit(1).count():
+        many = _few(many)
+        rare = found.join(many, ["seed", "ctx"], "left_anti")
+        common = found.join(many, ["seed", "ctx"], "left_semi").select("th", "nb", F.col("pos").alias("lo"), (F.col("pos") + F.col("own")).alias("hi"))
+    parts = rare.join(marks.hint("merge"), ["seed", "ctx"]).select("th", "nb", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
+    parts = parts.unionAll(common) if common is not None else parts
+    return written(parts.groupBy("th", "nb").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("starts")), "sfx-ranges")
 
 
 def spans(starts: list[dict] | None, length: int) -> list[tuple[int, int]]:
