@@ -135,8 +135,8 @@ def test_null_ids_and_empty_table(spark):
     assert simhash.near_duplicates(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_one_of_each_keeps_one_row_of_each_group(spark, hot):
+@pytest.mark.parametrize("block", [1_000_000, 400])
+def test_one_of_each_keeps_one_row_of_each_group(spark, block):
     rng = random.Random(2)
     w = [f"w{i}" for i in range(2000)]
     base = [[rng.choice(w) for _ in range(400)] for _ in range(5)]
@@ -147,12 +147,12 @@ def test_one_of_each_keeps_one_row_of_each_group(spark, hot):
         c[50], c[300] = "changed", "words"
         near.append(" ".join(c))
     all_texts = texts + near + [texts[4], None, ""]
-    kept = simhash.one_of_each(docs_of(spark, all_texts), hot=hot)
+    kept = simhash.one_of_each(docs_of(spark, all_texts), block=block)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 9] and kept.columns == docs_of(spark, ["a"]).columns
 
 
-@pytest.mark.parametrize("hot", [20_000, 4])
-def test_one_of_each_matches_brute_force_about_the_threshold(spark, hot):
+@pytest.mark.parametrize("block", [1_000_000, 700])
+def test_one_of_each_matches_brute_force_about_the_threshold(spark, block):
     rng = random.Random(11)
     w = [f"w{i}" for i in range(3000)]
     texts = []
@@ -188,7 +188,7 @@ def test_one_of_each_matches_brute_force_about_the_threshold(spark, hot):
                 x, y = sorted((top(i), top(j)))
                 root[y] = x
     assert close > 100
-    kept = simhash.one_of_each(docs_of(spark, texts), miss=1e-6, hot=hot)
+    kept = simhash.one_of_each(docs_of(spark, texts), miss=1e-6, block=block)
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if top(i) == i]
 
 

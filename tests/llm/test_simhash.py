@@ -44,7 +44,7 @@ def test_cut_finds_what_it_promises(texts, size):
             continue
         differ = simhash.long_print(a, cut.lanes) != simhash.long_print(b, cut.lanes)
         segments = differ[: cut.width * cut.segments].reshape(cut.segments, cut.width).sum(1)
-        found.append((segments <= 1).any() and differ[-64:].sum() <= cut.far(64) and differ.sum() <= cut.far(64 * cut.lanes))
+        found.append((segments <= 1).any() and differ[-64:].sum() <= cut.far(64, 4) and differ.sum() <= cut.far(64 * cut.lanes, 3))
     assert len(found) > 100 and np.mean(found) >= 0.97
 
 
@@ -52,7 +52,7 @@ def test_unrelated_sets_rarely_meet():
     rng, cut = np.random.default_rng(2), simhash.Cut.of(220_000, 0.8, 0.01)
     prints = np.stack([simhash.long_print(rng.integers(0, 1 << 63, 60).astype(np.uint64), cut.lanes) for _ in range(400)])
     gaps = [(prints[i] != prints[j]).sum() for i in range(400) for j in range(i)]
-    assert min(gaps) > cut.far(64 * cut.lanes)
+    assert min(gaps) > cut.far(64 * cut.lanes, 3)
 
 
 def test_empty_and_one_shingle_sets():

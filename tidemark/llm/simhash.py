@@ -108,6 +108,7 @@ def _one_bit(half: int, far: int):
     """Runs of equal g, sorted: (g, rest, k, n, check) -> (k, g) for values that a variant joins, and for values that several nodes have."""
 
     def solve(g: np.ndarray, rest: np.ndarray, k: np.ndarray, n: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
+        check = check.view(np.uint64)
         code = (np.cumsum(np.concatenate([[0], g[1:] != g[:-1]])) << half) | rest  # ascending, each once
         a, b = [], []
         for i in range(half):  # the variant without bit i: a value without it meets the one with it
@@ -267,9 +268,9 @@ class Cut:
         """64-bit words of a print: the segments, and one more as a check."""
         return -(-self.width * self.segments // 64) + 1
 
-    def far(self, bits: int) -> int:
-        """Bits of `bits` that differ at most at the similarity, but for five standard deviations."""
-        return math.ceil(bits * self.differ + 5 * math.sqrt(bits * self.differ * (1 - self.differ)))
+    def far(self, bits: int, deviations: float) -> int:
+        """Bits of `bits` that differ at most at the similarity, but for so many standard deviations."""
+        return math.ceil(bits * self.differ + deviations * math.sqrt(bits * self.differ * (1 - self.differ)))
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -326,105 +327,92 @@ def _printed(width: int, cut: Cut):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            k = batch.num_columns - 1
+            sets = [shingle_set(t.as_py(), width).view(np.int64) for t in batch.column(k)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(sets, pa.list_(pa.int64()))], names=[*batch.schema.names[:k], "s"])
 
     return run
 
 
-def _apart(far: int):
-    """Runs of equal g (g, node, root, print): pairs (a, b) of different roots whose prints lie within `far` bits."""
+def _forest(cut: Cut):
+    """Runs of equal (c, i, j): a spanning forest of the links in them, as (a, b); no pair list is kept.
+
+    Rows are (c, i, j, node, block, print, s). Where i and j differ, only nodes of different blocks are compared. Two nodes
+    not yet joined are looked at if their prints are close, and joined if their whole sets are alike.
+    """
+    far = cut.far(64 * cut.lanes, 3)
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        if len(x) < cut.similarity * len(y) - 1e-9:
+            return False
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        common = int((y[at] == x).sum())
+        return common >= cut.similarity * (len(x) + len(y) - common) - 1e-9
+
+    def solve(t: pa.Table) -> tuple[list[int], list[int]]:
+        node, block = t.column("node").to_numpy(), t.column("block").to_numpy()
+        words = np.stack(t.column("print").to_pylist()).astype(np.int64).view(np.uint64)
+        flat = t.column("s").combine_chunks()
+        ends, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)  # as they are sorted
+        sets = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        tree, a, b = np.arange(len(node)), [], []
+        for x in range(len(node) - 1):
+            near = x + 1 + np.flatnonzero(tree[x + 1 :] != tree[x])
+            near = near[block[near] != block[x]] if across else near
+            if not len(near):
+                continue
+            near = near[np.bitwise_count(words[near] ^ words[x]).sum(axis=1, dtype=np.int64) <= far]
+            for y in near.tolist():
+                if tree[y] != tree[x] and alike(sets[x], sets[y]):
+                    tree[tree == tree[y]] = tree[x]
+                    a.append(int(node[x])), b.append(int(node[y]))
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-
-        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            g, node, root = (t.column(c).to_numpy() for c in ("g", "node", "root"))
-            words = np.stack(t.column("print").to_pylist()).astype(np.int64).view(np.uint64)
-            edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-            a, b, n = [], [], 0
-            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                for i in range(s, e - 1):
-                    j = i + 1 + np.flatnonzero(root[i + 1 : e] != root[i])
-                    j = j[np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64) <= far] if len(j) else j
-                    a.append(np.full(len(j), node[i])), b.append(node[j])
-                    n += len(j)
-                    if n > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                        a, b, n = [], [], 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t])
             if not len(t):
                 continue
-            g = t.column("g").to_numpy()
-            cut = int(np.flatnonzero(g[1:] != g[:-1])[-1]) + 1 if (g != g[-1]).any() else 0  # the last run may go on
-            if cut:
-                yield from out(t.slice(0, cut))
-            held = t.slice(cut)
+            key = np.stack([t.column(c).to_numpy() for c in ("c", "i", "j")])
+            edge = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+            for s, e in zip(edge, edge[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in solve(t.slice(s, e - s))], names=["a", "b"])
+            held = t.slice(edge[-1])  # the last run may go on
         if held is not None and len(held):
-            yield from out(held)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in solve(held)], names=["a", "b"])
 
     return run
 
 
-def similar_groups(base: DataFrame, distinct: DataFrame, width: int, cut: Cut, hot: int) -> DataFrame:
+def similar_groups(base: DataFrame, distinct: DataFrame, width: int, cut: Cut, block: int) -> DataFrame:
     """(node, root) of shingle sets that chains of pairs, each truly alike at the cut's similarity, join.
 
     base has __uid and __text; distinct has one row per set: node, __uid (of a text with that set), keys, print. Sets with a
-    segment within one bit make candidates. First each group's sets are held against one of them; then, in groups where
-    more than one root is left, the pairs across roots. So a large group of near copies costs pairs in proportion to its
-    size. Pairs whose prints are too far apart for the similarity are not looked at further. A group of over `hot` sets is
-    dealt into blocks and each pair of blocks compared by itself. Every link is checked on the whole sets.
+    segment within one bit are candidates, and what candidates chain together is a cluster. The sets of a cluster meet in
+    one task, or, beyond `block` shingles, dealt into blocks, in one task per pair of blocks; each gives a spanning forest
+    of the links that it verifies on the whole sets. So a pair is never a row, and no set travels once per segment.
     """
     keyed = distinct.select("node", F.explode("keys").alias("k"), F.element_at("print", -1).alias("check"))
-    groups = written(one_bit_groups(keyed, cut.width, cut.far(64)), "similar-groups")
-    order = F.xxhash64("node", F.shiftright("g", cut.width + 1) % 2)  # few centres, so that pairs recur from segment to segment
-    centre = groups.groupBy("g").agg(F.min(F.struct(order.alias("h"), "node")).alias("m"), F.count(F.lit(1)).alias("n"))
-    shared = written(groups.join(centre.select("g", F.col("m.node").alias("centre"), "n").hint("merge"), "g"), "similar-shared")
-    prints = distinct.select("node", "print")
-    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-
-    def close(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(prints.select(F.col("node").alias("a"), F.col("print").alias("p")).hint("merge"), "a").join(prints.select(F.col("node").alias("b"), F.col("print").alias("q")).hint("merge"), "b")
-        return both.where(apart <= cut.far(64 * cut.lanes)).select("a", "b")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Of pairs, those whose whole sets are alike; only the sets of these pairs are read."""
-        pairs = written(pairs, "similar-pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        some = distinct.select("node", "__uid").join(ids.hint("merge"), "node", "left_semi")
-        sets = written(base.select("__uid", "__text").join(some.hint("merge"), "__uid").select("node", "__text").mapInArrow(_sets(width), "node bigint, s array<bigint>"), "similar-sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
-        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
-        return written(both.where(F.col("common") >= cut.similarity * (F.col("total") - F.col("common")) - 1e-9).select("a", "b"), "similar-links")
-
-    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = written(ordered(shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "similar-tried")
-    links = alike(close(tried))
-    roots = written(components(links), "similar-roots")
-    grouped = shared.select("g", "node", "n").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = grouped.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
-    left = written(grouped.where("n > 2").join(split.hint("merge"), "g", "left_semi"), "similar-split")  # of two, both were tried
-    if not left.limit(1).count():
-        return roots
-    rows = left.join(prints.hint("merge"), "node")
-    pairs = lambda r: r.select("g", "node", "root", "print").repartition("g").sortWithinPartitions("g").mapInArrow(_apart(cut.far(64 * cut.lanes)), "a bigint, b bigint")
-    found = pairs(rows.where(F.col("n") <= hot))
-    if left.where(F.col("n") > hot).limit(1).count():
-        blocks = F.ceil(F.col("n") / hot)
-        own = rows.where(F.col("n") > hot).withColumn("i", F.pmod(F.xxhash64("node"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        found = found.unionAll(pairs(own.withColumn("g", F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")))))
-    return components(links.unionAll(alike(ordered(found).join(tried.hint("merge"), ["a", "b"], "left_anti"))))
-
-
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 0.01, hot: int = 20_000) -> DataFrame:
+    groups = written(one_bit_groups(keyed, cut.width, cut.far(64, 4)), "similar-groups")
+    first = groups.groupBy("g").agg(F.min("node").alias("a"))
+    clusters = written(components(groups.join(first.hint("merge"), "g").select("a", F.col("node").alias("b")).distinct()), "similar-clusters").select("node", F.col("root").alias("c"))
+    some = distinct.select("node", "__uid", "print").join(clusters.hint("merge"), "node")
+    sets = base.select("__uid", "__text").join(some.hint("merge"), "__uid").select("c", "node", "print", "__text").mapInArrow(_sets(width), "c bigint, node bigint, print array<bigint>, s array<bigint>")
+    sets = written(sets, "similar-sets")
+    blocks = sets.groupBy("c").agg(F.ceil(F.sum(F.size("s")) / block).alias("blocks"))
+    dealt = sets.join(blocks.hint("merge"), "c").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = dealt.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "print", "s")
+    links = rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(_forest(cut), "a bigint, b bigint")
+    return components(links)
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 0.01, block: int = 1_000_000) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest doc_id stays, whole.
 
     Rows are alike at a true Jaccard similarity of their sets of word shingles of `similarity` or more, and a group is what
@@ -441,7 +429,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss:
         prints = written(prints, "similar-prints")
         distinct = prints.groupBy("node").agg(F.min(F.struct("__uid", "keys", "print")).alias("m"))
         distinct = written(distinct.select("node", "m.*"), "similar-distinct")
-        groups = similar_groups(base.select("__uid", text), distinct, width, cut, hot)
+        groups = similar_groups(base.select("__uid", text), distinct, width, cut, block)
         grouped = prints.select("node", "doc_id", "__uid").join(groups, "node", "left").select(F.coalesce("root", "node").alias("g"), "doc_id", "__uid")
         first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("m"))
         first = temp.keep(written(first.select(F.col("m.__uid").alias("__uid")), "similar-first"))

@@ -273,11 +273,23 @@ def _few(keys: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge")
 
 
+def _seen_again(found: DataFrame, hot: int) -> DataFrame:
+    """The rows of found whose seed is there twice or more; rows of a seed seen over `hot` times stay where they are."""
+    times = written(found.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "sfx-times")
+    busy = times.where(F.col("times") > hot).select("seed")
+    if not busy.limit(1).count():
+        return found.join(times.select("seed").hint("merge"), "seed", "left_semi")
+    busy = _few(busy)
+    calm = found.join(busy, "seed", "left_anti").join(times.where(F.col("times") <= hot).select("seed").hint("merge"), "seed", "left_semi")
+    return calm.unionByName(found.join(busy, "seed", "left_semi"))
+
+
 def _repeated_ranges(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     named = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("th"), F.octet_length("text").alias("nb"), "text").where(F.col("nb") >= length)
     found = written(named.mapInArrow(_anchor_rows(length, gram), "th bigint, nb int, pos int, own int, off int, seed bigint, ctx bigint"), "sfx-anchors")
+    again = written(_seen_again(found, hot), "sfx-again")
     # one row per context, however many rows have it; combined on the map side
-    contexts = written(found.groupBy("seed", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "nb", "pos", "own", "off")).alias("at")), "sfx-contexts")
+    contexts = written(again.groupBy("seed", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "nb", "pos", "own", "off")).alias("at")), "sfx-contexts")
     seeds = written(contexts.groupBy("seed").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sfx-seeds")
     crowded = seeds.where(F.col("m") > hot).select("seed")
     any_crowded = crowded.limit(1).count() > 0
@@ -300,11 +312,11 @@ def _repeated_ranges(docs: DataFrame, length: int, gram: int, hot: int) -> DataF
     # every start of a context that two rows have is repeated; contexts that very many rows have go by themselves
     many = contexts.where(F.col("n") > hot).select("seed", "ctx")
     marks = merged.unionAll(contexts.where("n > 1").where(F.col("n") <= hot).select("seed", "ctx", F.lit(0).alias("lo"), F.col("at.own").alias("hi")))
-    rare, common = found, None
+    rare, common = again, None
     if many.limit(1).count():
         many = _few(many)
-        rare = found.join(many, ["seed", "ctx"], "left_anti")
-        common = found.join(many, ["seed", "ctx"], "left_semi").select("th", "nb", F.col("pos").alias("lo"), (F.col("pos") + F.col("own")).alias("hi"))
+        rare = again.join(many, ["seed", "ctx"], "left_anti")
+        common = again.join(many, ["seed", "ctx"], "left_semi").select("th", "nb", F.col("pos").alias("lo"), (F.col("pos") + F.col("own")).alias("hi"))
     parts = rare.join(marks.hint("merge"), ["seed", "ctx"]).select("th", "nb", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     parts = parts.unionAll(common) if common is not None else parts
     return written(parts.groupBy("th", "nb").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("starts")), "sfx-ranges")
