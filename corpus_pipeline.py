@@ -21,6 +21,9 @@ QUALITY = 0.3
 #: Repeated passages of over so many words go; the shortest has PASSAGE + 1 letters and PASSAGE spaces.
 PASSAGE = 50
 
+#: Bytes that decide where such a passage is anchored: the fewer, the fewer anchors; the more, the fewer of them by chance.
+GRAM = 32
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier, fitted on these docs, scores at QUALITY or more."""
@@ -29,14 +32,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: candidates by min-hash bands of five-word shingles, and of these the
-    pairs whose shingle sets are really alike at 0.8 or more."""
+    """One document of each group of near-duplicates: candidates by the deletion variants of their fingerprints'
+    segments, and of these the pairs whose sets of five-word shingles are really alike at 0.8 or more."""
     return simhash.one_of_each(docs, width=5).select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages of over PASSAGE words; documents of which nothing is left go."""
-    left = suffixes.remove_repeats(docs, ("doc_id", "lang", "source"), length=2 * PASSAGE + 1, gram=PASSAGE, rewrite=True, words=PASSAGE)
+    left = suffixes.remove_repeats(docs, ("doc_id", "lang", "source"), length=2 * PASSAGE + 1, gram=GRAM, rewrite=True, words=PASSAGE)
     return left.where(F.length(F.trim("text")) > 0).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
