@@ -16,7 +16,7 @@ from tidemark.streaming import replay as streaming
 def test_same_day_rows_are_not_history(spark):
     rows = [(1, "a", date(2024, 1, 1), 2), (2, "a", date(2024, 1, 6), 1), (3, "a", date(2024, 1, 6), 4), (4, "a", date(2024, 1, 11), 0)]
     df = spark.createDataFrame(rows, "id int, team string, match_date date, gf int")
-    out = df.select("id", windows.rest_days(["team"]).alias("rest"), windows.mean(windows.last_n("gf", ["team"], 5, ["id"])).alias("m"), F.count(F.lit(1)).over(windows.last_days(["team"], 7)).alias("n7")).orderBy("id").collect()
+    out = windows.last_n(df, "gf", ["team"], 5, ["id"], "h").select("id", windows.rest_days(["team"]).alias("rest"), windows.mean(F.col("h")).alias("m"), F.count(F.lit(1)).over(windows.last_days(["team"], 7)).alias("n7")).orderBy("id").collect()
     assert [(r.rest, r.m, r.n7) for r in out] == [(14, None, 0), (5, 2.0, 1), (5, 2.0, 1), (5, pytest.approx(7 / 3), 2)]
 
 

@@ -137,13 +137,23 @@ def double_chance(p1x: Column, p12: Column, px2: Column) -> list[Column]:
 
 
 def row_stats(cols: list[Column], ddof: int = 0) -> dict[str, Column]:
-    """NaN- and NULL-skipping mean, std, max, min, range and count across columns of a row."""
-    values = F.filter(F.array(*cols), lambda x: x.isNotNull() & ~F.isnan(x))
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    mean = F.when(n > 0, total / n)
-    var = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return {"mean": mean, "std": F.when(n > ddof, F.sqrt(var / (n - ddof))), "max": F.array_max(values), "min": F.array_min(values), "range": F.array_max(values) - F.array_min(values), "count": n.cast("long")}
+    """NaN- and NULL-skipping mean, std, max, min, range and count across columns of a row.
+
+    Plain column sums, so that generated code shares them: no array, no lambda. `squares` is the sum of squared gaps from
+    the mean, from which row_std makes another deviation.
+    """
+    values = [F.when(~F.isnan(c), c) for c in (c.cast("double") for c in cols)]
+    n = plus([v.isNotNull().cast("int") for v in values])
+    mean = F.when(n > 0, plus([F.coalesce(v, F.lit(0.0)) for v in values]) / n)
+    squares = plus([F.coalesce((v - mean) * (v - mean), F.lit(0.0)) for v in values])
+    top, low = (f(*values) if len(values) > 1 else values[0] for f in (F.greatest, F.least))
+    out = {"mean": mean, "max": top, "min": low, "range": top - low, "count": n.cast("long"), "squares": squares}
+    return out | {"std": row_std(out, ddof)}
+
+
+def row_std(stats: dict[str, Column], ddof: int) -> Column:
+    """Standard deviation with so many degrees of freedom less, from row_stats."""
+    return F.when(stats["count"] > ddof, F.sqrt(stats["squares"] / (stats["count"] - ddof)))
 
 
 def elo_expectation(a: Column, b: Column) -> Column:

@@ -82,14 +82,19 @@ def nested_roles(df: DataFrame, folds: list[int], year: str, date: str) -> DataF
     """fold, role and the row, for train / tune / calibration / test with purged boundaries.
 
     test = fold year, calibration = fold - 1, tune = fold - 2, train earlier. Rows on or after the first date of the next
-    (already purged) part are dropped, from the test backwards. Each boundary is one grouped minimum.
+    (already purged) part are dropped, from the test backwards. All bounds come from one grouped minimum per fold and role.
     """
     f = df.select("*", F.explode(F.array(*[F.lit(y) for y in folds])).alias("fold")).where(F.col(year) <= F.col("fold"))
     f = f.withColumn("role", F.when(F.col(year) == F.col("fold"), "test").when(F.col(year) == F.col("fold") - 1, "calibration").when(F.col(year) == F.col("fold") - 2, "tune").otherwise("train"))
-    for part, after in (("calibration", "test"), ("tune", "calibration"), ("train", "tune")):
-        start = F.min(F.when(F.col("role") == after, F.col(date))).over(Window.partitionBy("fold"))
-        f = f.withColumn("__s", start).where((F.col("role") != part) | F.col("__s").isNull() | (F.col(date) < F.col("__s"))).drop("__s")
-    return f
+    first = {r: F.min(F.when(F.col("role") == r, F.col(date))) for r in ("test", "calibration", "tune")}
+    starts = f.groupBy("fold").agg(*[v.alias(r) for r, v in first.items()])
+    # of a purged part only dates before its bound are left, so its first date is its own or there is none
+    kept = lambda part, bound: F.when(bound.isNull() | (part < bound), part)
+    calibration = kept(F.col("calibration"), F.col("test"))
+    starts = starts.select("fold", F.col("test").alias("__test"), calibration.alias("__calibration"), kept(F.col("tune"), calibration).alias("__tune"))
+    bound = F.when(F.col("role") == "calibration", F.col("__test")).when(F.col("role") == "tune", F.col("__calibration")).when(F.col("role") == "train", F.col("__tune"))
+    f = f.join(F.broadcast(starts), "fold")  # one row for each of the given folds
+    return f.where(bound.isNull() | (F.col(date) < bound)).drop("__test", "__calibration", "__tune")
 
 
 def leakage_report(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -125,7 +130,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, profit: str = "profit", itera
 def same_size_control(df: DataFrame, strata: list[str], sizes: DataFrame, row_id: str, seed: int = 17) -> DataFrame:
     """As many rows of each stratum as `sizes` (strata, n) says, by a seeded hash."""
     w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id)
-    return df.withColumn("__r", F.row_number().over(w)).join(F.broadcast(sizes), strata).where(F.col("__r") <= F.col("n")).drop("__r", "n")  # one row per stratum
+    return df.withColumn("__r", F.row_number().over(w)).join(sizes, strata).where(F.col("__r") <= F.col("n")).drop("__r", "n")
 
 
 def permuted(df: DataFrame, keys: list[str], value: str, row_id: str, seed: int = 17) -> DataFrame:

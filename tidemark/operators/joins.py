@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +35,33 @@ def validated_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(right, on, how)
 
 
-def interval_join(left: DataFrame, intervals: DataFrame, keys: list[str], ts: str, start: str, end: str, order: list[Column]) -> DataFrame:
-    """Left rows with the best interval [start, end) that holds their time; open ends are NULL; `order` ranks candidates."""
-    l = left.withColumn("__row", F.monotonically_increasing_id())  # noqa: E741
+def interval_join(left: DataFrame, intervals: DataFrame, keys: list[str], ts: str, start: str, end: str, order: list[Column], days: int = 30) -> DataFrame:
+    """Left rows with the best interval [start, end) that holds their time; open ends are NULL; `order` ranks candidates.
+
+    Intervals may overlap. Closed ones stand in every bucket of `days` days that they touch, so that the join is an equality
+    and a row meets only intervals near its time. Open ones have no end to be dealt by: of these a row meets its key's.
+    """
+    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    bucket = lambda c: F.floor(second(c) / (86_400 * days))
+    left = left.withColumn("__row", F.monotonically_increasing_id())
     hit = (F.col(start).isNull() | (F.col(start) <= F.col(ts))) & (F.col(end).isNull() | (F.col(ts) < F.col(end)))
-    both = l.join(intervals, reduce(lambda a, b: a & b, [l[k] == intervals[k] for k in keys]) & hit, "left")
-    for k in keys:
-        both = both.drop(intervals[k])
-    return both.withColumn("__rank", F.row_number().over(Window.partitionBy("__row").orderBy(*order))).where("__rank = 1").drop("__rank", "__row")
+    closed = F.col(start).isNotNull() & F.col(end).isNotNull()
+    near = left.withColumn("__b", bucket(ts)).join(intervals.where(closed & (F.col(start) < F.col(end))).withColumn("__b", F.explode(F.sequence(bucket(start), bucket(end)))), [*keys, "__b"]).drop("__b")
+    both = near.unionByName(left.join(intervals.where(~closed), keys)).where(hit)
+    best = both.withColumn("__rank", F.row_number().over(Window.partitionBy("__row").orderBy(*order))).where("__rank = 1")
+    rest = [c for c in intervals.columns if c not in keys]
+    return left.join(best.select("__row", *rest), "__row", "left").drop("__row")
+
+
+def current_interval(left: DataFrame, intervals: DataFrame, keys: list[str], ts: str, start: str, end: str) -> DataFrame:
+    """Left rows with the interval [start, end) that holds their time, where a key's intervals do not overlap.
+
+    The last start up to the time is carried forward (asof), and dropped where its interval has ended: one sorted pass.
+    """
+    rest = [c for c in intervals.columns if c not in keys]
+    out = asof(left, intervals.where(F.col(start).isNotNull()), keys, ts, start, rest, strict=False)
+    over = F.col(end).isNotNull() & (F.col(end) <= F.col(ts))
+    return out.select(*left.columns, *[F.when(~over, F.col(c)).alias(c) for c in rest])
 
 
 def change_intervals(changes: DataFrame, keys: list[str], start: str) -> DataFrame:

@@ -53,12 +53,13 @@ def memory_values(queries: DataFrame, memory: DataFrame, k: int = 5, beta: float
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "sim": [], "value": [], "mid": []}).astype({"id": "int64", "mid": "int64", "sim": float, "value": float})
+        b = b.sort_values("id", kind="stable")  # ties go to the smaller id
         x, y = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float)
         x, y = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300) for z in (x, y))
         ids, mids, values, found = a["id"].to_numpy(), b["id"].to_numpy(), b["value"].to_numpy(), []
         for at in range(0, len(a), 512):  # so that no more than 512 x block similarities are held
             own = ids[at : at + 512]
-            s = x[at : at + 512] @ y.T
+            s = np.round(x[at : at + 512] @ y.T, 9)  # as alike as nine places tell
             s[own[:, None] == mids[None, :]] = -np.inf
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             rows = np.repeat(np.arange(len(own)), top.shape[1])

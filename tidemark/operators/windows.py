@@ -29,10 +29,15 @@ def rest_days(keys: list[str], default: int = 14, date: str = "match_date") -> C
     return F.coalesce(day(F.col(date)) - F.max(day(F.col(date))).over(before_date(keys, date)), F.lit(default))
 
 
-def last_n(value: str, keys: list[str], n: int, tie: list[str], date: str = "match_date") -> Column:
-    """The value's last n entries on strictly earlier dates, oldest first; shorter histories give shorter arrays."""
-    history = F.sort_array(F.collect_list(F.struct(date, *tie, F.col(value).alias("__v"))).over(before_date(keys, date)))
-    return F.transform(F.slice(history, F.greatest(F.lit(1), F.size(history) - n + 1), n), lambda s: s["__v"])
+def last_n(df: DataFrame, value: str, keys: list[str], n: int, tie: list[str], name: str, date: str = "match_date") -> DataFrame:
+    """Adds name: the value's last n entries on strictly earlier dates, oldest first; shorter histories give shorter arrays.
+
+    A frame of n rows, taken at the first row of each date: no row holds more than n entries of its history.
+    """
+    frame = prior_rows(keys, [date, *tie], n)
+    own = Window.partitionBy(*keys, date).orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
+    held = df.withColumn("__last", F.collect_list(F.struct(F.col(value).alias("v"))).over(frame))
+    return held.withColumn(name, F.transform(F.first("__last").over(own), lambda s: s["v"])).drop("__last")
 
 
 def mean(values: Column) -> Column:

@@ -306,10 +306,21 @@ l AS (SELECT alpha, temp, y, exp(((1-alpha)*ln(ph)+alpha*ln(0.45))/temp) AS a, e
 SELECT round(alpha,2)::DOUBLE AS alpha, round(temp,2)::DOUBLE AS temperature, round(avg(-ln(CASE y WHEN 0 THEN a WHEN 1 THEN b ELSE c END/(a+b+c))),6) AS logloss FROM l GROUP BY 1,2"""
 )
 def calibration_grid(spark, sf):
-    grid = spark.range(15).select((F.floor(F.col("id") / 3) * 0.25).alias("alpha"), (F.col("id") % 3 * 0.2 + 0.8).alias("temperature"))
-    s = _scored(spark, sf).crossJoin(F.broadcast(grid))  # 15 rows
-    ps = market.blend([F.col("ph"), F.col("pd"), F.col("pa")], [F.lit(0.45), F.lit(0.27), F.lit(0.28)], F.col("alpha"), F.col("temperature"))
-    return s.groupBy(F.round("alpha", 2).alias("alpha"), F.round("temperature", 2).alias("temperature")).agg(r6(ev.multiclass_log_loss(ps, F.col("y"))).alias("logloss"))
+    return _temperature_grid(spark, sf, 5, 3).select("alpha", "temperature", r6("logloss").alias("logloss"))
+
+
+def _temperature_grid(spark, sf, alphas, temperatures):
+    """alpha, temperature, logloss, brier of every setting; a row's logs are taken once, before the settings multiply it."""
+    n = alphas * temperatures
+    grid = spark.range(n).select((F.floor(F.col("id") / temperatures) * 0.25).alias("alpha"), (F.col("id") % temperatures * 0.2 + 0.8).alias("temperature"))
+    logs = lambda ps: [F.ln(p) for p in market.normalise(ps)]
+    model = logs([F.lit(0.45), F.lit(0.27), F.lit(0.28)])
+    s = _scored(spark, sf).select("y", *[c.alias(f"l{k}") for k, c in enumerate(logs([F.col("ph"), F.col("pd"), F.col("pa")]))])
+    s = s.crossJoin(F.broadcast(grid))  # n rows
+    score = [F.exp(((1 - F.col("alpha")) * F.col(f"l{k}") + F.col("alpha") * model[k]) / F.col("temperature")) for k in range(3)]
+    s = s.select("alpha", "temperature", "y", *[c.alias(f"e{k}") for k, c in enumerate(score)]).withColumn("t", F.col("e0") + F.col("e1") + F.col("e2"))
+    ps = [F.col(f"e{k}") / F.col("t") for k in range(3)]
+    return s.groupBy(F.round("alpha", 2).alias("alpha"), F.round("temperature", 2).alias("temperature")).agg(ev.multiclass_log_loss(ps, F.col("y")).alias("logloss"), ev.multiclass_brier(ps, F.col("y")).alias("brier"))
 
 
 @query(

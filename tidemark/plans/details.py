@@ -143,7 +143,7 @@ def active_hours(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count_distinct(F.date_trunc("hour", "ts")).alias("hours"))
 
 
-@query(f"WITH {SIDES}, m AS (SELECT team, month(match_date)::INT AS month, avg(gf) AS normal, count(*) AS samples FROM sides GROUP BY 1,2) SELECT s.match_id, s.team, s.is_home, round(s.gf-m.normal,6) AS shock FROM sides s JOIN m ON m.team=s.team AND m.month=month(s.match_date) WHERE s.season=1997")
+@query(f"WITH {SIDES}, m AS (SELECT team, month(match_date)::INT AS month, avg(gf) AS normal, count(*) AS samples FROM sides GROUP BY 1,2) SELECT s.match_id, s.team, s.is_home, round(s.gf-m.normal,6) AS shock FROM sides s JOIN m ON m.team=s.team AND m.month=month(s.match_date)")
 def monthly_normal_shock(spark, sf):
     s = sides(fixtures(spark, sf)).withColumn("month", F.month("match_date"))
     normals = s.groupBy("team", "month").agg(F.avg("gf").alias("normal"))
@@ -159,7 +159,7 @@ def near_value_pairs(spark, sf):
     return l.join(r, ["c_nationkey", "c_mktsegment", "k"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("x") - F.col("y")) <= 25)).select("a", "b")
 
 
-@query(f"WITH {SETTLE}, m AS (SELECT date_trunc('month', match_date)::DATE AS month, count(*) AS bets, sum(profit) AS profit FROM s WHERE season=1997 GROUP BY 1) SELECT month, bets, round(profit,6) AS profit FROM m")
+@query(f"WITH {SETTLE}, m AS (SELECT date_trunc('month', match_date)::DATE AS month, count(*) AS bets, sum(profit) AS profit FROM s GROUP BY 1) SELECT month, bets, round(profit,6) AS profit FROM m")
 def month_summary(spark, sf):
     s = settled(fixtures(spark, sf))
     return ev.bet_summary(s.withColumn("month", F.trunc("match_date", "month")), ["month"]).select("month", "bets", r6("profit").alias("profit"))

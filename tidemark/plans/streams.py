@@ -96,7 +96,7 @@ def request_plan(spark, sf):
 
 
 @query(
-    """WITH q AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings WHERE vec_id%20=0), m AS (SELECT vec_id, embedding::DOUBLE[] e, label FROM embeddings WHERE vec_id%2=1), s AS (SELECT q.vec_id, m.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e,m.e) DESC, m.vec_id) AS rn FROM q, m)
+    """WITH m AS (SELECT vec_id, embedding::DOUBLE[] e, label FROM embeddings), s AS (SELECT q.vec_id, m.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e,m.e),9) DESC, m.vec_id) AS rn FROM m q, m WHERE q.vec_id<>m.vec_id)
 SELECT vec_id, round(avg(label),6) AS memory_value FROM s WHERE rn<=5 GROUP BY 1"""
 )
 def knn_memory(spark, sf):
