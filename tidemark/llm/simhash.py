@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,23 +93,26 @@ def one_bit_groups(keyed: DataFrame, width: int, far: int = 64) -> DataFrame:
     """(g, node): nodes whose segments differ in at most one bit are together in a group; so are chains of such segments.
 
     keyed: (k, node, check), one row per node and segment; k is the segment's number, then its value (`width` bits, even).
-    Two nodes that are alone with their values and whose `check` prints lie over `far` bits apart are no candidates.
+    Where at most two nodes have a value, their `check` prints tell whether any of them is within `far` bits of another;
+    if not, the value makes no candidates.
     """
-    values = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("check"))
-    half, low = width // 2, F.lit((1 << width // 2) - 1).cast("long")
+    values = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+    half, mask = width // 2, F.lit((1 << width // 2) - 1).cast("long")
     number = F.shiftright("k", width) * 2
-    upper, lower = F.shiftright("k", half).bitwiseAND(low), F.col("k").bitwiseAND(low)
+    upper, lower = F.shiftright("k", half).bitwiseAND(mask), F.col("k").bitwiseAND(mask)
     side = lambda h, same, rest: F.struct(F.shiftleft(number + h, half).bitwiseOR(same).alias("g"), rest.alias("rest"))
-    halves = values.select("k", "n", "check", F.explode(F.array(side(0, upper, lower), side(1, lower, upper))).alias("s")).select("s.g", "s.rest", "k", "n", "check")
+    second = F.when(F.col("n") > 1, F.col("high"))
+    halves = values.select(F.explode(F.array(side(0, upper, lower), side(1, lower, upper))).alias("s"), F.least("n", F.lit(3)).cast("int").alias("n"), "low", second.alias("high")).select("s.g", "s.rest", "n", "low", "high")
     near = halves.repartition("g").sortWithinPartitions("g", "rest").mapInArrow(_one_bit(half, far), "k bigint, g bigint")
     return keyed.select("k", "node").join(near.hint("merge"), "k").select("g", "node")
 
 
 def _one_bit(half: int, far: int):
-    """Runs of equal g, sorted: (g, rest, k, n, check) -> (k, g) for values that a variant joins, and for values that several nodes have."""
+    """Runs of equal g, sorted: (g, rest, n, low, high) -> (k, g) for values that a variant joins, and for values that several nodes have."""
 
-    def solve(g: np.ndarray, rest: np.ndarray, k: np.ndarray, n: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
-        check = check.view(np.uint64)
+    def solve(g: np.ndarray, rest: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        low, high = low.view(np.uint64), high.view(np.uint64)
+        close = lambda x, y: np.bitwise_count(x ^ y) <= far
         code = (np.cumsum(np.concatenate([[0], g[1:] != g[:-1]])) << half) | rest  # ascending, each once
         a, b = [], []
         for i in range(half):  # the variant without bit i: a value without it meets the one with it
@@ -117,9 +121,9 @@ def _one_bit(half: int, far: int):
             to = np.minimum(np.searchsorted(code, want), len(code) - 1)
             ok = code[to] == want
             at, to = at[ok], to[ok]
-            ok = (n[at] > 1) | (n[to] > 1) | (np.bitwise_count(check[at] ^ check[to]) <= far)
+            ok = (n[at] > 2) | (n[to] > 2) | close(low[at], low[to]) | close(low[at], high[to]) | close(high[at], low[to]) | close(high[at], high[to])
             a.append(at[ok]), b.append(to[ok])
-        root = np.arange(len(k))
+        root = np.arange(len(g))
         for x, y in zip(np.concatenate(a).tolist(), np.concatenate(b).tolist()):
             while root[x] != x:
                 root[x] = x = root[root[x]]
@@ -128,18 +132,20 @@ def _one_bit(half: int, far: int):
             root[max(x, y)] = min(x, y)
         while (deep := root[root] != root).any():
             root[deep] = root[root[deep]]
-        first = (g >> half) & 1 == 0
-        keep = np.bincount(root, minlength=len(k))[root] > 1
-        keep |= first & (n > 1)
-        return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array((k[root] << 1 | ~first)[keep])], names=["k", "g"])
+        second, same = (g >> half) & 1, g & ((1 << half) - 1)
+        k = (g >> half + 1 << 2 * half) | np.where(second == 1, rest << half | same, same << half | rest)
+        keep = np.bincount(root, minlength=len(g))[root] > 1
+        keep |= (second == 0) & ((n > 2) | (n == 2) & close(low, high))
+        return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array((k[root] << 1 | second)[keep])], names=["k", "g"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            g, rest, n, low, high = batch.columns
+            cols = [c.to_numpy(zero_copy_only=False) for c in (g, rest, n, low, pc.coalesce(high, low))]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
             if len(held[0]) and held[0][0] != held[0][-1]:
-                cut = int(np.searchsorted(held[0], held[0][-1])) if (held[0][1:] >= held[0][:-1]).all() else int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1
+                cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1
                 yield solve(*(c[:cut] for c in held))
                 held = [c[cut:].copy() for c in held]
         if held is not None and len(held[0]):
@@ -305,22 +311,35 @@ def _signed(hashes: list[int]) -> np.ndarray:
 
 
 def _printed(width: int, cut: Cut):
-    """(.., text) -> (.., node, keys, print): the hash of the shingle set, one key of each segment, the words of the print."""
-    powers = (1 << np.arange(cut.width)[::-1]).astype(np.int64)
-    number = np.arange(cut.segments, dtype=np.int64) << cut.width
+    """(.., text) -> (.., node, print): the hash of the shingle set, the words of its print; without words an empty print."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             k = batch.num_columns - 1
-            node, keys, prints = [], [], []
+            node, prints = [], []
             for t in batch.column(k):
                 own = shingle_set(t.as_py(), width)
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
-                bits = long_print(own, cut.lanes)
-                keys.append(bits[: cut.width * cut.segments].reshape(cut.segments, cut.width) @ powers | number if len(own) else [])
-                prints.append(np.packbits(bits).view(">i8").astype(np.int64))
-            made = [pa.array(_signed(node)), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *made], names=[*batch.schema.names[:k], "node", "keys", "print"])
+                prints.append(np.packbits(long_print(own, cut.lanes)).view(">i8").astype(np.int64) if len(own) else [])
+            made = [pa.array(_signed(node)), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *made], names=[*batch.schema.names[:k], "node", "print"])
+
+    return run
+
+
+def _segments(cut: Cut):
+    """(node, print) -> (k, node, check): one row of each segment of each print."""
+    powers = (1 << np.arange(cut.width)[::-1]).astype(np.int64)
+    number = np.arange(cut.segments, dtype=np.int64) << cut.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(1)), 0))
+            node, words = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, cut.lanes)
+            bits = np.unpackbits(words.astype(">i8").view(np.uint8), axis=1)[:, : cut.width * cut.segments]
+            k = bits.reshape(-1, cut.segments, cut.width) @ powers | number
+            spread = lambda x: pa.array(np.repeat(x, cut.segments))
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), spread(node), spread(words[:, -1])], names=["k", "node", "check"])
 
     return run
 
@@ -392,12 +411,12 @@ def _forest(cut: Cut):
 def similar_groups(base: DataFrame, distinct: DataFrame, width: int, cut: Cut, block: int) -> DataFrame:
     """(node, root) of shingle sets that chains of pairs, each truly alike at the cut's similarity, join.
 
-    base has __uid and __text; distinct has one row per set: node, __uid (of a text with that set), keys, print. Sets with a
+    base has __uid and __text; distinct has one row per set: node, __uid (of a text with that set), print. Sets with a
     segment within one bit are candidates, and what candidates chain together is a cluster. The sets of a cluster meet in
     one task, or, beyond `block` shingles, dealt into blocks, in one task per pair of blocks; each gives a spanning forest
     of the links that it verifies on the whole sets. So a pair is never a row, and no set travels once per segment.
     """
-    keyed = distinct.select("node", F.explode("keys").alias("k"), F.element_at("print", -1).alias("check"))
+    keyed = distinct.select("node", "print").mapInArrow(_segments(cut), "k bigint, node bigint, check bigint")
     groups = written(one_bit_groups(keyed, cut.width, cut.far(64, 4)), "similar-groups")
     first = groups.groupBy("g").agg(F.min("node").alias("a"))
     clusters = written(components(groups.join(first.hint("merge"), "g").select("a", F.col("node").alias("b")).distinct()), "similar-clusters").select("node", F.col("root").alias("c"))
@@ -425,9 +444,9 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss:
         base = temp.keep(written(docs.withColumn("__uid", F.monotonically_increasing_id()), "similar-docs"))  # one numbering for all uses
         cut = Cut.of(base.count(), similarity, miss)
         text = F.col("text").cast("string").alias("__text")
-        prints = base.select("__uid", "doc_id", text).mapInArrow(_printed(width, cut), f"__uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, keys array<bigint>, print array<bigint>")
+        prints = base.select("__uid", "doc_id", text).mapInArrow(_printed(width, cut), f"__uid bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, print array<bigint>")
         prints = written(prints, "similar-prints")
-        distinct = prints.groupBy("node").agg(F.min(F.struct("__uid", "keys", "print")).alias("m"))
+        distinct = prints.groupBy("node").agg(F.min(F.struct("__uid", "print")).alias("m"))
         distinct = written(distinct.select("node", "m.*"), "similar-distinct")
         groups = similar_groups(base.select("__uid", text), distinct, width, cut, block)
         grouped = prints.select("node", "doc_id", "__uid").join(groups, "node", "left").select(F.coalesce("root", "node").alias("g"), "doc_id", "__uid")
