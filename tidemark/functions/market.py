@@ -192,3 +192,41 @@ def position_group(text: Column) -> Column:
 
 def poisson(k: Column, rate: Column) -> Column:
     return F.exp(-rate) * F.pow(rate, k) / F.factorial(k.cast("int"))
+
+
+def low_score_factor(h: Column, a: Column, home: Column, away: Column, rho: float) -> Column:
+    """Dixon-Coles correction of the four lowest scores, never negative; 1 elsewhere."""
+    nought = F.lit(0.0)
+    return (
+        F.when((h == 0) & (a == 0), F.greatest(nought, 1 - home * away * rho))
+        .when((h == 0) & (a == 1), F.greatest(nought, 1 + home * rho))
+        .when((h == 1) & (a == 0), F.greatest(nought, 1 + away * rho))
+        .when((h == 1) & (a == 1), F.greatest(nought, F.lit(1.0 - rho)))
+        .otherwise(1.0)
+    )
+
+
+def handicap_units(margin: Column, line: Column) -> Column:
+    """Settled units of one staked at even money: 1, 0.5, 0, -0.5 or -1 for the side with this margin and line."""
+    return plus([F.signum(margin + part) for part in split_line(line)]) / 2
+
+
+def favourite_flags(ps: list[Column]) -> dict[str, Column]:
+    """Favourite's and underdog's probability, the favourite's place (first of equals) and flags of both outer places."""
+    top = F.greatest(*ps)
+    code = F.coalesce(*[F.when(p == top, F.lit(float(k))) for k, p in enumerate(ps)])
+    return {"favourite_probability": top, "underdog_probability": F.least(*ps), "favourite_side_code": code, "home_is_favourite": (code == 0).cast("double"), "away_is_favourite": (code == len(ps) - 1).cast("double")}
+
+
+def ordinal(x: Column, edges: list[float]) -> Column:
+    """Place of the (a, b] bucket that holds x, from 0; NULL outside."""
+    return F.coalesce(*[F.when((x > a) & (x <= b), F.lit(float(k))) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
+
+
+def one_hot(x: Column, values: list) -> dict[object, Column]:
+    return {v: F.coalesce(x == v, F.lit(False)).cast("double") for v in values}
+
+
+def era(year: Column, starts: tuple[int, ...] = (2012, 2017, 2020)) -> Column:
+    """0 before the first start, then one more from each on."""
+    return F.when(year.isNotNull(), plus([(year >= s).cast("double") for s in starts]))

@@ -62,3 +62,14 @@ def usable(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns with a value and more than one distinct value, from one aggregation."""
     got = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)], *[F.min(c).cast("string").alias(f"a{i}") for i, c in enumerate(columns)], *[F.max(c).cast("string").alias(f"b{i}") for i, c in enumerate(columns)]).first()
     return [c for i, c in enumerate(columns) if got[f"d{i}"] and got[f"a{i}"] != got[f"b{i}"]]
+
+
+def odds_inventory(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, column: rows, values, valid odds (above 1) and invalid ones, coverage and range of each column; one pass."""
+    n = F.count(F.lit(1)).alias("match_rows")
+    stats = []
+    for c in columns:
+        v = F.col(c)
+        stats.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("non_null_values"), F.count_if(v > 1).alias("valid_odds_values"), F.count_if(v <= 1).alias("invalid_odds_le_1"), F.min(v).alias("min_value"), F.max(v).alias("max_value")))
+    one = df.groupBy(*keys).agg(n, F.array(*stats).alias("__s")).select(*keys, "match_rows", F.inline("__s"))
+    return one.withColumn("valid_odds_coverage", F.col("valid_odds_values") / F.col("match_rows"))

@@ -108,3 +108,108 @@ def best_with_margin(scored: DataFrame, least: float = 0.80, margin: float = 0.0
     w = Window.partitionBy("name").orderBy(F.desc("score"), "candidate")
     ranked = scored.withColumn("__r", F.row_number().over(w)).withColumn("second", F.lead("score").over(w))
     return ranked.where((F.col("__r") == 1) & (F.col("score") >= least) & (F.col("score") - F.coalesce("second", F.lit(0.0)) >= margin)).drop("__r")
+
+
+class DecisionError(ValueError):
+    """A decision names an alias that is not there once, or not as it says."""
+
+
+def apply_decisions(aliases: DataFrame, decisions: DataFrame) -> DataFrame:
+    """aliases with alias_status and approved set where decisions (alias_id, alias_name, team_id, decision) say so.
+
+    Every decision must meet exactly one alias of that id, name and team, else DecisionError (one action over decisions).
+    """
+    d = decisions.select("alias_id", F.col("alias_name").alias("__n"), F.col("team_id").alias("__t"), F.col("decision").alias("__d"))
+    joined = aliases.join(d, "alias_id", "left")
+    found = d.join(aliases.select("alias_id", "alias_name", "team_id"), "alias_id", "left").groupBy("alias_id").agg(F.count_if((F.col("alias_name") == F.col("__n")) & (F.col("team_id") == F.col("__t"))).alias("ok"), F.count(F.lit(1)).alias("n"))
+    if found.where("ok <> 1 OR n <> 1").limit(1).count():
+        raise DecisionError("a decision does not meet exactly one alias")
+    status = F.when(F.col("__d") == "approved", "approved_obvious_alias").when(F.col("__d") == "rejected", "rejected").otherwise(F.col("alias_status"))
+    return joined.select(*[c for c in aliases.columns if c not in ("alias_status", "approved")], status.alias("alias_status"), F.coalesce(F.col("__d") == "approved", F.col("approved")).alias("approved"))
+
+
+def split_event(name: Column) -> Column:
+    """The two parties of an event name, split at v, vs, @ or a dash between spaces; NULL unless there are two."""
+    parts = F.split(name, r"(?i)\s+(?:v|vs|@)\s+|\s+-\s+")
+    return F.when(F.size(parts) == 2, parts)
+
+
+def orientation(names: Column, ids: Column, home: Column, away: Column) -> Column:
+    """(home, away, draw) runner ids by name, whatever the runners' order; NULL unless each is there exactly once."""
+    pairs = F.arrays_zip(names.alias("n"), ids.alias("i"))
+    own = lambda want: F.filter(pairs, lambda p: p["n"] == want)
+    drawn = F.filter(pairs, lambda p: p["n"].isin("draw", "the draw"))
+    h, a = own(home), own(away)
+    return F.when((F.size(h) == 1) & (F.size(a) == 1) & (F.size(drawn) == 1), F.struct(h[0]["i"].alias("home"), a[0]["i"].alias("away"), drawn[0]["i"].alias("draw")))
+
+
+def mapping_status(approved: Column, n_eligible: Column, candidate_alias: Column, n_near: Column, n_far: Column, duplicate: Column, market_type: Column, runners: Column, draws: Column, status: Column, any_team: Column) -> Column:
+    """Why a fixture is or is not mapped to a market: the first condition that holds, in this order."""
+    return (
+        F.when(approved, "mapped_approved")
+        .when((n_eligible == 1) & candidate_alias, "team_alias_unresolved")
+        .when(n_eligible > 1, "multiple_candidate_markets")
+        .when((n_far > 0) & (n_near == 0), "date_mismatch")
+        .when((n_near > 0) & duplicate, "duplicate_market")
+        .when((n_near > 0) & (market_type != "MATCH_ODDS"), "non_match_odds")
+        .when((n_near > 0) & ((runners != 3) | (draws != 1)), "incomplete_runners")
+        .when((n_near > 0) & (status != "OPEN"), "market_cancelled_or_invalid")
+        .when(n_near > 0, "home_away_orientation_unresolved")
+        .when(any_team, "team_alias_unresolved")
+        .otherwise("no_betfair_candidate")
+    )
+
+
+def candidate_decisions(candidates: DataFrame, keys: list[str], support: DataFrame) -> DataFrame:
+    """keys, candidate, score, competing, support, seasons and decision of each key's best candidate.
+
+    candidates: keys (league, season, team), candidate, score, exact (boolean), same_competition (boolean); support: keys,
+    candidate, n (fixtures that speak for it). A candidate that is best in two seasons of a team is stable. Approved
+    candidates that two teams of a season share go back to review.
+    """
+    league, season, team = keys
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "candidate")
+    top = candidates.withColumn("__r", F.row_number().over(w)).withColumn("__second", F.lead("score").over(w)).withColumn("__top", F.max("score").over(Window.partitionBy(*keys)))
+    close = F.count_if(F.col("score") >= F.greatest(F.lit(0.80), F.col("__top") - 0.05)) - 1
+    near = top.groupBy(*keys).agg(close.alias("competing"))
+    best = top.where("__r = 1").join(near, keys).join(support.withColumnRenamed("n", "support"), [*keys, "candidate"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
+    stable = best.groupBy(league, team, "candidate").agg(F.count_distinct(season).alias("seasons"))
+    best = best.join(stable, [league, team, "candidate"])
+    high = F.col("score") >= 0.86
+    signals = F.col("same_competition").cast("int") + F.col("exact").cast("int") + high.cast("int") + (F.col("support") >= 2).cast("int") + ((F.col("competing") == 0) & (F.col("score") - F.coalesce("__second", F.lit(0.0)) >= 0.04)).cast("int") + (F.col("seasons") >= 2).cast("int")
+    decision = (
+        F.when(~F.col("same_competition"), "rejected_wrong_country_or_competition")
+        .when(F.col("exact") & (F.col("competing") == 0), "approved_exact")
+        .when((F.col("competing") > 0) & (F.col("support") < 2), "rejected_ambiguous")
+        .when((F.col("score") < 0.68) & (F.col("support") < 2), "rejected_low_similarity")
+        .when(high & (signals >= 3) & (F.col("competing") == 0) | (F.col("support") >= 3) & (F.col("score") >= 0.72) & (F.col("competing") == 0), "approved_high_confidence_alias")
+        .otherwise("manual_review_required")
+    )
+    best = best.withColumn("decision", decision)
+    ok = F.col("decision").isin("approved_exact", "approved_high_confidence_alias")
+    shared = F.count_if(ok).over(Window.partitionBy(league, season, "candidate")) > 1
+    return best.select(*keys, "candidate", "score", "competing", "support", "seasons", F.when(ok & shared, "manual_review_required").otherwise(F.col("decision")).alias("decision"))
+
+
+def loose_duplicates(df: DataFrame, name: str, keys: list[str], date: str) -> DataFrame:
+    """duplicate_key_type, keys, rows, unique_dates of keys with more than one row (NULL is a key too)."""
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(date).alias("unique_dates")).where("rows > 1")
+    return g.select(F.lit(name).alias("duplicate_key_type"), *keys, "rows", "unique_dates")
+
+
+def quantile_sample(values: DataFrame, order: str, blocks: int, places: int) -> DataFrame:
+    """block, place and value: of each of `blocks` equal runs of the distinct values in order, `places` evenly spaced ones.
+
+    values: one row per distinct value, such as the dates of an archive. Earlier blocks take the rows left over; places
+    are rounded down.
+    """
+    w = Window.orderBy(order)
+    ranked = values.select(order, (F.row_number().over(w) - 1).alias("__i"))
+    n = values.agg(F.count(F.lit(1)).alias("__n"))
+    k, j = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("j")
+    plan = n.select("__n", k).select("__n", "k", j)
+    base, extra = F.floor(F.col("__n") / blocks), F.col("__n") % blocks
+    low = F.col("k") * base + F.least(F.col("k"), extra)
+    size = base + (F.col("k") < extra).cast("long")
+    plan = plan.select((F.col("k") + 1).alias("third"), (F.col("j") + 1).alias("place"), (low + F.floor((size - 1) * F.col("j") / (places - 1))).alias("__i"))
+    return ranked.join(F.broadcast(plan), "__i").select("third", "place", order)  # blocks x places rows

@@ -89,6 +89,30 @@ def trailing_join(left: DataFrame, events: DataFrame, key: str, date: str, event
     return l.join(r, [key, "__b"]).where((F.col(event_date) < F.col(date)) & (F.col(event_date) >= F.date_sub(F.col(date), days))).drop("__b")
 
 
+def latest_set(left: DataFrame, snapshots: DataFrame, keys: list[str], ts: str, snapshot: str) -> DataFrame:
+    """Left rows with every row of the key's latest snapshot strictly before their time, NULLs without one.
+
+    The as-of join runs over distinct snapshot dates; the rows of a set are joined by equality after it.
+    """
+    dates = snapshots.select(*keys, snapshot).distinct()
+    dated = asof(left, dates, keys, ts, snapshot, []).withColumnRenamed("matched_ts", snapshot)
+    return dated.join(snapshots, [*keys, snapshot], "left")
+
+
+def evidence(matches: DataFrame, games: DataFrame, place: list[str], mapping: DataFrame) -> DataFrame:
+    """(place, team, id, n): matches in which both teams' candidate ids play each other in games on that date.
+
+    matches: place, home, away; games: place, home_id, away_id in either order; mapping: team, id, one row per team.
+    """
+    ids = lambda t: mapping.select(F.col("team").alias(t), F.col("id").alias(f"{t}_cand"))
+    pairs = matches.join(ids("home"), "home").join(ids("away"), "away")
+    own = F.array_sort(F.array("home_cand", "away_cand"))
+    played = games.select(*place, F.array_sort(F.array("home_id", "away_id")).alias("__p")).distinct()
+    met = pairs.withColumn("__p", own).join(played, [*place, "__p"], "left_semi")
+    both = met.select(F.inline(F.array(*[F.struct(F.col(t).alias("team"), F.col(f"{t}_cand").alias("id")) for t in ("home", "away")])))
+    return both.groupBy("team", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def dual_role(facts: DataFrame, dim: DataFrame, key: str, roles: dict[str, str]) -> DataFrame:
     """Join a dimension once per role: roles maps a prefix to the fact column."""
     for prefix, column in roles.items():

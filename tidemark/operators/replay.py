@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import leakage_report
 from .joins import asof
 
 #: market, runner, ts, pos (order within a time), price, in_play
@@ -47,3 +48,9 @@ def order_faults(stream: Stream) -> DataFrame:
     """market, updates, and how many came with an earlier time than the one before, or without a time."""
     w = Window.partitionBy("market").orderBy("line_no")
     return stream.withColumn("__b", F.col("ts") < F.lag("ts").over(w)).groupBy("market").agg(F.count(F.lit(1)).alias("updates"), F.count_if(F.coalesce("__b", F.lit(False))).alias("non_monotonic"), F.count_if(F.col("ts").isNull()).alias("missing_ts"))
+
+
+def cutoff_audit(panel: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """check, status, violations of a cutoff panel (cutoff, start, price, age_s): what must hold of every row, and `more`."""
+    checks = {"prices_above_one": ~(F.col("price") > 1), "nonnegative_staleness": F.col("age_s") < 0, "strictly_before_start": F.col("cutoff") >= F.col("start")}
+    return leakage_report(panel, checks | (more or {}))

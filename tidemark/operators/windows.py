@@ -40,6 +40,27 @@ def last_n(df: DataFrame, value: str, keys: list[str], n: int, tie: list[str], n
     return held.withColumn(name, F.transform(F.first("__last").over(own), lambda s: s["v"])).drop("__last")
 
 
+def last_means(df: DataFrame, values: dict[str, Column], keys: list[str], n: int, tie: list[str], name: str, date: str = "match_date") -> DataFrame:
+    """Adds name: a struct with the mean of each value over the last n rows on strictly earlier dates; NULL without any."""
+    frame = prior_rows(keys, [date, *tie], n)
+    own = Window.partitionBy(*keys, date).orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
+    held = df.withColumn("__last", F.struct(*[F.avg(v).over(frame).alias(k) for k, v in values.items()]))
+    return held.withColumn(name, F.first("__last").over(own)).drop("__last")
+
+
+def lagged_history(history: DataFrame, keys: list[str], date: str, tie: list[str], values: list[str], widths: list[int]) -> DataFrame:
+    """history with what a later row may know of it: entries so far, and of the last w (this one counted) how many and the means.
+
+    Joined to other rows by a strict as-of join on the date, this is each row's lagged history in a second table.
+    """
+    run = Window.partitionBy(*keys).orderBy(date, *tie)
+    last = lambda w: run.rowsBetween(1 - w, 0)
+    stats = [F.row_number().over(run).cast("long").alias("history_count")]
+    for w in widths:
+        stats += [F.count(F.lit(1)).over(last(w)).alias(f"matches_w{w}"), *[F.avg(v).over(last(w)).alias(f"{v}_avg_w{w}") for v in values]]
+    return history.select(*keys, date, *tie, *stats)
+
+
 def mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
 

@@ -377,12 +377,6 @@ def random_control(spark, sf):
     return _bets(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn <= 100").groupBy("league").agg(F.count(F.lit(1)).alias("bets"), r6(F.sum("profit")).alias("profit"))
 
 
-@query()
-def cluster_bootstrap(spark, sf):
-    out = ev.cluster_bootstrap(_bets(spark, sf).withColumn("week", F.date_trunc("week", "match_date")), "week", iterations=500)
-    return spark.createDataFrame([tuple(out.values())], ", ".join(f"{k} double" for k in out))
-
-
 @query()
 def fuzzy_candidates(spark, sf):
     p = table(spark, sf, "part").select(F.lower("p_name").alias("name"), F.col("p_brand").alias("block"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import market
@@ -49,3 +49,25 @@ def html_table(df: DataFrame, title: str, most: int = 1000) -> str:
     cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
     body = "".join(f"<tr>{''.join(cell('td', v) for v in r)}</tr>" for r in rows)
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{''.join(cell('th', c) for c in df.columns)}</tr>{body}</table></body></html>"
+
+
+def pending(work: DataFrame, done: DataFrame, key: str, again: Column | None = None) -> DataFrame:
+    """Work that a resumed run still has to do: keys that are not done, and done ones for which `again` holds of the work."""
+    seen = done.select(key).distinct().withColumn("__done", F.lit(True))
+    left = work.join(seen, key, "left")
+    todo = F.col("__done").isNull()
+    return left.where(todo if again is None else todo | F.coalesce(again, F.lit(False))).drop("__done")
+
+
+def safe_slug(x: Column) -> Column:
+    """Lower-case letters and digits, everything else one underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def markdown_table(df: DataFrame, most: int = 1000) -> str:
+    """A Markdown table of a small result; more than `most` rows is an error, not a cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report holds at most {most} rows")
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])

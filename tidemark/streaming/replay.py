@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,3 +51,50 @@ def last_price(events: DataFrame) -> DataFrame:
             yield pd.DataFrame({"market": [key[0]], "runner": [key[1]], "price": [price], "updates": [n]})
 
     return events.groupBy("market", "runner").applyInPandasWithState(step, "market long, runner string, price double, updates long", "price double, ts long, n long, playing boolean", "update", "NoTimeout")
+
+
+def cutoff_prices(events: DataFrame, cutoffs: list[str], late: str = "10 minutes") -> DataFrame:
+    """market, cutoff, runner, price, age_s: last prices above 1 as of each cutoff, emitted by event-time timers.
+
+    events: market, runner, ts (timestamp), price, in_play, market_start (timestamp). cutoffs: intervals before the start,
+    such as '1 hour'. Messages are held until the watermark has passed them, then replayed in order of time. A cutoff is
+    emitted once the watermark is past it, by a message or by the market's timer, so that an update at exactly the
+    cutoff still counts and a market that falls silent is flushed all the same. Updates of 1 or less, from the start on, or
+    while the market is in play change nothing.
+    """
+    deltas = sorted((pd.Timedelta(c).value // 1000 for c in cutoffs), reverse=True)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, prices, playing, start, done = json.loads(state.get[0]) if state.exists else ([], {}, False, None, 0)
+        for f in frames:
+            for r in f.itertuples():
+                start = start if start is not None else int(pd.Timestamp(r.market_start).value // 1000)
+                held.append([int(pd.Timestamp(r.ts).value // 1000), r.runner, float(r.price), None if r.in_play is None or pd.isna(r.in_play) else bool(r.in_play)])
+        mark = state.getCurrentWatermarkMs() * 1000
+        held.sort(key=lambda m: m[0])
+        out, pending = [], [start - d for d in deltas][done:]
+
+        def emit(at: int) -> None:
+            nonlocal done
+            done += 1
+            out.extend((key[0], pd.Timestamp(at, unit="us"), runner, p, (at - t) / 1e6) for runner, (p, t) in sorted(prices.items()))
+
+        while held and held[0][0] < mark:
+            t, runner, price, flag = held.pop(0)
+            while pending and pending[0] < t:
+                emit(pending.pop(0))
+            playing = playing if flag is None else flag
+            if not playing and t < start and price > 1:
+                prices[runner] = (price, t)
+        while pending and pending[0] < mark:
+            emit(pending.pop(0))
+        if pending or held:
+            state.update((json.dumps([held, prices, playing, start, done]),))
+            wake = [*pending[:1], *(m[0] for m in held[:1])]
+            state.setTimeoutTimestamp(max(min(wake) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["market", "cutoff", "runner", "price", "age_s"])
+
+    marked = events.withWatermark("ts", late)
+    return marked.groupBy("market").applyInPandasWithState(step, "market long, cutoff timestamp, runner string, price double, age_s double", "held string", "append", "EventTimeTimeout")
