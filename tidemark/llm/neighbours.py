@@ -6,18 +6,20 @@ rehashing, radius by radius, and only what newly enters is counted. A vector tha
 radius is verified by its exact cosine. A query ends at the first radius within which it has its k nearest: a vector
 inside that radius passes the collision threshold with probability 1 - miss, so that is also the recall to expect.
 
-Rows and queries are dealt into blocks; each pair of blocks is one task's work, keeps k rows per query, and a second
-step merges them. Nothing is broadcast, every row meets every query's windows, and no number of candidates is capped.
+Rows are dealt into blocks. A block's sorted arrays are built once, where its rows meet, and the queries stream past them
+batch by batch; each leaves its k best of the block, and a second step merges these. Nothing is broadcast, no task holds
+more than a block and a batch of queries, and no number of candidates is capped.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,10 @@ class Hashing:
     """projections: hash functions; width: of a window, in radii; ratio: of successive radii; miss: chance to overlook
     a vector inside the radius; first: smallest radius (Euclidean, between unit vectors)."""
 
-    projections: int = 24
+    projections: int = 160
     width: float = 2.0
     ratio: float = 1.2
-    miss: float = 0.05
+    miss: float = 0.15
     first: float = 0.05
     seed: int = 11
 
@@ -98,48 +100,71 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(ok, F.lit(False))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, also where lengths over- or underflow."""
+    size = np.linalg.norm(x, axis=1)
+    odd = ~np.isfinite(size) | (size < 1e-150)
+    if odd.any():
+        x = np.where(odd[:, None], x / np.abs(x).max(axis=1)[:, None], x)
+        size = np.linalg.norm(x, axis=1)
+    return x / size[:, None]
+
+
+class Block:
+    """The vectors of a block, an index for each vector length, and the place of every row."""
+
+    def __init__(self, ids: list[int], rows: list[int], vectors: list[np.ndarray], hashing: Hashing):
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, SortedProjections]] = {}
+        self.place = {r: i for i, r in enumerate(rows)}
+        lengths = np.array([len(v) for v in vectors])
+        self.within = np.zeros(len(ids), np.int64)
+        for d in np.unique(lengths):
+            at = np.flatnonzero(lengths == d)
+            self.within[at] = np.arange(len(at))
+            x = np.stack([vectors[i] for i in at])
+            self.of[int(d)] = (np.array(ids, np.int64)[at], x, SortedProjections(_unit(x), hashing))
+
+    def nearest(self, row: int, a: np.ndarray, k: int) -> list[tuple[int, float]]:
+        """Ids and scores of the k nearest found; the row itself is none of them."""
+        if len(a) not in self.of:
+            return []
+        ids, x, index = self.of[len(a)]
+        own = int(self.within[self.place[row]]) if row in self.place else -1
+        q = _unit(a[None])[0]
+        near, _ = index.search(q, k, own)
+        b = x[near]
+        with np.errstate(all="ignore"):
+            s = (b @ a) / (np.sqrt((b * b).sum(1)) * math.sqrt(float(a @ a)))
+        s = np.where(np.isfinite(s), s, index.unit[near] @ q)
+        best = np.lexsort((ids[near], -s))[:k]
+        return [(int(ids[near[i]]), float(s[i])) for i in best]
+
+
 def _block_search(hashing: Hashing, k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, float]] = []
-        if len(rows) and len(queries):
-            dims = rows["v"].map(len)
-            for d, part in rows.groupby(dims.to_numpy()):
-                asked = queries[queries["v"].map(len).to_numpy() == d]
-                if not len(asked):
+    """Sorted (block, asks, id, row, v): of each block first its rows, then the queries -> (query_id, query_row, vec_id, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, None
+        ids, rows, vectors = [], [], []
+        for batch in batches:
+            found: list[tuple[int, int, int, float]] = []
+            flat, ends = batch.column(4).values.to_numpy(zero_copy_only=False), batch.column(4).offsets.to_numpy()
+            for i, (b, asks, id_, row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                if b != now:
+                    now, block, ids, rows, vectors = b, None, [], [], []
+                v = flat[ends[i] : ends[i + 1]]
+                if not asks:
+                    ids.append(id_), rows.append(row), vectors.append(np.array(v, float))
                     continue
-                ids = part["id"].to_numpy()
-                x = np.stack(part["v"].to_numpy()).astype(float)
-                size = np.linalg.norm(x, axis=1)
-                big = np.abs(x).max(axis=1)
-                odd = ~np.isfinite(size) | (size < 1e-150)  # lengths that over- or underflow
-                if odd.any():
-                    size[odd] = 1.0
-                unit = np.where(odd[:, None], x / big[:, None], x / size[:, None])
-                if odd.any():
-                    unit[odd] /= np.linalg.norm(unit[odd], axis=1)[:, None]
-                index = SortedProjections(unit, hashing)
-                at: dict[int, list[int]] = {}
-                for i, v in enumerate(ids):
-                    at.setdefault(v, []).append(i)
-                for qid, qrow, vec in zip(asked["id"].to_numpy(), asked["row"].to_numpy(), asked["v"]):
-                    q = np.asarray(vec, float)
-                    q = q / np.abs(q).max()
-                    q = q / np.linalg.norm(q)
-                    own = next((i for i in at.get(qid, ()) if part["row"].iat[i] == qrow), -1)
-                    near, _ = index.search(q, k, own)
-                    a = np.asarray(vec, float)
-                    b = x[near]
-                    with np.errstate(all="ignore"):
-                        s = (b @ a) / (np.sqrt((b * b).sum(1)) * math.sqrt(float(a @ a)))
-                    s = np.where(np.isfinite(s), s, unit[near] @ q)
-                    best = np.lexsort((ids[near], -s))[:k]
-                    found += [(int(qid), int(qrow), int(ids[near[i]]), float(s[i])) for i in best]
-        return pd.DataFrame(found, columns=["query_id", "query_row", "vec_id", "score"])
+                if block is None:
+                    block, vectors = Block(ids, rows, vectors, hashing), []
+                found += [(id_, row, other, score) for other, score in block.nearest(row, np.asarray(v, float), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 4, [pa.int64()] * 3 + [pa.float64()])], names=["query_id", "query_row", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, hashing: Hashing = Hashing(), rows_per_block: int = 20_000, queries_per_block: int = 20_000, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, hashing: Hashing = Hashing(), rows_per_block: int = 20_000, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, query_row, rank, vec_id, score): the k nearest rows by cosine of every row for which `queries` holds.
 
     Nearest first, ties to the smaller id. Vectors that are null, zero or hold null or non-finite components take no part, as
@@ -151,11 +176,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, hashing: Hashing =
         F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, vector).alias("row"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q")
     )
     good = written(good.withColumn("row", F.col("row").bitwiseXOR(F.xxhash64(F.monotonically_increasing_id()))), "ann-vectors")
-    n, n_q = good.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    n_row_blocks, n_query_blocks = max(1, math.ceil(n / rows_per_block)), max(1, math.ceil(n_q / queries_per_block))
-    spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = good.select("id", "row", "v", F.pmod(F.xxhash64("row"), F.lit(n_row_blocks)).cast("int").alias("rb"), spread(n_query_blocks).alias("qb"))
-    asked = good.where("q").select("id", "row", "v", F.pmod(F.xxhash64("row"), F.lit(n_query_blocks)).cast("int").alias("qb"), spread(n_row_blocks).alias("rb"))
-    parts = rows.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(_block_search(hashing, k), "query_id long, query_row long, vec_id long, score double")
+    blocks = max(1, math.ceil(good.count() / rows_per_block))
+    rows = good.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "row", "v")
+    asked = good.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "id", "row", "v")
+    met = rows.unionAll(asked).repartition("block").sortWithinPartitions("block", "asks")
+    parts = met.mapInArrow(_block_search(hashing, k), "query_id bigint, query_row bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return parts.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "query_row", "rank", "vec_id", "score")
