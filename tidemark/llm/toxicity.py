@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .base import crc_fold, scratch, written
 
-ALPHABET = 64
+ALPHABET = 96  # codes of letters: 0 the start, a-z, digits, Latin-1, and 34 shared by all others
 LONGEST, STEP = 24, 8  # a longer string is scored window by window
 TOP = 3  # margins of a document
 POOLS = ((1.0, 0.0, 0.0), (1.0, 0.25, 0.1), (1.0, 0.5, 0.25), (1.0, 1.0, 0.5))
@@ -46,11 +47,11 @@ def strings(text: str | None) -> set[str]:
 
 
 def codes(word: str) -> list[int]:
-    """The word's start (0) and its letters as small numbers: a-z, digits, Latin-1 letters, a few classes for the rest."""
+    """The word's start (0) and its letters as small numbers: a-z, digits, Latin-1 letters, and what is left of the rest by 34."""
     out = [0]
     for c in word:
         o = ord(c)
-        out.append(o - 96 if 97 <= o <= 122 else 27 + (o - 48) // 5 if 48 <= o <= 57 else 29 + o - 0xDF if 0xDF <= o <= 0xFF else 62 + o % 2)
+        out.append(o - 96 if 97 <= o <= 122 else 27 + (o - 48) // 5 if 48 <= o <= 57 else 29 + o - 0xDF if 0xDF <= o <= 0xFF else 62 + o % 34)
     return out
 
 
@@ -124,14 +125,14 @@ class Machine:
 
 def train(positive: list[str], negative: list[str], decay: float = 0.6, landmarks: int = 256, cost: float = 20.0, seed: int = 5) -> Machine:
     """Squared-hinge machine on Nystroem features, by Newton steps. The first positives, most telling first, are the
-    landmarks, with a draw of the negatives; words longer than LONGEST count by their first window."""
+    landmarks, with a draw of the negatives; words longer than LONGEST are learnt window by window, as they are scored."""
     rng = np.random.default_rng(seed)
-    clean = lambda ws: [w for w in (x[:LONGEST] for x in ws) if len(w) >= 3]
+    clean = lambda ws: [w for x in ws for w in windows(x) if len(w) >= 3]
     pos, neg = clean(positive), clean(negative)
     most = landmarks * 3 // 4
     marks = pos[:most] + [neg[i] for i in rng.permutation(len(neg))[: landmarks - most]]
     if not pos or not marks:
-        return Machine(np.zeros(ALPHABET**3), -1.0, decay)
+        return Machine(np.zeros(ALPHABET**3, np.float32), -1.0, decay)
     values, vectors = np.linalg.eigh(kernel(marks, marks, decay))
     ok = values > 1e-6 * values.max()
     root = vectors[:, ok] / np.sqrt(values[ok])
@@ -151,7 +152,7 @@ def train(positive: list[str], negative: list[str], decay: float = 0.6, landmark
     for b, (u, v) in zip(beta, features(marks, decay)):
         if len(u):
             table[u] += b * v / np.sqrt(v @ v)
-    return Machine(table, float(w[-1]), decay)
+    return Machine(table.astype(np.float32), float(w[-1]), decay)
 
 
 def cover(pairs: Iterable[tuple[int, str]], times: int = 3, least: int = 2) -> list[str]:
@@ -160,40 +161,50 @@ def cover(pairs: Iterable[tuple[int, str]], times: int = 3, least: int = 2) -> l
     for d, w in pairs:
         of.setdefault(w, set()).add(d)
     need = {d: times for ds in of.values() for d in ds}
-    chosen, left = [], dict(of)
-    while left:
-        w = max(left, key=lambda x: (len(left[x]), x))
-        if len(left[w]) < least:
-            break
+    heap = [(-len(ds), w) for w, ds in of.items()]
+    heapq.heapify(heap)
+    chosen = []
+    while heap and -heap[0][0] >= least:
+        old, w = heapq.heappop(heap)
+        now = -sum(need[d] > 0 for d in of[w])  # never more than when it was put in
+        if now != old:
+            heapq.heappush(heap, (now, w))
+            continue
         chosen.append(w)
-        gone = set()
-        for d in left.pop(w):
-            need[d] -= 1
-            if not need[d]:
-                gone.add(d)
-        if gone:
-            left = {x: s for x, ds in left.items() if (s := ds - gone)}
+        for d in of[w]:
+            need[d] -= need[d] > 0
     return chosen
 
 
+def support(n_toxic: int, n_clean: int, n_strings: int) -> int:
+    """Documents that a string must newly cover: so many that of n_strings rare words without meaning, dealt to documents
+    at random, about one would be found in that many toxic and no clean ones. In small samples, where no string has so
+    many, one of 50 toxic documents, and two at least."""
+    share = n_toxic / max(n_toxic + n_clean, 1)
+    test = math.ceil(math.log(max(n_strings, 2)) / -math.log(share)) if 0 < share < 1 else 2
+    return max(2, min(test, n_toxic // 50))
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
         found = [list(strings(t.as_py())) for t in batch.column(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4_000, strings_kept: int = 3_000, folds: int = 5, seed: int = 5) -> Machine:
-    """Fit on at most `most` toxic and 2 * `most` clean labelled documents outside fold 0 (the bound of the sample).
+def fit(docs: DataFrame, labels: DataFrame, most: int = 4_000, plain: int = 300, folds: int = 5, seed: int = 5) -> Machine:
+    """Fit on at most `most` toxic and 2 * `most` clean labelled documents outside fold 0 (the bounds of the sample).
 
-    The sample is that of the smallest hashes of doc_id; contradicting labels of a doc_id leave it out. At most
-    `strings_kept` candidate strings and twice as many clean ones reach the driver. Without toxic documents every
-    document scores low.
+    The sample is that of the smallest hashes of doc_id; contradicting labels of a doc_id leave it out. Of the toxic ones
+    every string takes part that two of them hold and that clean ones hardly hold; of the clean ones, all strings of the
+    first `plain` documents, and every string of any of them that comes near the boundary. Null, empty and letter-less texts
+    hold no strings; rows of a repeated doc_id are documents of their own; empty tables, or no toxic document, give a
+    machine under which every document scores low. Only doc_id, text and toxic are read.
     """
     with scratch():
-        return _fit(docs, labels, most, strings_kept, folds, seed)
+        return _fit(docs, labels, most, plain, folds, seed)
 
 
-def _fit(docs: DataFrame, labels: DataFrame, most: int, strings_kept: int, folds: int, seed: int) -> Machine:
+def _fit(docs: DataFrame, labels: DataFrame, most: int, plain: int, folds: int, seed: int) -> Machine:
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), folds) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
     pick = lambda v, n: own.where(F.col("lo") == v).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
     chosen = pick(1, most).unionAll(pick(0, 2 * most)).select("doc_id", F.col("lo").cast("int").alias("toxic"))
@@ -201,22 +212,22 @@ def _fit(docs: DataFrame, labels: DataFrame, most: int, strings_kept: int, folds
     words = texts.mapInArrow(_strings, "doc_id bigint, toxic int, words array<string>").select("doc_id", "toxic", F.explode("words").alias("w")).where(F.char_length("w") >= 3)
     words = written(words, "toxic-words")
     counts = written(words.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0")), "toxic-counts")
-    candidates = counts.where("n1 >= 2 and n1 >= 40 * n0").orderBy(F.desc("n1"), "w").limit(strings_kept).select("w")
-    pairs = words.where("toxic = 1").join(F.broadcast(candidates), "w").select("doc_id", "w").toPandas()
-    common = counts.where("n0 > 0").orderBy(F.desc("n0"), "w").limit(strings_kept).select("w")
-    others = counts.where("n0 > 0").orderBy(F.xxhash64(F.lit(seed), "w")).limit(strings_kept).select("w")
-    clean = sorted({r.w for r in common.unionAll(others).collect()})
-    seeds = cover(zip(pairs.doc_id, pairs.w), least=max(2, pairs.doc_id.nunique() // 200))
+    candidates = counts.where("n1 >= 2 and n1 >= 40 * n0").select("w")
+    pairs = words.where("toxic = 1").join(candidates, "w").select("doc_id", "w").toPandas()
+    first = words.where("toxic = 0").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").limit(plain)
+    clean = sorted({r.w for r in words.where("toxic = 0").join(F.broadcast(first), "doc_id").select("w").distinct().collect()})  # `plain` ids
+    n_toxic, n_clean, n_strings = chosen.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()[:2] + (counts.count(),)
+    seeds = cover(zip(pairs.doc_id, pairs.w), least=support(n_toxic, n_clean, n_strings))
     if not seeds:
-        return Machine(np.zeros(ALPHABET**3), -1.0, 0.6)
+        return Machine(np.zeros(ALPHABET**3, np.float32), -1.0, 0.6)
     machine = train(seeds, clean, seed=seed)
     rest = sorted(set(pairs.w))
-    agreed = {w for w, m in zip(rest, machine.word_margins([w[:LONGEST] for w in rest])) if m > 0}
+    agreed = {w for w, m in zip(rest, margins_of(machine, rest)) if m > 0}
     positive = seeds + sorted(agreed - set(seeds))
     for _ in range(2):  # clean strings that come near the boundary are learnt from too
         machine = train(positive, clean, seed=seed)
-        near = counts.where("n0 > 0").select("w", F.col("w").alias("t")).mapInArrow(_margins(machine), "w string, margins array<double>").select("w", F.col("margins")[0].alias("margin")).where("margin > -0.5")
-        clean = sorted({*clean, *(r.w for r in near.orderBy(F.desc("margin"), "w").limit(strings_kept).collect())})
+        near = counts.where("n0 > 0").select("w", F.col("w").alias("t")).mapInArrow(_margins(machine), "w string, margins array<double>").where(F.col("margins")[0] > -0.5).select("w")
+        clean = sorted({*clean, *(r.w for r in near.collect())} - set(seeds))
     machine = train(positive, clean, seed=seed)
     got = texts.mapInArrow(_margins(machine), "doc_id bigint, toxic int, margins array<double>").toPandas().sort_values("doc_id", kind="stable")
     machine.slopes, machine.shift = _logistic(np.array(got.margins.tolist(), float).reshape(-1, TOP), got.toxic.to_numpy(float))
@@ -248,6 +259,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
     return tuple(slope * v for v in pool), -slope * cut
 
 
+def margins_of(machine: Machine, words: list[str]) -> list[float]:
+    """Margins of words of any length: of long ones the largest of their windows."""
+    short = [w for w in words if len(w) <= LONGEST]
+    known = dict(zip(short, machine.word_margins(short).tolist()))
+    return [known[w] if w in known else float(machine.word_margins(windows(w)).max()) for w in words]
+
+
 def _margins(machine: Machine, keep: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
@@ -258,11 +276,7 @@ def _margins(machine: Machine, keep: int = 200_000):
             if len(known) + len(new) > keep:
                 known.clear()
                 new = list(set().union(*sets))
-            short = [w for w in new if len(w) <= LONGEST]
-            known.update(zip(short, machine.word_margins(short).tolist()))
-            for w in new:
-                if len(w) > LONGEST:
-                    known[w] = float(machine.word_margins(windows(w)).max())
+            known.update(zip(new, margins_of(machine, new)))
             out = [(heapq.nlargest(TOP, map(known.__getitem__, s)) + [machine.bias] * TOP)[:TOP] for s in sets]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names[:k], "margins"])
 
