@@ -3,8 +3,8 @@
 The posterior over languages of a page multiplies four kinds of evidence: the likelihood of its text under letter-n-gram
 models, the language its markup declares, the suffix of its address, and a prior of its host. How far declarations and
 suffixes can be trusted is learnt from the corpus: they are tabulated against the languages the texts alone show. A
-host's prior is smoothed by its domain's, and that by the corpus': a host with few pages speaks mostly for its domain.
-All tables are grouped sums over every document and page, combined on the map side.
+host's prior is smoothed by its domain's, and that by the corpus': a host with few pages speaks mostly for its domain. A
+page's own share is taken out of the tables before they speak for it, so that its text counts once. All tables are grouped sums over every document and page, combined on the map side.
 """
 
 from __future__ import annotations
@@ -55,24 +55,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame, most: int = 64) -> tuple[list[str], np.ndarray]:
+def primary(tag: Column) -> Column:
+    """The primary subtag of a language tag (en of en-GB), two or three lower-case letters; null if there is none."""
+    found = F.regexp_extract(F.lower(F.trim(tag)), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+    return F.when(found != "", found)
+
+
+def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities of trigram buckets under each, from every labelled document.
 
-    docs: (lang, text). Counts cover all documents. The model holds languages x BUCKETS numbers; the `most` languages with
-    the most letters are modelled (languages of a corpus, not of its rows). Documents without a language are not counted.
+    docs: (lang, text). Counts cover all documents and every language of theirs, region tags taken together. The model holds
+    languages x BUCKETS numbers: as many as there are language codes in use, however many rows. Documents without a
+    language are not counted.
     """
     with scratch():
-        return _fit(docs, most)
-
-
-def _fit(docs: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
-    counts = docs.where(F.col("lang").isNotNull()).select(F.lower(F.trim(F.col("lang").cast("string"))).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_count, "lang string, bucket bigint, n bigint")
-    counts = written(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "lang-counts")
-    table = counts.groupBy("lang").agg(F.sum("n").alias("letters")).orderBy(F.desc("letters"), "lang").limit(most)
-    got = counts.join(F.broadcast(table), "lang").toPandas()  # at most `most` languages
+        counts = docs.select(primary(F.col("lang").cast("string")).alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL").mapInArrow(_count, "lang string, bucket bigint, n bigint")
+        got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # one row per language and bucket
     langs = sorted(set(got.lang))
+    place = {x: i for i, x in enumerate(langs)}
     model = np.full((len(langs), BUCKETS), 0.5)
-    model[[langs.index(x) for x in got.lang], got.bucket.to_numpy(np.int64)] += got.n.to_numpy(float)
+    model[[place[x] for x in got.lang], got.bucket.to_numpy(np.int64)] += got.n.to_numpy(float)
     return langs, np.log(model / model.sum(1, keepdims=True))
 
 
@@ -108,7 +110,7 @@ def identify(pages: DataFrame, docs: DataFrame, temper: float = 60.0, strength:
     """page_id, url, host, declared, suffix, text_lang, lang, posterior (of lang): one row per row of pages.
 
     temper: letters' worth of evidence that a text gives at most (trigrams are not independent). strength: pages of a
-    parent that a host's or domain's prior starts from. A null html or url, or one without a host, leaves that evidence
+    parent that a host's or domain's prior starts from. smoothing: of the counts of declarations and suffixes. A null html or url, or one without a host, leaves that evidence
     out; with none at all the corpus' prior decides. Without any labelled document lang is null. Repeated rows stay; ties
     go to the first language of the alphabet; columns not named are not read.
     """
@@ -122,26 +124,32 @@ def identify(pages: DataFrame, docs: DataFrame, temper: float = 60.0, strength:
     host = host_of(F.col("url"))
     seen = seen.withColumn("host", host).withColumn("suffix", F.element_at(F.split("host", r"\."), -1)).withColumn("domain", F.substring_index("host", ".", -2))
     seen = written(seen.withColumn("p", _softmax(F.col("text_ll"))), "lang-pages")
-    sums = lambda: [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)]
-    grouped = lambda key: seen.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(n)]).alias(f"{key}_n"))
-    whole = seen.agg(*sums()).first()
-    total = np.array([x or 0.0 for x in whole], float)
-    prior = (total + smoothing) / (total + smoothing).sum()
+    summed = lambda: F.array(*[F.sum(F.col("p")[i]) for i in range(n)])
+    grouped = lambda *keys: seen.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(summed().alias(f"{keys[0]}_n"))
+    total = np.array([x or 0.0 for x in seen.agg(summed().alias("t")).first().t], float)
+    corpus = F.array(*[F.lit(float(x)) for x in (total + smoothing) / (total + smoothing).sum()])
+    others = lambda counts: F.zip_with(counts, F.col("p"), lambda c, q: F.greatest(c - q, F.lit(0.0)))  # noqa: E731  a page is no evidence for itself
     # corpus -> domain -> host, each shrunk to its parent by `strength` pages
-    shrink = lambda counts, parent: F.transform(F.zip_with(counts, parent, lambda c, q: c + q * strength), lambda x: x / (F.aggregate(counts, F.lit(0.0), lambda a, b: a + b) + strength))
-    corpus = F.array(*[F.lit(float(x)) for x in prior])
-    domains = grouped("domain").select("domain", shrink(F.col("domain_n"), corpus).alias("domain_p"))
-    hosts = seen.where(F.col("host").isNotNull()).groupBy("host", "domain").agg(F.array(*[F.sum(F.col("p")[i]) for i in range(n)]).alias("host_n")).join(domains, "domain").select("host", shrink(F.col("host_n"), F.col("domain_p")).alias("host_p"))
+    add_up = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+    shrink = lambda counts, parent: F.zip_with(counts, parent, lambda c, q: (c + q * strength) / (add_up(counts) + strength))
+    hosts = grouped("host", "domain").join(grouped("domain"), "domain").select("host", "host_n", "domain_n")
+
     # P(declared | language) and P(suffix | language), with room for values never seen
     def given(key: str) -> DataFrame:
         of = grouped(key)
-        kinds = of.agg(F.count(F.lit(1)).alias("kinds"), *[F.sum(F.col(f"{key}_n")[i]).alias(f"t{i}") for i in range(n)])
-        return of.crossJoin(F.broadcast(kinds)).select(key, F.array(*[F.log((F.col(f"{key}_n")[i] + smoothing) / (F.col(f"t{i}") + smoothing * (F.col("kinds") + 1))) for i in range(n)]).alias(f"{key}_ll"))  # kinds is one row
+        kinds = of.agg(F.count(F.lit(1)).alias(f"{key}_kinds"), F.array(*[F.coalesce(F.sum(F.col(f"{key}_n")[i]), F.lit(0.0)) for i in range(n)]).alias(f"{key}_t"))
+        return of.crossJoin(F.broadcast(kinds))  # kinds is one row
+
+    def evidence(key: str) -> Column:
+        of = F.zip_with(others(F.col(f"{key}_n")), others(F.col(f"{key}_t")), lambda c, t: F.log((c + smoothing) / (t + smoothing * (F.col(f"{key}_kinds") + 1))))
+        return F.when(F.col(f"{key}_n").isNotNull(), of).otherwise(none)
 
     none = F.array(*[F.lit(0.0)] * n)
     out = seen.join(hosts, "host", "left").join(given("declared"), "declared", "left").join(given("suffix"), "suffix", "left")
+    out = out.withColumn("domain_p", shrink(others(F.col("domain_n")), corpus)).withColumn("host_p", shrink(others(F.col("host_n")), F.col("domain_p")))
+    out = out.withColumn("declared_ll", evidence("declared")).withColumn("suffix_ll", evidence("suffix"))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    log = add(add(F.col("text_ll"), F.transform(F.coalesce("host_p", corpus), lambda x: F.log(x))), add(F.coalesce("declared_ll", none), F.coalesce("suffix_ll", none)))
+    log = add(add(F.col("text_ll"), F.transform(F.coalesce("host_p", corpus), lambda x: F.log(x))), add(F.col("declared_ll"), F.col("suffix_ll")))
     names = F.array(*[F.lit(x) for x in langs])
     best = lambda values: F.element_at(names, F.array_position(values, F.array_max(values)).cast("int"))
     out = out.withColumn("posteriors", _softmax(log))
