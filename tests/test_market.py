@@ -80,3 +80,11 @@ def test_row_stats_skip_nan(spark):
     s = market.row_stats([F.lit(1.0), F.lit(float("nan")), F.lit(None).cast("double"), F.lit(3.0)])
     row = one(spark, *[v.alias(k) for k, v in s.items()])
     assert row["mean"] == 2.0 and row["std"] == 1.0 and row["count"] == 2 and math.isclose(row["range"], 2.0)
+
+
+def test_accents_are_those_of_the_decomposition(spark):
+    import unicodedata
+
+    names = ["Ångström", "Łódź", "Beşiktaş", "Çelik", "Ñandú", "e\u0301clair", "ﬁnal", "Ǆep", "Øster ßtadt", "Москва FC", "Ho\u0302\u0301t", "ăâîșț", "¹²³", None]
+    got = [r.p for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(text.strip_accents(F.col("n")).alias("p")).collect()]
+    assert got == [n and unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode() for n in names]

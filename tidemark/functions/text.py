@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters whose accents are dropped, and club words without meaning for identity.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY"
+# Club words without meaning for identity.
 CLUB_WORDS = ("fc", "afc", "cf", "sc", "ac", "cd", "club")
 SHORT_CLUB_WORDS = ("fc", "afc", "cf", "the")
 
 
+@functools.cache
+def _plain() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition has one ASCII character, those characters, and the Latin letters and
+    ligatures that have several."""
+    made = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in (*range(0x80, 0x3000), *range(0xFB00, 0xFB07))}
+    one = {c: p for c, p in made.items() if len(p) == 1}
+    several = {c: p for c, p in made.items() if len(p) > 1 and unicodedata.category(c)[0] == "L" and p.isalpha()}
+    return "".join(one), "".join(one.values()), several
+
+
 def strip_accents(x: Column) -> Column:
-    return F.translate(x, ACCENTED, PLAIN)
+    """Compatibility decomposition to ASCII: letters lose their marks, what has no ASCII in it is dropped."""
+    letters, plain, several = _plain()
+    for c, p in several.items():
+        x = F.replace(x, F.lit(c), F.lit(p))
+    return F.regexp_replace(F.translate(x, letters, plain), r"[^\x00-\x7F]+", "")
 
 
 def _words(x: Column) -> Column:
