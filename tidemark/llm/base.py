@@ -19,9 +19,14 @@ _own: dict[str, str] = {}  # by application
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where the session has none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where a local session has none, a temporary one (tests).
+
+    On a cluster without that setting there is no such folder to guess, and this raises an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="tidemark-")

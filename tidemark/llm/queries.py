@@ -26,7 +26,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rules.ledger(table(spark, sf_dir, "documents"))
     base = ~rules.passes(F.col("failed"), "base")
-    return book.select("doc_id", *rules.MEASURES[:5], base.alias("base_failed"), (~base & rules.passes(F.col("failed"), "v1")).alias("kept"))
+    return book.select("doc_id", *rules.MEASURES[:5], base.alias("base_failed"), (~base & rules.passes(F.col("failed"), "v1")).alias("kept"), "failed", F.lit("v1").alias("policy"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,8 @@ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY 1),
 b AS (SELECT m.doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
   len(lines) AS n_lines, up, low, digits FROM m LEFT JOIN rep USING (doc_id)),
-f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines) OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR (up + low >= 20 AND 100 * up > 60 * (up + low)) OR 100 * digits > 30 * word_chars) AS kept FROM f""",
+r AS (SELECT *, n_words < 20 AS r0, 100 * n_repeat_words > 30 * n_words AS r1, 10 * n_symbols > 3 * n_words AS r2, n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines AS r3, word_chars < 2 * n_words OR word_chars > 20 * n_words AS r4,
+  up + low >= 20 AND 100 * up > 60 * (up + low) AS r5, 100 * digits > 30 * word_chars AS r6 FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 OR r1 AS base_failed, NOT (r0 OR r1 OR r2 OR r3 OR r4 OR r5 OR r6) AS kept,
+  r0::BIGINT + 2 * r1::BIGINT + 4 * r2::BIGINT + 8 * r3::BIGINT + 16 * r4::BIGINT + 32 * r5::BIGINT + 64 * r6::BIGINT AS failed, 'v1' AS policy FROM r""",
 }
