@@ -27,18 +27,24 @@ def test_elo_ratings_follow_the_recursion(spark):
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
 
-def test_scoreline_knows_only_earlier_matches(spark):
-    fx = fixtures(spark, SF)
-    got = {r.match_id: r for r in entry.queries()["dynamic_scoreline"](spark, SF).collect()}
-    rows = sorted(fx.collect(), key=lambda r: (r.match_date, r.home, r.away, r.match_id))
-    seen = {}
+def test_scoreline_follows_the_recursion(spark):
+    got = {(r.match_id, r.candidate): r for r in entry.queries()["dynamic_scoreline"](spark, SF).collect()}
+    rows = sorted(fixtures(spark, SF).collect(), key=lambda r: (r.match_date, r.home, r.away, r.match_id))
+    history, league = {}, {}
     for r in rows:
-        n = min(seen.get((r.league, t), 0) for t in (r.home, r.away))
-        assert got[r.match_id].prior_matches == n
-        for t in (r.home, r.away):
-            seen[r.league, t] = seen.get((r.league, t), 0) + 1
-    first = next(r for r in rows if got[r.match_id].prior_matches == 0)
-    assert got[first.match_id].rate_home > 0 and math.isfinite(got[first.match_id].rate_away)
+        day = r.match_date.toordinal()
+        past, goals = [history.get((r.league, t), []) for t in (r.home, r.away)], league.setdefault(r.league, [])
+        own = got[r.match_id, "dc_decay_1_0_prior_20"]
+        assert own.prior_matches == min(map(len, past)) and own.rho == -0.05
+        weigh = lambda i, k: sum(m[k] * math.exp(-1.0 * (day - m[0]) / 365.25) for m in past[i])  # noqa: E731, B023
+        base = [(sum(g[i] for g in goals) + p * 20) / (len(goals) + 20) for i, p in ((0, 1.35), (1, 1.10))]
+        rate = lambda i: (weigh(i, 1) + base[i] * 20) / (weigh(i, 3) + 20) * (weigh(1 - i, 2) + base[i] * 20) / (weigh(1 - i, 3) + 20) / max(base[i], 0.2)  # noqa: E731, B023
+        assert [own.rate_home, own.rate_away] == pytest.approx([min(max(rate(i), 0.15), 4.5) for i in (0, 1)], abs=2e-6)
+        assert own.home_staleness == (day - past[0][-1][0] if past[0] else None)
+        history.setdefault((r.league, r.home), []).append((day, r.hg, r.ag, 1))
+        history.setdefault((r.league, r.away), []).append((day, r.ag, r.hg, 1))
+        goals.append((r.hg, r.ag))
+    assert len(got) == 4 * len(rows)
 
 
 def test_logistic_learns_from_train_rows_only(spark):

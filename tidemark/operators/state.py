@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def elo(matches: DataFrame, league: str = "league", start: float = 1500.0, k: float = 20.0, advantage: float = 60.0) -> DataFrame:
@@ -32,37 +33,43 @@ def elo(matches: DataFrame, league: str = "league", start: float = 1500.0, k: fl
     return matches.select(league, "match_id", "match_date", "home", "away", "hg", "ag").groupBy(league).applyInPandas(run, "match_id long, home_elo_pre double, away_elo_pre double, p_home double")
 
 
-def scoreline(matches: DataFrame, league: str = "league", decay: float = 0.005, prior: float = 5.0, low: float = 0.15, high: float = 4.5) -> DataFrame:
-    """Expected goals before each match from exponentially decayed team sums shrunk to the league's running means.
+# Name, decay a year, weight of the prior and low-score correction of the candidates, and the prior's goals.
+CANDIDATES = (("poisson_decay_0_5_prior_10", 0.5, 10.0, 0.0), ("poisson_decay_1_0_prior_10", 1.0, 10.0, 0.0), ("dc_decay_0_5_prior_10", 0.5, 10.0, -0.05), ("dc_decay_1_0_prior_20", 1.0, 20.0, -0.05))
+PRIOR_HOME, PRIOR_AWAY = 1.35, 1.10
 
-    match_id, prior_matches (fewer of the two teams'), rate_home, rate_away. Predict, then update.
+
+def scoreline(matches: DataFrame, league: str = "league", candidates: tuple = CANDIDATES, low: float = 0.15, high: float = 4.5) -> DataFrame:
+    """Expected goals before each match, from exponentially decayed team sums shrunk to the league's running means.
+
+    match_id, candidate, rho, prior_matches (fewer of the two teams'), rate_home, rate_away, uncertainty, home_staleness and
+    away_staleness (days since a team's last match, NULL before its first). Predict, then update; a missing score updates
+    nothing. State crosses the teams of a league, so a league and candidate is one ordered scan; they run side by side.
     """
+    plan = F.array(*[F.struct(F.lit(n).alias("candidate"), F.lit(d).alias("decay"), F.lit(w).alias("prior"), F.lit(r).alias("rho")) for n, d, w, r in candidates])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        team: dict[int, list[float]] = {}  # for, against, weight, last day, matches
-        goals = [1.35, 1.15, 1.0]
-        out = []
+        name, decay, prior, rho = pdf[["candidate", "decay", "prior", "rho"]].iloc[0]
+        team: dict[int, tuple[float, float, float, int, int]] = {}  # goals for, against, weight, last day, matches
+        sums, n, out = [0.0, 0.0], 0, []
         for m in pdf.sort_values(["match_date", "home", "away", "match_id"], kind="stable").itertuples():
             day = pd.Timestamp(m.match_date).toordinal()
-            now = {}
+            now = []
             for t in (m.home, m.away):
-                f, a, w, last, n = team.get(t, [0.0, 0.0, 0.0, day, 0])
-                g = math.exp(-decay * (day - last))
-                now[t] = [f * g, a * g, w * g, day, n]
-            mh, ma = goals[0] / goals[2], goals[1] / goals[2]
-            mean = (mh + ma) / 2
-            up = lambda t: (now[t][0] + prior * mean) / (now[t][2] + prior) / mean  # noqa: E731, B023
-            down = lambda t: (now[t][1] + prior * mean) / (now[t][2] + prior) / mean  # noqa: E731, B023
-            lh, la = mh * up(m.home) * down(m.away), ma * up(m.away) * down(m.home)
-            out.append((m.match_id, int(min(now[m.home][4], now[m.away][4])), min(max(lh, low), high), min(max(la, low), high)))
+                f, a, w, last, k = team.get(t, (0.0, 0.0, 0.0, None, 0))
+                keep = 1.0 if last is None else math.exp(-decay * max(0, day - last) / 365.25)
+                now.append((f * keep, a * keep, w * keep, last, k))
+            base = [(s + p * prior) / (n + prior) for s, p in zip(sums, (PRIOR_HOME, PRIOR_AWAY))]
+            (hf, ha, hw, hl, hk), (af, aa, aw, al, ak) = now
+            attack = (hf + base[0] * prior) / (hw + prior), (af + base[1] * prior) / (aw + prior)
+            defence = (ha + base[1] * prior) / (hw + prior), (aa + base[0] * prior) / (aw + prior)
+            rates = [min(max(attack[i] * defence[1 - i] / max(base[i], 0.2), low), high) for i in (0, 1)]
+            stale = [None if last is None else day - last for last in (hl, al)]
+            out.append((m.match_id, name, rho, min(hk, ak), *rates, 1 / math.sqrt(hw + 1) + 1 / math.sqrt(aw + 1), *stale))
             if not (pd.isna(m.hg) or pd.isna(m.ag)):
-                for t, f, a in ((m.home, m.hg, m.ag), (m.away, m.ag, m.hg)):
-                    s = now[t]
-                    now[t] = [s[0] + f, s[1] + a, s[2] + 1, day, s[4] + 1]
-                goals = [goals[0] + m.hg, goals[1] + m.ag, goals[2] + 1]
-            team.update(now)
-        return pd.DataFrame(out, columns=["match_id", "prior_matches", "rate_home", "rate_away"])
-
-    return matches.select(league, "match_id", "match_date", "home", "away", "hg", "ag").groupBy(league).applyInPandas(run, "match_id long, prior_matches long, rate_home double, rate_away double")
-
+                for t, own, f, a in ((m.home, now[0], m.hg, m.ag), (m.away, now[1], m.ag, m.hg)):
+                    team[t] = (own[0] + f, own[1] + a, own[2] + 1, day, own[4] + 1)
+                sums, n = [sums[0] + m.hg, sums[1] + m.ag], n + 1
+        return pd.DataFrame(out, columns=["match_id", "candidate", "rho", "prior_matches", "rate_home", "rate_away", "uncertainty", "home_staleness", "away_staleness"]).astype({"home_staleness": "Int64", "away_staleness": "Int64"})
 
+    rows = matches.select(league, "match_id", "match_date", "home", "away", "hg", "ag", F.explode(plan).alias("c")).select(league, "match_id", "match_date", "home", "away", "hg", "ag", "c.*")
+    return rows.groupBy(league, "candidate").applyInPandas(run, "match_id long, candidate string, rho double, prior_matches long, rate_home double, rate_away double, uncertainty double, home_staleness long, away_staleness long")

@@ -118,7 +118,7 @@ def elo_ratings(spark, sf):
 
 @query()
 def dynamic_scoreline(spark, sf):
-    return state.scoreline(fixtures(spark, sf)).withColumns({c: r6(c) for c in ("rate_home", "rate_away")})
+    return state.scoreline(fixtures(spark, sf)).withColumns({c: r6(c) for c in ("rate_home", "rate_away", "uncertainty")})
 
 
 @query()
@@ -138,5 +138,3 @@ def text_profile(spark, sf):
 @query("SELECT DISTINCT user_id, first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_type FROM events")
 def first_message(spark, sf):
     return readers.first_messages(table(spark, sf, "events"), "user_id", "ts", 1).select("user_id", F.col("event_type").alias("first_type"))
-
-
