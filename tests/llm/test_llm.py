@@ -123,9 +123,10 @@ def test_links_lose_nothing_even_where_keys_are_refined(spark, hot):
     assert len(set(group.values())) == len(group)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("fan", [1_000_000, 2])
+def test_components_of_a_long_chain(spark, fan):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.root for r in components.components(edges).collect()}
+    got = {r.node: r.root for r in components.components(edges, fan).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 

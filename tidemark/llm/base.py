@@ -77,6 +77,11 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return out
 
 
+def few(keys: DataFrame, most: int = 200_000) -> DataFrame:
+    """keys, to be broadcast where they are counted to be at most `most` short rows, else for a merge join."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge")
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

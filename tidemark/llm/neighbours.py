@@ -35,7 +35,7 @@ class Hashing:
     width: float = 2.0
     ratio: float = 1.2
     miss: float = 0.15
-    first: float = 0.05
+    first: float = 0.31
     seed: int = 11
 
     def threshold(self) -> int:
@@ -51,7 +51,7 @@ class SortedProjections:
         self.unit, self.hashing = unit, hashing
         self.lines = np.random.default_rng(hashing.seed).normal(size=(hashing.projections, unit.shape[1]))
         flat = self.lines @ unit.T
-        self.order = np.argsort(flat, axis=1, kind="stable")
+        self.order = np.argsort(flat, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(flat, self.order, axis=1)
 
     def search(self, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:

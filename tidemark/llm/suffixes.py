@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import scratch, written
+from .base import few, scratch, written
 
 _LOW = np.uint64((1 << 24) - 1)
 _CHUNK = 1 << 18  # bytes of text hashed at a time; must stay below 2^24 with the longest text cut by _SLICE
@@ -268,18 +268,13 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 80, hot: int
         return temp.keep(_repeated_ranges(docs, length, gram, hot))
 
 
-def _few(keys: DataFrame, most: int = 200_000) -> DataFrame:
-    """keys, to be broadcast where they are counted to be few (16 bytes each), else for a merge join."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge")
-
-
 def _seen_again(found: DataFrame, hot: int) -> DataFrame:
     """The rows of found whose seed is there twice or more; rows of a seed seen over `hot` times stay where they are."""
     times = written(found.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "sfx-times")
     busy = times.where(F.col("times") > hot).select("seed")
     if not busy.limit(1).count():
         return found.join(times.select("seed").hint("merge"), "seed", "left_semi")
-    busy = _few(busy)
+    busy = few(busy)
     calm = found.join(busy, "seed", "left_anti").join(times.where(F.col("times") <= hot).select("seed").hint("merge"), "seed", "left_semi")
     return calm.unionByName(found.join(busy, "seed", "left_semi"))
 
@@ -293,7 +288,7 @@ def _repeated_ranges(docs: DataFrame, length: int, gram: int, hot: int) -> DataF
     seeds = written(contexts.groupBy("seed").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sfx-seeds")
     crowded = seeds.where(F.col("m") > hot).select("seed")
     any_crowded = crowded.limit(1).count() > 0
-    crowded = _few(crowded) if any_crowded else crowded
+    crowded = few(crowded) if any_crowded else crowded
     texts = named.mapInArrow(_squeeze, "th bigint, nb int, z binary").groupBy("th", "nb").agg(F.first("z").alias("z"))
 
     def with_text(some: DataFrame, hot_ones: bool, schema: str) -> DataFrame:
@@ -314,7 +309,7 @@ def _repeated_ranges(docs: DataFrame, length: int, gram: int, hot: int) -> DataF
     marks = merged.unionAll(contexts.where("n > 1").where(F.col("n") <= hot).select("seed", "ctx", F.lit(0).alias("lo"), F.col("at.own").alias("hi")))
     rare, common = again, None
     if many.limit(1).count():
-        many = _few(many)
+        many = few(many)
         rare = again.join(many, ["seed", "ctx"], "left_anti")
         common = again.join(many, ["seed", "ctx"], "left_semi").select("th", "nb", F.col("pos").alias("lo"), (F.col("pos") + F.col("own")).alias("hi"))
     parts = rare.join(marks.hint("merge"), ["seed", "ctx"]).select("th", "nb", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
