@@ -178,10 +178,10 @@ def cover(pairs: Iterable[tuple[int, str]], times: int = 3, least: int = 2) -> l
 
 def support(n_toxic: int, n_clean: int, n_strings: int) -> int:
     """Documents that a string must newly cover: so many that of n_strings rare words without meaning, dealt to documents
-    at random, about one would be found in that many toxic and no clean ones. In small samples, where no string has so
-    many, one of 50 toxic documents, and two at least."""
+    at random, one would be found in that many toxic and no clean ones once in a hundred samples. In small samples, where
+    no string has so many, one of 50 toxic documents, and two at least."""
     share = n_toxic / max(n_toxic + n_clean, 1)
-    test = math.ceil(math.log(max(n_strings, 2)) / -math.log(share)) if 0 < share < 1 else 2
+    test = math.ceil(math.log(100 * max(n_strings, 1)) / -math.log(share)) if 0 < share < 1 else 2
     return max(2, min(test, n_toxic // 50))
 
 
