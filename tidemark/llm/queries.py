@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, divergence, extraction, language, mixing, neighbours, packing, quality, rules, simhash, suffixes, toxicity
+from . import bestfit, divergence, extraction, language, mixing, neighbours, packing, quality, repair, rules, simhash, suffixes, toxicity
 from .base import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack_uncut(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_best_fit": op12_best_fit,
     "op13_divergence": op13_divergence,
 }
@@ -120,4 +125,27 @@ f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p))
 r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
   UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 10""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)), lambda h, b:
+    list_reduce(list_prepend(xor(h, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS h FROM conversations),
+kind AS (SELECT *, xor(h, 4294967295) % 20 AS k FROM raw),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kind, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS c(x) WHERE k > 0),
+p AS (SELECT *, row_number() OVER w AS i, substr(role, 1, 1) AS ini, lag(substr(role, 1, 1)) OVER w AS prev FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM p),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM o),
+n AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated, count_if(prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+ins(q, q2, edits, lines) AS (VALUES ('n', 'n', '', []::VARCHAR[]), ('s', 's', '', []), ('u', 'u', '', []), ('a', 'a', '', []), ('n', 'u', 'I', ['user:']), ('s', 'u', 'I', ['user:']), ('a', 'u', 'I', ['user:']), ('u', 'a', 'I', ['assistant:']), ('n', 'a', 'II', ['user:', 'assistant:']), ('s', 'a', 'II', ['user:', 'assistant:'])),
+arc(q2, edit, ini, q3, cost) AS (SELECT q2, 'D', NULL::VARCHAR, q2, 4 FROM (VALUES ('n'), ('s'), ('u'), ('a')) AS x(q2) UNION ALL SELECT q2, 'R', NULL::VARCHAR, CASE q2 WHEN 'u' THEN 'a' ELSE 'u' END, 3 FROM (VALUES ('n'), ('s'), ('u'), ('a')) AS x(q2)
+  UNION ALL VALUES ('n', 'K', 's', 's', 0), ('n', 'K', 'u', 'u', 0), ('s', 'K', 'u', 'u', 0), ('a', 'K', 'u', 'u', 0), ('u', 'K', 'a', 'a', 0)),
+v AS (SELECT conv_id, 0::BIGINT AS i, 'n' AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM n
+  UNION ALL SELECT conv_id, i, q, cost, audit, lines FROM (SELECT f.conv_id, f.i, arc.q3 AS q, v.cost + 3 * length(ins.edits) + arc.cost + CASE WHEN arc.edit <> 'D' AND f.fault = 't' THEN 3 ELSE 0 END AS cost, v.audit || ins.edits || arc.edit AS audit,
+    v.lines || ins.lines || CASE arc.edit WHEN 'K' THEN [f.role || ':' || f.text] WHEN 'R' THEN [CASE arc.q3 WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text] ELSE []::VARCHAR[] END AS lines
+    FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i + 1 JOIN ins ON ins.q = v.q JOIN arc ON arc.q2 = ins.q2 AND (arc.ini IS NULL OR arc.ini = f.ini) AND (arc.edit = 'D' OR f.fault NOT IN ('b', 'd')))
+    QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1),
+done AS (SELECT v.conv_id, v.cost + 3 * length(ins.edits) AS cost, v.audit || ins.edits AS audit, v.lines || ins.lines AS lines FROM v JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id AND n.rows = v.i JOIN ins ON ins.q = v.q AND ins.q2 IN ('n', 'a') WHERE NOT (ins.q = 'n' AND ins.q2 = 'a')
+  QUALIFY row_number() OVER (PARTITION BY v.conv_id ORDER BY v.cost + 3 * length(ins.edits), v.audit || ins.edits) = 1)
+SELECT c.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0)::BIGINT AS blank, coalesce(n.duplicate, 0)::BIGINT AS duplicate, coalesce(n.truncated, 0)::BIGINT AS truncated, coalesce(n.illegal, 0)::BIGINT AS illegal, coalesce(done.cost, 0)::BIGINT AS cost, coalesce(done.audit, '') AS audit,
+  sha256(coalesce(array_to_string(done.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }
