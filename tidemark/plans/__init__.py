@@ -1,6 +1,6 @@
 """Registered queries with their DuckDB counterparts."""
 
-from . import analysis, audits, decisions, details, history, scalars, streams, temporal
+from . import analysis, audits, decisions, details, history, learning, scalars, streams, temporal
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "audits", "decisions", "details", "history", "scalars", "streams", "temporal"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "audits", "decisions", "details", "history", "learning", "scalars", "streams", "temporal"]

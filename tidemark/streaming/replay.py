@@ -43,14 +43,14 @@ def last_price(events: DataFrame) -> DataFrame:
             for r in f.sort_values("ts", kind="stable").itertuples():
                 if r.in_play is not None and not pd.isna(r.in_play):
                     playing = bool(r.in_play)
-                t = int(pd.Timestamp(r.ts).value // 1000)
+                t = int(r.ts_us)
                 if not playing and r.price > 1 and (ts is None or t >= ts):
                     price, ts, n = float(r.price), t, n + 1
         state.update((price, ts, n, playing))
         if price is not None:
             yield pd.DataFrame({"market": [key[0]], "runner": [key[1]], "price": [price], "updates": [n]})
 
-    return events.groupBy("market", "runner").applyInPandasWithState(step, "market long, runner string, price double, updates long", "price double, ts long, n long, playing boolean", "update", "NoTimeout")
+    return events.withColumn("ts_us", F.unix_micros("ts")).groupBy("market", "runner").applyInPandasWithState(step, "market long, runner string, price double, updates long", "price double, ts long, n long, playing boolean", "update", "NoTimeout")
 
 
 def cutoff_prices(events: DataFrame, cutoffs: list[str], late: str = "10 minutes") -> DataFrame:
@@ -68,8 +68,8 @@ def cutoff_prices(events: DataFrame, cutoffs: list[str], late: str = "10 minutes
         held, prices, playing, start, done = json.loads(state.get[0]) if state.exists else ([], {}, False, None, 0)
         for f in frames:
             for r in f.itertuples():
-                start = start if start is not None else int(pd.Timestamp(r.market_start).value // 1000)
-                held.append([int(pd.Timestamp(r.ts).value // 1000), r.runner, float(r.price), None if r.in_play is None or pd.isna(r.in_play) else bool(r.in_play)])
+                start = start if start is not None else int(r.start_us)
+                held.append([int(r.ts_us), r.runner, float(r.price), None if r.in_play is None or pd.isna(r.in_play) else bool(r.in_play)])
         mark = state.getCurrentWatermarkMs() * 1000
         held.sort(key=lambda m: m[0])
         out, pending = [], [start - d for d in deltas][done:]
@@ -77,7 +77,7 @@ def cutoff_prices(events: DataFrame, cutoffs: list[str], late: str = "10 minutes
         def emit(at: int) -> None:
             nonlocal done
             done += 1
-            out.extend((key[0], pd.Timestamp(at, unit="us"), runner, p, (at - t) / 1e6) for runner, (p, t) in sorted(prices.items()))
+            out.extend((key[0], at, runner, p, (at - t) / 1e6) for runner, (p, t) in sorted(prices.items()))
 
         while held and held[0][0] < mark:
             t, runner, price, flag = held.pop(0)
@@ -94,7 +94,10 @@ def cutoff_prices(events: DataFrame, cutoffs: list[str], late: str = "10 minutes
             state.setTimeoutTimestamp(max(min(wake) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["market", "cutoff", "runner", "price", "age_s"])
+        if out:
+            yield pd.DataFrame(out, columns=["market", "cutoff_us", "runner", "price", "age_s"])
 
-    marked = events.withWatermark("ts", late)
-    return marked.groupBy("market").applyInPandasWithState(step, "market long, cutoff timestamp, runner string, price double, age_s double", "held string", "append", "EventTimeTimeout")
+    # instants go in and come out as microseconds, which no session time zone moves
+    marked = events.withWatermark("ts", late).select("market", "runner", "ts", "price", "in_play", F.unix_micros("ts").alias("ts_us"), F.unix_micros("market_start").alias("start_us"))
+    out = marked.groupBy("market").applyInPandasWithState(step, "market long, cutoff_us long, runner string, price double, age_s double", "held string", "append", "EventTimeTimeout")
+    return out.select("market", F.timestamp_micros("cutoff_us").alias("cutoff"), "runner", "price", "age_s")
