@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def flag_duplicates(df: DataFrame, keys: list[str], name: str = "is_duplicate") -> DataFrame:
     return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1)
@@ -64,10 +66,10 @@ def alias_conflicts(aliases: DataFrame, alias: str, team: str) -> DataFrame:
 
 
 def surrogate_ids(known: DataFrame, names: DataFrame, name: str, id_col: str) -> DataFrame:
-    """Known ids, and max + 1, + 2, .. for the missing names in sorted order (one row per new name reaches the ranking)."""
+    """Known ids, and max + 1, + 2, .. for the missing names in sorted order, ranked by sorted ranges."""
     missing = names.select(name).distinct().join(known.select(name), name, "left_anti")
     top = known.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__m"))
-    new = missing.crossJoin(F.broadcast(top)).select(name, (F.col("__m") + F.row_number().over(Window.orderBy(name))).cast("long").alias(id_col))  # top is one row
+    new = ranked(missing, [name], name="__r").crossJoin(F.broadcast(top)).select(name, (F.col("__m") + F.col("__r")).cast("long").alias(id_col))  # top is one row
     return known.select(name, F.col(id_col).cast("long").alias(id_col)).unionByName(new)
 
 
@@ -87,16 +89,51 @@ def _ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b
 
 
+def close_pairs(names: DataFrame, registry: DataFrame, cutoff: float) -> DataFrame:
+    """(a, b, block) of one block whose letters allow a Ratcliff-Obershelp ratio of cutoff or more: no such pair is missing.
+
+    names: a, block; registry: b, block. The ratio is 2 m / (|a| + |b|) with m matched letters in order, so at a cutoff c
+    |b| is within |a| c / (2 - c) and |a| (2 - c) / c, and at most d = (1 - c)(|a| + |b|) letters of both are unmatched. Each
+    of them spoils at most one of d + 1 segments of a, so one stands whole in b; there is one, say the i-th, that is shifted
+    by at most i from the front and d - i from the back. That is an equality join on length, segment and block; then the
+    letters that both have, counted as multisets, bound m.
+    """
+    c, slack = cutoff, 1e-9
+    d = lambda x, y: F.floor((1 - c) * (x + y) + slack).cast("int")
+    left = names.select("a", "block", F.length("a").alias("la")).where("la > 0").distinct()
+    low, high = F.ceil(F.col("la") * (c / (2 - c)) - slack).cast("int"), F.floor(F.col("la") * ((2 - c) / c) + slack).cast("int")
+    left = left.select("a", "block", "la", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("lb")).withColumn("n", d(F.col("la"), F.col("lb")) + 1)
+    # segments of at most three letters' beginnings; with more segments than letters some are empty, and any b of the length may match
+    place = lambda i: F.floor(i * F.col("la") / F.col("n")).cast("int")
+    cut_ = lambda i: F.struct(i.alias("i"), place(i).alias("at"), F.substring("a", place(i) + 1, F.least(place(i + 1) - place(i), F.lit(3))).alias("seg"))
+    left = left.select("a", "block", "la", "lb", (F.col("n") - 1).alias("d"), F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), cut_)))
+    right = registry.select("b", "block", F.length("b").alias("lb")).where("lb > 0").distinct()
+    here = lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(3), F.col("lb") - i)), lambda k: F.struct(i.alias("to"), F.substring("b", i + 1, k).alias("seg")))
+    right = right.select("b", "block", "lb", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.col("lb") - 1), here))))
+    met = left.join(right, ["block", "lb", "seg"]).where((F.abs(F.col("to") - F.col("at")) <= F.col("i")) & (F.abs(F.col("to") - F.col("at") - F.col("lb") + F.col("la")) <= F.col("d") - F.col("i")))
+    met = met.select("a", "b", "block", "la", "lb").distinct()
+    letters = lambda x: F.split(x, "")
+    # letters with their number among equal ones, so that the sets' intersection is the multisets'
+    marked = lambda x: F.aggregate(F.sort_array(letters(x)), F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last"), F.lit(0).alias("k")), lambda s, y: F.struct(F.array_append(s["out"], F.concat(y, F.when(y == s["last"], s["k"] + 1).otherwise(0).cast("string"))).alias("out"), y.alias("last"), F.when(y == s["last"], s["k"] + 1).otherwise(0).alias("k")))["out"]
+    shared = F.size(F.array_intersect(marked(F.col("a")), marked(F.col("b"))))
+    return met.where(2 * shared >= c * (F.col("la") + F.col("lb")) - slack).select("a", "b", "block")
+
+
 def fuzzy_candidates(names: DataFrame, registry: DataFrame, cutoff: float = 0.78, keep: int = 3, itself: bool = True) -> DataFrame:
     """(name, candidate, score, rank): review candidates of the same block; names and registry hold name and block.
 
-    Ratcliff-Obershelp ratio, the larger of plain and token-sorted. Only names sharing a block and a three-letter gram are
-    compared; without itself, a name is no candidate of its own.
+    Ratcliff-Obershelp ratio to four places, the larger of plain and token-sorted; without itself, a name is no candidate of
+    its own. Every pair of a block at the cutoff is found (close_pairs over names as they are and over their sorted tokens); only
+    pairs that the letters allow are scored.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    a = names.select("name", "block").distinct().withColumn("g", F.explode(grams(F.col("name"))))
-    b = registry.select(F.col("name").alias("candidate"), "block").distinct().withColumn("g", F.explode(grams(F.col("candidate"))))
-    pairs = a.join(b, ["block", "g"]).select("name", "candidate").distinct()
+    tokens = lambda x: F.array_join(F.sort_array(F.filter(F.split(x, r"\s+"), lambda t: t != "")), " ")
+    found = None
+    for form in (lambda x: x, tokens):
+        a = names.select(F.col("name"), form(F.col("name")).alias("a"), "block").distinct()
+        b = registry.select(F.col("name").alias("candidate"), form(F.col("name")).alias("b"), "block").distinct()
+        own = close_pairs(a, b, cutoff - 0.00005).join(a, ["a", "block"]).join(b, ["b", "block"]).select("name", "candidate")
+        found = own if found is None else found.unionByName(own)
+    pairs = found.distinct()
     pairs = pairs if itself else pairs.where("name <> candidate")
     scored = pairs.mapInPandas(_ratio, "name string, candidate string, score double").where(F.col("score") >= cutoff)
     w = Window.partitionBy("name").orderBy(F.desc("score"), "candidate")
@@ -203,8 +240,7 @@ def quantile_sample(values: DataFrame, order: str, blocks: int, places: int) ->
     values: one row per distinct value, such as the dates of an archive. Earlier blocks take the rows left over; places
     are rounded down.
     """
-    w = Window.orderBy(order)
-    ranked = values.select(order, (F.row_number().over(w) - 1).alias("__i"))
+    placed = ranked(values.select(order), [order], name="__r").select(order, (F.col("__r") - 1).alias("__i"))
     n = values.agg(F.count(F.lit(1)).alias("__n"))
     k, j = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("j")
     plan = n.select("__n", k).select("__n", "k", j)
@@ -212,4 +248,4 @@ def quantile_sample(values: DataFrame, order: str, blocks: int, places: int) ->
     low = F.col("k") * base + F.least(F.col("k"), extra)
     size = base + (F.col("k") < extra).cast("long")
     plan = plan.select((F.col("k") + 1).alias("third"), (F.col("j") + 1).alias("place"), (low + F.floor((size - 1) * F.col("j") / (places - 1))).alias("__i"))
-    return ranked.join(F.broadcast(plan), "__i").select("third", "place", order)  # blocks x places rows
+    return placed.join(F.broadcast(plan), "__i").select("third", "place", order)  # blocks x places rows

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import market, text
 from ..operators import evaluation as ev
 from ..operators import identity, windows
+from ..operators.ranks import ranked
 from .base import FX, fixtures, query, r6, sides, table
 from .scalars import NOVIG, SETTLE, odds, settled
 
@@ -359,8 +360,7 @@ def leave_one_league_out(spark, sf):
 
 @query(f"WITH {SETTLE}, r AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY odds_h, match_id) - 1 AS rn, count(*) OVER (PARTITION BY league) AS n FROM s) SELECT league, (floor(rn*10/n))::BIGINT AS decile, count(*) AS bets, round(avg(profit),6) AS roi FROM r GROUP BY 1,2")
 def edge_deciles(spark, sf):
-    w = Window.partitionBy("league").orderBy("odds_h", "match_id")
-    r = _bets(spark, sf).withColumn("rn", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("league")))
+    r = ranked(_bets(spark, sf), ["odds_h", "match_id"], ["league"], "rn", "n").withColumn("rn", F.col("rn") - 1)
     return r.groupBy("league", F.floor(F.col("rn") * 10 / F.col("n")).alias("decile")).agg(F.count(F.lit(1)).alias("bets"), r6(F.avg("profit")).alias("roi"))
 
 
