@@ -15,8 +15,9 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right
 
     Both sides are stacked, sorted once by key and time, and the last right row is carried forward: one shuffle and a
     linear scan, where a join on an inequality would compare all pairs of a key. Adds matched_ts; NULL without a match.
-    Equal right times: the largest by `tie`.
+    Equal right times: the largest by `tie`. Right rows without a time match nothing.
     """
+    right = right.where(F.col(right_ts).isNotNull())
     extra = [c for c in left.columns if c not in keys]
     pack = F.struct(F.col(right_ts).alias("matched_ts"), *[F.col(p) for p in payload])
     r = right.select(*keys, F.col(right_ts).alias("__t"), F.lit(1).alias("__s"), F.lit(None).cast(left.select(F.struct(*extra)).schema[0].dataType).alias("__l"), pack.alias("__r"), (F.struct(*tie) if tie else F.lit(0)).alias("__o"))
@@ -26,6 +27,30 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right
     return both.select(*keys, *[F.col(f"__l.{c}").alias(c) for c in extra], "__m.*")
 
 
+def asof_spans(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, payload: list[str], seconds: int, strict: bool = True, tie: list[str] | None = None) -> DataFrame:
+    """asof() where a key may hold a large share of all rows: the same rows, a key being as many tasks as it has spans.
+
+    Time is cut into spans of `seconds`. Within a span the last right row is carried forward as in asof(); the last right
+    row of each span (one row a key and span) is carried into the later ones, and answers where a span has none yet.
+    """
+    span = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1_000_000 * seconds)).alias("__span")
+    l, r = left.withColumn("__span", span(left_ts)), right.withColumn("__span", span(right_ts))  # noqa: E741
+    near = asof(l, r, [*keys, "__span"], left_ts, right_ts, payload, strict, tie)
+    found = F.struct(F.col(right_ts).alias("matched_ts"), *[F.col(p) for p in payload])
+    last = r.where(F.col(right_ts).isNotNull()).groupBy(*keys, "__span").agg(F.max_by(found, F.struct(right_ts, *(tie or []))).alias("__last"))
+    # spans with left rows and spans with right rows, in order: few rows a key, whatever its share
+    marks = l.select(*keys, "__span").distinct().withColumn("__last", F.lit(None).cast(last.schema["__last"].dataType)).unionByName(last).groupBy(*keys, "__span").agg(F.max("__last").alias("__last"))
+    before = F.last("__last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    carried = marks.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__span").alias("__s"), before.alias("__before")).where("__before IS NOT NULL")
+    same = F.col("__span") == F.col("__s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    out = near.join(carried, same, "left")
+    own = F.col("matched_ts").isNotNull()
+    rest = [c for c in left.columns if c not in keys]
+    return out.select(*keys, *rest, *[F.when(own, F.col(c)).otherwise(F.col(f"__before.{c}")).alias(c) for c in ("matched_ts", *payload)])
+
+
 def validated_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", validate: str = "many_to_one") -> DataFrame:
     """An equi-join that raises CardinalityError if a side that must be unique on `on` is not (one action per such side)."""
     for side, name in ((left, "left"), (right, "right")):
@@ -81,6 +106,25 @@ def tolerance_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, ri
     return near.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(left_id))).where("__n = 1").drop("__n")
 
 
+def pair_tolerance_join(left: DataFrame, right: DataFrame, pair: tuple[str, str], left_ts: str, right_ts: str, seconds: int, left_id: str, right_id: str) -> DataFrame:
+    """Left and right rows of the same two parties, in either order, within +-seconds, where each is the other's only match.
+
+    A row with several partners is in conflict and leaves, and so do its partners' pairs with it. Adds swapped: whether the
+    right side has the parties the other way round. Rows with a missing party or time match nothing.
+    """
+    sides = F.array_sort(F.array(*[F.col(c).cast("string") for c in pair]))
+    key = F.when(F.col(pair[0]).isNotNull() & F.col(pair[1]).isNotNull(), sides)
+    l = left.withColumn("__pair", key).where("__pair IS NOT NULL")  # noqa: E741
+    r = right.select(F.col(right_id), F.col(right_ts), key.alias("__pair"), F.col(pair[0]).alias("__first"), *[c for c in right.columns if c not in (right_id, right_ts, *pair)]).where("__pair IS NOT NULL")
+    sec = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+    l = l.withColumn("__b", F.floor(sec(left_ts) / seconds))  # noqa: E741
+    r = r.withColumn("__b", F.explode(F.array(*[F.floor(sec(right_ts) / seconds) + d for d in (-1, 0, 1)])))
+    near = l.join(r, ["__pair", "__b"]).where(F.abs(sec(left_ts) - sec(right_ts)) <= seconds)
+    alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
+    near = near.withColumn("__l", alone(left_id)).withColumn("__r", alone(right_id)).where("__l = 1 AND __r = 1")
+    return near.withColumn("swapped", F.col("__first") != F.col(pair[0])).drop("__pair", "__b", "__first", "__l", "__r")
+
+
 def trailing_join(left: DataFrame, events: DataFrame, key: str, date: str, event_date: str, days: int) -> DataFrame:
     """Pairs of left rows and events of the key in [date - days, date): equality on buckets of `days` days, then the test."""
     b = lambda c: F.floor(F.unix_date(F.col(c)) / days)

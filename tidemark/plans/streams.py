@@ -137,4 +137,4 @@ def text_profile(spark, sf):
 
 @query("SELECT DISTINCT user_id, first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_type FROM events")
 def first_message(spark, sf):
-    return readers.first_messages(table(spark, sf, "events"), "user_id", "ts", 1).select("user_id", F.col("event_type").alias("first_type"))
+    return readers.first_messages(table(spark, sf, "events"), "user_id", ["ts", "event_id"], 1).select("user_id", F.col("event_type").alias("first_type"))

@@ -8,7 +8,10 @@ import tempfile
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,5 +138,67 @@ def request_plan(needs: DataFrame, cache: DataFrame, place: str, date: str) -> D
     return missing.groupBy(place).agg(F.min(date).alias("from_date"), F.max(date).alias("to_date"), F.count(F.lit(1)).alias("n_dates"))
 
 
-def first_messages(stream: DataFrame, key: str, order: str, n: int = 100) -> DataFrame:
-    return stream.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("__r") <= n).drop("__r")
+def first_messages(stream: DataFrame, key: str, order: list[str], n: int = 100) -> DataFrame:
+    """The first n rows of each key by `order`, which should leave no ties.
+
+    Each task keeps a counter and at most n rows a key while it reads, and only those travel: what a key has beyond its
+    first n is dropped where it lies. A task holds at most n rows for each key in it.
+    """
+    at = stream.columns.index
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            both = rows if best is None else pa.concat_tables([best, rows])
+            both = both.sort_by([(c, "ascending") for c in (key, *order)])
+            codes = both.column(at(key)).combine_chunks().dictionary_encode()
+            code = pc.fill_null(codes.indices, -1).to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(np.diff(code, prepend=code[:1] - 1)) if len(code) else np.zeros(0, int)
+            place = np.arange(len(code)) - np.repeat(start, np.diff(np.append(start, len(code))))
+            best = both.filter(pa.array(place < n))
+        if best is not None:
+            yield from best.to_batches()
+
+    kept = stream.mapInArrow(head, stream.schema)
+    first = Window.partitionBy(key).orderBy(*order)
+    return kept.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).drop("__r")
+
+
+# Bytes that Windows-1252 leaves open.
+_OPEN_1252 = "(?i)^(..)*(81|8D|8F|90|9D)"
+
+
+def encodings(spark: SparkSession, path: str) -> DataFrame:
+    """file and encoding of the files under a path: the first of UTF-8 (a byte order mark is not part of the first
+    line), Windows-1252 and Latin-1 in which every line is valid. Lines are looked at where they lie, so that a large file is
+    many tasks' work."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = F.hex(F.col("value").cast("binary"))
+    found = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(raw.rlike(_OPEN_1252)).alias("open"))
+    return found.select("file", F.when(F.col("utf8"), "utf-8").when(~F.col("open"), "cp1252").otherwise("latin1").alias("encoding"))
+
+
+def csv_cascade(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV files of several encodings under one path, read strictly: any malformed row fails, none is skipped.
+
+    Encodings are found first; then the files of each are one scan. schema: the columns by position.
+    """
+    by: dict[str, list[str]] = {}
+    for r in encodings(spark, path).collect():  # a row a file, as any listing of inputs
+        by.setdefault(r.encoding, []).append(r.file)
+    # Windows-1252 is Latin-1 but for the letters in the place of control characters
+    odd = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    odd = [(a, z) for a, z in odd if z]
+    scans = []
+    for encoding, files in sorted(by.items()):
+        own = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", True).option("encoding", "UTF-8" if encoding == "utf-8" else "ISO-8859-1").csv(files)
+        if encoding == "cp1252":
+            own = own.withColumns({f.name: F.translate(f.name, "".join(a for a, _ in odd), "".join(z for _, z in odd)) for f in schema.fields if isinstance(f.dataType, T.StringType)})
+        scans.append(own)
+    if not scans:
+        return spark.createDataFrame([], schema)
+    out = scans[0]
+    for s in scans[1:]:
+        out = out.unionByName(s)
+    return out

@@ -101,3 +101,21 @@ def cutoff_prices(events: DataFrame, cutoffs: list[str], late: str = "10 minutes
     marked = events.withWatermark("ts", late).select("market", "runner", "ts", "price", "in_play", F.unix_micros("ts").alias("ts_us"), F.unix_micros("market_start").alias("start_us"))
     out = marked.groupBy("market").applyInPandasWithState(step, "market long, cutoff_us long, runner string, price double, age_s double", "held string", "append", "EventTimeTimeout")
     return out.select("market", F.timestamp_micros("cutoff_us").alias("cutoff"), "runner", "price", "age_s")
+
+
+def first_n(events: DataFrame, keys: list[str], n: int = 100) -> DataFrame:
+    """The first n rows of each key as they arrive (within a batch by ts): state is one counter a key, and a key that has
+    had its n rows is passed over without being looked at again."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        left = state.get[0] if state.exists else n
+        if left:
+            best = None
+            for f in frames:
+                both = f if best is None else pd.concat([best, f])
+                best = both.sort_values("ts", kind="stable").head(left)
+            state.update((left - len(best),))
+            yield best
+
+    return events.groupBy(*keys).applyInPandasWithState(step, kinds, "rows_left long", "append", "NoTimeout")
