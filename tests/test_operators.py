@@ -82,18 +82,6 @@ def test_ece_bins_differ_in_closedness(spark):
     assert (row.l, row.r, row.t, row.z) == (1, 0, 1, 0)
 
 
-def test_bootstrap_repeats(spark):
-    df = spark.createDataFrame([(i % 4, float(i % 3 - 1)) for i in range(40)], "c int, profit double")
-    assert evaluation.cluster_bootstrap(df, "c", iterations=50) == evaluation.cluster_bootstrap(df, "c", iterations=50)
-
-
-def test_permutation_keeps_values(spark):
-    df = spark.createDataFrame([(i, i % 2, i * 1.0) for i in range(20)], "id int, k int, v double")
-    out = evaluation.permuted(df, ["k"], "v", "id").toPandas()
-    for k, g in out.groupby("k"):
-        assert sorted(g.v) == [x * 1.0 for x in range(20) if x % 2 == k]
-
-
 def test_elo_predicts_before_update(spark):
     rows = [("L", 1, date(2024, 1, 1), 1, 2, 1, 0), ("L", 2, date(2024, 1, 2), 1, 2, None, None), ("L", 3, date(2024, 1, 3), 2, 1, 0, 0)]
     df = spark.createDataFrame(rows, "league string, match_id long, match_date date, home int, away int, hg int, ag int")

@@ -58,10 +58,10 @@ def odds_pairs(columns: list[str]) -> dict[str, str]:
     return {c: k for c in columns if (m := _ODDS.match(c)) and not m["close"] and (k := f"{m['book']}C{m['sel']}") in have}
 
 
-def usable(df: DataFrame, columns: list[str]) -> list[str]:
-    """Columns with a value and more than one distinct value, from one aggregation."""
-    got = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)], *[F.min(c).cast("string").alias(f"a{i}") for i, c in enumerate(columns)], *[F.max(c).cast("string").alias(f"b{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if got[f"d{i}"] and got[f"a{i}"] != got[f"b{i}"]]
+def usable(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, usable: whether a column has more than one value; nulls are none. One aggregation."""
+    spread = [F.struct(F.lit(c).alias("feature"), F.coalesce(F.min(c) < F.max(c), F.lit(False)).alias("usable")) for c in columns]
+    return df.agg(F.array(*spread).alias("f")).select(F.inline("f"))
 
 
 def odds_inventory(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

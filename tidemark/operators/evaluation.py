@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,32 +108,3 @@ def leave_one_out(df: DataFrame, group: str, profit: str = "profit") -> DataFram
     g = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(profit).alias("p"))
     w = Window.partitionBy()
     return g.select(F.col(group).alias("excluded"), (F.sum("n").over(w) - F.col("n")).alias("bets"), (F.sum("p").over(w) - F.col("p")).alias("profit"))
-
-
-def cluster_bootstrap(df: DataFrame, cluster: str, profit: str = "profit", iterations: int = 2000, seed: int = 17, most_clusters: int = 1_000_000) -> dict[str, float]:
-    """Percentile interval of profit and share of positive draws, resampling clusters.
-
-    Spark reduces to one (sum, count) per cluster; those rows (at most `most_clusters`, else an error) are resampled here.
-    """
-    g = df.groupBy(cluster).agg(F.sum(profit).alias("p"), F.count(F.lit(1)).alias("n")).orderBy(cluster).limit(most_clusters + 1).toPandas()
-    if len(g) > most_clusters:
-        raise ValueError("too many clusters to resample on the driver")
-    rng = np.random.default_rng(seed)
-    draws = np.array([rng.integers(0, len(g), len(g)) for _ in range(iterations)]) if len(g) else np.zeros((iterations, 0), int)
-    p = g.p.to_numpy(float)[draws].sum(1)
-    n = np.maximum(g.n.to_numpy(float)[draws].sum(1), 1)
-    lo, hi = np.quantile(p, [0.025, 0.975])
-    return {"profit_low": float(lo), "profit_high": float(hi), "p_positive": float((p > 0).mean()), "roi_mean": float((p / n).mean())}
-
-
-def same_size_control(df: DataFrame, strata: list[str], sizes: DataFrame, row_id: str, seed: int = 17) -> DataFrame:
-    """As many rows of each stratum as `sizes` (strata, n) says, by a seeded hash."""
-    w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id)
-    return df.withColumn("__r", F.row_number().over(w)).join(sizes, strata).where(F.col("__r") <= F.col("n")).drop("__r", "n")
-
-
-def permuted(df: DataFrame, keys: list[str], value: str, row_id: str, seed: int = 17) -> DataFrame:
-    """value shuffled within keys, as a negative control: ranks by id meet ranks by a seeded hash."""
-    a = df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(row_id))).drop(value)
-    b = df.select(*keys, value, F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id)).alias("__r"))
-    return a.join(b, [*keys, "__r"]).drop("__r")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,20 +86,14 @@ def best_side(rows: DataFrame, key: str, valid: Column, edge: str = "edge") -> D
     return rows.where(valid).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def variant_valid(variant: str, odds: Column, p: Column, edge: Column, clv: Column, p_clv: Column, uncertainty: Column, agrees: Column, dispersion: Column, limits: dict[str, float]) -> Column:
-    """Whether a side may be taken under a rule variant; parts of the variant's name switch the conditions on."""
-    ok = (odds > 1) & odds.between(limits["odds_min"], limits["odds_max"]) & p.isNotNull()
-    if variant != "predicted_clv_only":
-        ok &= (edge >= limits["edge"]) & (p * odds - 1 > 0)
-    if variant != "outcome_edge_only":
-        ok &= (clv >= limits["clv"]) & (p_clv >= limits["p_clv"])
-    if "uncertainty" in variant:
-        ok &= uncertainty <= limits["uncertainty_max"]
-    if "cross_market" in variant:
-        ok &= agrees
-    if "bookmaker_disagreement" in variant:
-        ok &= dispersion >= limits["dispersion"]
-    return F.coalesce(ok, F.lit(False))
+def rules_met(rules: dict[str, tuple[str, ...]], conditions: dict[str, Column]) -> Column:
+    """The names of the rules all of whose conditions hold of a row; an unknown condition does not hold.
+
+    rules: name to the names of its conditions; conditions: what each of those asks. A rule is data: a new one is a new
+    entry, and no name has a meaning.
+    """
+    known = {c: F.coalesce(x, F.lit(False)) for c, x in conditions.items()}
+    return F.array_compact(F.array(*[F.when(F.forall(F.array(*[known[c] for c in needs]), lambda x: x), F.lit(name)) for name, needs in rules.items()]))
 
 
 def line_candidates(df: DataFrame, home_line: str, away_line: str, odds: str, threshold: float) -> DataFrame:
@@ -152,6 +147,19 @@ def shuffled(df: DataFrame, value: str, row_id: str, keys: list[str], salt: str)
     return a.join(b, [*keys, "__r"]).drop("__r", "__share")
 
 
+def noise_replaced(df: DataFrame, columns: list[str], fitted: Column, row_id: str, salt: str) -> DataFrame:
+    """columns filled with normal noise of the mean and spread that they have where `fitted` holds (1 without any).
+
+    The noise is made of salted hashes of the row's id and the column's name, so it is the same in every run and order.
+    """
+    stats = df.agg(*[F.avg(F.when(fitted, F.col(c))).alias(f"__m{i}") for i, c in enumerate(columns)], *[F.stddev_samp(F.when(fitted, F.col(c))).alias(f"__s{i}") for i, c in enumerate(columns)])
+    unit = lambda c, k: (_digits(F.concat_ws("-", F.lit(f"{salt}-{c}-{k}"), F.col(row_id).cast("string")), 12) + 0.5) / float(1 << 48)
+    normal = lambda c: F.sqrt(-2 * F.ln(unit(c, 1))) * F.cos(2 * math.pi * unit(c, 2))
+    spread = lambda i: F.when(F.col(f"__s{i}") > 0, F.col(f"__s{i}")).otherwise(1.0)
+    made = {c: F.coalesce(f"__m{i}", F.lit(0.0)) + spread(i) * normal(c) for i, c in enumerate(columns)}
+    return df.crossJoin(F.broadcast(stats)).withColumns(made).select(*df.columns)  # stats is one row
+
+
 # resampling
 
 

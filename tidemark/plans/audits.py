@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import market
-from ..operators import contracts, identity, joins, replay
+from ..operators import anomalies, contracts, identity, joins, replay
 from ..sources import sinks
 from .base import FX, fixtures, query, r6, table
 from .scalars import SETTLE, margin, settled
@@ -22,11 +24,10 @@ def odds_inventory(spark, sf):
     return out.withColumns({c: r6(c) for c in ("valid_odds_coverage", "min_value", "max_value")})
 
 
-@query(f"WITH {FX} SELECT 'odds_h' AS feature, TRUE AS usable UNION ALL SELECT 'ah_line', TRUE UNION ALL SELECT 'nothing', FALSE UNION ALL SELECT 'constant', FALSE")
+@query(f"WITH {FX}, u AS (SELECT odds_h, ah_line, NULL::DOUBLE AS nothing, 7.0 AS constant, CASE WHEN match_id>0 THEN season END AS season, CASE WHEN season=1998 THEN odds_d END AS late FROM fx) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c})>1 AS usable FROM u" for c in ("odds_h", "ah_line", "nothing", "constant", "season", "late")))
 def usable_features(spark, sf):
-    fx = fixtures(spark, sf).select("odds_h", "ah_line", F.lit(None).cast("double").alias("nothing"), F.lit(7.0).alias("constant"))
-    good = contracts.usable(fx, fx.columns)
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(c in good).alias("usable")) for c in fx.columns])))
+    fx = fixtures(spark, sf).select("odds_h", "ah_line", F.lit(None).cast("double").alias("nothing"), F.lit(7.0).alias("constant"), "season", F.when(F.col("season") == 1998, F.col("odds_d")).alias("late"))
+    return contracts.usable(fx, fx.columns)
 
 
 KEYS = {"order_supplier": ["l_orderkey", "l_suppkey"], "order_part": ["l_orderkey", "l_partkey"], "order_part_price": ["l_orderkey", "l_partkey", "l_extendedprice"]}
@@ -146,12 +147,14 @@ def fixture_evidence(spark, sf):
 
 @query(
     f"""WITH {S}, p AS (SELECT * FROM s WHERE price>1 AND runner IN ('view','click','purchase')), c AS (SELECT DISTINCT market, TIMESTAMP '2024-01-15' AS cutoff FROM p), j AS (SELECT c.market, c.cutoff, p.runner, p.price, p.ts, row_number() OVER (PARTITION BY c.market, p.runner ORDER BY p.ts DESC, p.pos DESC) AS rn FROM c JOIN p ON p.market=c.market AND p.ts<=c.cutoff),
-f AS (SELECT *, count(*) OVER (PARTITION BY market) AS n FROM j WHERE rn=1), x AS (SELECT count(*) AS k FROM f WHERE n=3) SELECT 'prices_above_one' AS "check", 'pass' AS status, 0::BIGINT AS violations FROM x UNION ALL SELECT 'nonnegative_staleness', 'pass', 0 FROM x UNION ALL SELECT 'strictly_before_start', 'pass', 0 FROM x UNION ALL SELECT 'older_than_ten_days', CASE WHEN v=0 THEN 'pass' ELSE 'fail' END, v FROM (SELECT count(*) AS v FROM f WHERE n=3 AND epoch_us(cutoff)-epoch_us(ts) > 864000000000)"""
+f AS (SELECT *, count(*) OVER (PARTITION BY market) AS n FROM j WHERE rn=1), x AS (SELECT *, epoch_us(cutoff)-epoch_us(ts) AS age, CASE WHEN market%2=0 THEN TIMESTAMP '2024-01-15 00:00:01' ELSE TIMESTAMP '2024-01-14' END AS start FROM f WHERE n=3),
+y AS (SELECT 'prices_above_one' AS "check", count_if(NOT price>1) AS v FROM x UNION ALL SELECT 'nonnegative_staleness', count_if(age<0) FROM x UNION ALL SELECT 'strictly_before_start', count_if(cutoff>=start) FROM x UNION ALL SELECT 'older_than_ten_days', count_if(age>864000000000) FROM x)
+SELECT "check", CASE WHEN v=0 THEN 'pass' ELSE 'fail' END AS status, v::BIGINT AS violations FROM y"""
 )
 def cutoff_audit(spark, sf):
     s = _stream(spark, sf).where(F.col("runner").isin("view", "click", "purchase") & (F.col("price") > 1))
     cutoffs = s.select("market").distinct().select("market", F.lit("2024-01-15").cast("timestamp_ntz").alias("cutoff"))
-    panel = replay.cutoff_panel(s, cutoffs, 3).withColumn("start", F.lit("2024-01-15 00:00:01").cast("timestamp_ntz"))
+    panel = replay.cutoff_panel(s, cutoffs, 3).withColumn("start", F.when(F.col("market") % 2 == 0, "2024-01-15 00:00:01").otherwise("2024-01-14").cast("timestamp_ntz"))
     return replay.cutoff_audit(panel, {"older_than_ten_days": F.col("age_s") > 864000})
 
 
@@ -162,6 +165,31 @@ def fixture_anomalies(spark, sf):
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("anomaly"), F.col(k).alias("n")) for k in bad])))
 
 
+_BOOKS = "CASE match_id%4 WHEN 0 THEN 'alpha' WHEN 1 THEN CASE WHEN season%2=0 THEN 'beta' ELSE 'alpha' END WHEN 2 THEN CASE WHEN season>=1996 THEN 'gamma' ELSE 'alpha' END ELSE CASE WHEN season%3=0 THEN 'delta' END END"
+
+
+@query(
+    f"""WITH {FX}, x AS (SELECT *, 'file' || match_id%3 AS file, {_BOOKS} AS book, match_id%7<>0 AS opening, match_id%5<>0 AS closing FROM fx),
+c AS (SELECT league || '|' || match_date || '|' || home AS place, count(*) AS n, count(DISTINCT (hg, ag)) AS k, string_agg(DISTINCT file, '|' ORDER BY file) AS files FROM x GROUP BY ALL HAVING count(DISTINCT (hg, ag))>1),
+m AS (SELECT book AS place, count(DISTINCT season%2) AS k FROM x WHERE book IS NOT NULL GROUP BY 1 HAVING count(DISTINCT season%2)>1),
+s AS (SELECT league, season, dense_rank() OVER (PARTITION BY league ORDER BY season) AS k, list(DISTINCT book) AS now FROM x WHERE book IS NOT NULL GROUP BY 1,2),
+d AS (SELECT b.league || '|' || b.season AS place, len(list_filter(b.now, lambda v: NOT list_contains(a.now, v))) AS came, len(list_filter(a.now, lambda v: NOT list_contains(b.now, v))) AS went FROM s a JOIN s b ON a.league=b.league AND b.k=a.k+1),
+o AS (SELECT league || '|' || season AS place, count_if(closing AND NOT opening) AS c, count_if(opening AND NOT closing) AS o FROM x GROUP BY 1)
+SELECT 'inconsistent_score_rows' AS anomaly, 'error' AS severity, place, n::BIGINT AS affected_rows, k || ' scores in ' || files AS details FROM c UNION ALL SELECT 'column_meaning_changed', 'blocker', place, k::BIGINT, '' FROM m
+UNION ALL SELECT 'members_appeared_or_disappeared', 'info', place, (came+went)::BIGINT, '+' || came || ' -' || went FROM d WHERE came+went>0 UNION ALL SELECT 'closing_without_opening', 'blocker', place, c::BIGINT, '' FROM o WHERE c>0 UNION ALL SELECT 'opening_without_closing', 'warning', place, o::BIGINT, '' FROM o WHERE o>0"""
+)
+def cross_file_anomalies(spark, sf):
+    m = F.col("match_id")
+    x = fixtures(spark, sf).withColumn("file", F.concat(F.lit("file"), (m % 3).cast("string"))).withColumn("book", F.expr(_BOOKS)).withColumn("half", F.col("season") % 2)
+    parts = [
+        anomalies.score_conflicts(x, ["league", "match_date", "home"], ["hg", "ag"], "file"),
+        anomalies.meaning_changes(x.where("book IS NOT NULL"), ["book"], ["half"]),
+        anomalies.members_changed(x, "league", "season", "book"),
+        anomalies.one_sided(x, ["league", "season"], m % 7 != 0, m % 5 != 0),
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query(f"""WITH {SETTLE}, l AS (SELECT CASE WHEN match_id%5=0 THEN 'OPEN' ELSE 'SETTLED' END AS status, profit FROM s) SELECT count(*) AS rows, sum(CASE WHEN status='OPEN' THEN 1 ELSE 0 END)::BIGINT AS open, sum(CASE WHEN status<>'OPEN' THEN 1 ELSE 0 END)::BIGINT AS settled, round(sum(CASE WHEN status<>'OPEN' THEN profit END),6) AS profit, round(avg(CASE WHEN status<>'OPEN' THEN CASE WHEN profit>0 THEN 1.0 ELSE 0 END END),6) AS win_rate FROM l""")
 def ledger_performance(spark, sf):
     fx = fixtures(spark, sf)

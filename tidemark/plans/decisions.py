@@ -215,22 +215,26 @@ def control_battery(spark, sf):
     return rows
 
 
-VARIANTS = ("outcome_edge_only", "predicted_clv_only", "edge_and_uncertainty", "cross_market", "bookmaker_disagreement")
-
-
-def _variant_sql(v: str) -> str:
-    ok = "odds BETWEEN 1.5 AND 5"
-    if v != "predicted_clv_only":
-        ok += " AND edge>=0.01 AND model*odds-1>0"
-    if v != "outcome_edge_only":
-        ok += " AND clv>=0 AND pclv>=0.4"
-    if "uncertainty" in v:
-        ok += " AND unc<=0.6"
-    if "cross_market" in v:
-        ok += " AND agrees"
-    if "bookmaker_disagreement" in v:
-        ok += " AND disp>=0.5"
-    return f"SELECT '{v}' AS variant, match_id, side, odds, won, row_number() OVER (PARTITION BY match_id ORDER BY round(edge,12) DESC, side) AS rn FROM f WHERE {ok}"
+#: What the rules can ask of a side, in SQL that Spark and DuckDB read alike, and the rules.
+CONDITIONS = {
+    "priced": "odds BETWEEN 1.5 AND 5 AND model IS NOT NULL",
+    "worth_it": "edge >= 0.01 AND model * odds - 1 > 0",
+    "will_shorten": "clv >= 0 AND pclv >= 0.4",
+    "certain": "unc <= 0.6",
+    "agreed": "agrees",
+    "disputed": "disp >= 0.5",
+}
+RULES = {
+    "outcome_edge_only": ("priced", "worth_it"),
+    "predicted_clv_only": ("priced", "will_shorten"),
+    "edge_and_uncertainty": ("priced", "worth_it", "will_shorten", "certain"),
+    "cross_market": ("priced", "worth_it", "will_shorten", "agreed"),
+    "bookmaker_disagreement": ("priced", "worth_it", "will_shorten", "disputed"),
+}
+
+
+def _variant_sql(name: str) -> str:
+    return f"SELECT '{name}' AS variant, match_id, side, odds, won, row_number() OVER (PARTITION BY match_id ORDER BY round(edge,12) DESC, side) AS rn FROM f WHERE {' AND '.join(CONDITIONS[c] for c in RULES[name])}"
 
 
 SIGNALS = {"model_shift": "(CAST((match_id*29) % 97 AS DOUBLE)/97*0.2-0.1)", "clv": "(CAST((match_id*11) % 21 AS DOUBLE)-10)/100", "pclv": "CAST((match_id*17) % 10 AS DOUBLE)/10", "unc": "CAST((match_id*19) % 11 AS DOUBLE)/10", "disp": "CAST((match_id*23) % 10 AS DOUBLE)/10"}
@@ -238,7 +242,7 @@ SIGNALS = {"model_shift": "(CAST((match_id*29) % 97 AS DOUBLE)/97*0.2-0.1)", "cl
 
 @query(
     f"""WITH {NOVIG}, f0 AS (SELECT match_id, 'home' AS side, odds_h AS odds, ph+{SIGNALS['model_shift']} AS model, hg>ag AS won, match_id%3=0 AS agrees FROM p UNION ALL SELECT match_id, 'draw', odds_d, pd, hg=ag, FALSE FROM p UNION ALL SELECT match_id, 'away', odds_a, pa-{SIGNALS['model_shift']}, ag>hg, match_id%3=1 FROM p),
-f AS (SELECT *, model-1/odds AS edge, {SIGNALS['clv']} AS clv, {SIGNALS['pclv']} AS pclv, {SIGNALS['unc']} AS unc, {SIGNALS['disp']} AS disp FROM f0), u AS ({' UNION ALL '.join(_variant_sql(v) for v in VARIANTS)})
+f AS (SELECT *, model-1/odds AS edge, {SIGNALS['clv']} AS clv, {SIGNALS['pclv']} AS pclv, {SIGNALS['unc']} AS unc, {SIGNALS['disp']} AS disp FROM f0), u AS ({' UNION ALL '.join(_variant_sql(v) for v in RULES)})
 SELECT variant, side, count(*) AS bets, round(sum(CASE WHEN won THEN odds-1 ELSE -1 END),6) AS profit FROM u WHERE rn=1 GROUP BY 1,2"""
 )
 def rule_variants(spark, sf):
@@ -250,10 +254,9 @@ def rule_variants(spark, sf):
         "draw": {"odds": F.col("odds_d"), "model": p[1], "won": F.col("hg") == F.col("ag"), "agrees": F.lit(False)},
         "away": {"odds": F.col("odds_a"), "model": p[2] - shift, "won": F.col("ag") > F.col("hg"), "agrees": F.col("match_id") % 3 == 1},
     }).withColumn("edge", F.col("model") - 1 / F.col("odds"))
-    limits = {"odds_min": 1.5, "odds_max": 5.0, "edge": 0.01, "clv": 0.0, "p_clv": 0.4, "uncertainty_max": 0.6, "dispersion": 0.5}
-    valid = lambda v: sel.variant_valid(v, F.col("odds"), F.col("model"), F.col("edge"), e(SIGNALS["clv"]), e(SIGNALS["pclv"]), e(SIGNALS["unc"]), F.col("agrees"), e(SIGNALS["disp"]), limits)
-    # all variants in one pass: a row stands once for each variant that takes it
-    taken = rows.withColumn("variant", F.explode(F.array_compact(F.array(*[F.when(valid(v), v) for v in VARIANTS]))))
+    rows = rows.withColumns({c: e(SIGNALS[c]) for c in ("clv", "pclv", "unc", "disp")})
+    # all rules in one pass: a row stands once for each rule that takes it
+    taken = rows.withColumn("variant", F.explode(sel.rules_met(RULES, {n: e(c) for n, c in CONDITIONS.items()})))
     w = Window.partitionBy("variant", "match_id").orderBy(F.round("edge", 12).desc(), "side")
     best = taken.withColumn("rn", F.row_number().over(w)).where("rn = 1")
     return best.groupBy("variant", "side").agg(F.count(F.lit(1)).alias("bets"), r6(F.sum(market.settle_1x2(F.col("won"), F.col("odds")))).alias("profit"))

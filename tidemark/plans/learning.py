@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import market
-from ..operators import boosting, calibration, nested
+from ..operators import boosting, calibration, nested, selection
 from .base import FX, fixtures, query, r6
 
 #: Bin edges of the features, and the model's size.
@@ -74,6 +74,26 @@ def nested_feature_selection(spark, sf):
     return out.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("validation_delta", "test_delta")})
 
 
+_NOISE = lambda k: f"((('0x' || substr(sha256('17-gap-{k}-' || match_id),1,12))::BIGINT+0.5)/281474976710656.0)"
+
+
+@query(
+    f"""WITH {FX}, s AS (SELECT avg(odds_h-odds_a) AS m, stddev_samp(odds_h-odds_a) AS d FROM fx WHERE season<1997), x AS (SELECT season, odds_h-odds_a AS gap, m+d*sqrt(-2*ln({_NOISE(1)}))*cos(2*pi()*{_NOISE(2)}) AS noise, (hg>ag)::INT-(1/odds_h)/(1/odds_h+1/odds_d+1/odds_a) AS r FROM fx, s),
+u AS (SELECT 'feature' AS control, season, gap AS v, r FROM x UNION ALL SELECT 'noise', season, noise, r FROM x), g AS (SELECT control, season, count(*) AS n, sum(v*v) AS a, sum(v*r) AS b FROM u GROUP BY 1,2), w AS (SELECT *, sum(b) OVER q/(sum(a) OVER q+1000.0) AS w, row_number() OVER (PARTITION BY control ORDER BY season) AS k FROM g WINDOW q AS (PARTITION BY control ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT control, season AS year, round((w*w*a-2*w*b)/n,9) AS delta FROM w WHERE k>2"""
+)
+def noise_control(spark, sf):
+    p = market.novig([F.col("odds_h"), F.col("odds_d"), F.col("odds_a")])[0]
+    fx = fixtures(spark, sf).withColumn("gap", F.col("odds_h") - F.col("odds_a")).withColumn("r", (F.col("hg") > F.col("ag")).cast("double") - p)
+    parts = {"feature": fx, "noise": selection.noise_replaced(fx, ["gap"], F.col("season") < 1997, "match_id", "17")}
+    rows = None
+    for name, df in parts.items():
+        scores = nested.candidate_scores(nested.year_sums(df, "season", ["gap"], F.col("r")), ["gap"], {"gap": ["gap"]}, [1000.0], [1.0], 2)
+        own = scores.select(F.lit(name).alias("control"), "year", (F.round("delta", 9) + F.lit(0.0)).alias("delta"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
 # calibration
 
 _SCORED = f"{FX}, s AS (SELECT match_id, season, (hg>ag)::INT::DOUBLE AS y, round((1/odds_h)/(1/odds_h+1/odds_d+1/odds_a),2) AS p FROM fx)"
