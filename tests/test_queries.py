@@ -39,6 +39,7 @@ WITHOUT_SQL = {
     "elo_ratings": lambda g, c: len(g) == len(set(column(g, c, "match_id"))) and all(0 < p < 1 for p in column(g, c, "p_home")),
     "dynamic_scoreline": lambda g, c: all(0.15 <= v <= 4.5 for n in ("rate_home", "rate_away") for v in column(g, c, n)) and min(column(g, c, "prior_matches")) == 0,
     "fuzzy_candidates": lambda g, c: all(s >= 0.78 for s in column(g, c, "score")) and max(column(g, c, "rank")) <= 3,
+    "club_candidates": lambda g, c: len(g) > 0 and max(column(g, c, "rank")) <= 3 and all(s >= 0.68 or d or k for s, d, k in zip(*(column(g, c, n) for n in ("score", "direct", "contains")))),
     "ml_logistic": lambda g, c: len(g) > 0 and all(0 < p < 1 for p in column(g, c, "p")) and len(set(column(g, c, "p"))) > 10,
 }
 

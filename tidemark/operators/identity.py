@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -140,6 +141,52 @@ def fuzzy_candidates(names: DataFrame, registry: DataFrame, cutoff: float = 0.78
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 
+# What the parts of a club candidate's score add, and the least score of one that no alias speaks for.
+SAME_COMPETITION, DIRECT_ALIAS, NAME_TOKEN, LEAST_SCORE = 0.12, 0.18, 0.06, 0.68
+
+
+def composite_candidates(teams: DataFrame, clubs: DataFrame, forms: list[Callable[[Column], Column]], top: int = 8) -> DataFrame:
+    """team, club, same_competition, direct, contains, similarity, score, rank: at most `top` clubs for each team.
+
+    teams: team, competition; clubs: club, competition. forms: spellings of a name, the first with spaces between its words
+    and the last with club words dropped. similarity is the largest ratio of the same form of both (an empty form is like nothing); direct: some form of
+    one is some form of the other; contains: the team's first or last form is a word of the club's first. Those without
+    either need a score of LEAST_SCORE. Own competition first, then by score, then by name.
+
+    A pair can only count if a form is alike enough for the score (close_pairs, which loses none), a form is shared, or a
+    word: three joins on equal values, of which the union is scored.
+    """
+    t = teams.select("team", "competition", *[f(F.col("team")).alias(f"f{i}") for i, f in enumerate(forms)]).distinct()
+    c = clubs.select("club", F.col("competition").alias("own"), *[f(F.col("club")).alias(f"g{i}") for i, f in enumerate(forms)]).distinct()
+    n, last = len(forms), len(forms) - 1
+    spelt = lambda side: F.array_distinct(F.filter(F.array(*[F.col(f"{side}{i}") for i in range(n)]), lambda x: x != ""))
+    words = F.filter(F.split("g0", " "), lambda x: x != "")
+    parts = [
+        t.select("team", F.explode(spelt("f")).alias("x")).join(c.select("club", F.explode(spelt("g")).alias("x")), "x").select("team", "club"),
+        t.select("team", F.explode(F.array_distinct(F.array("f0", f"f{last}"))).alias("x")).join(c.select("club", F.explode(words).alias("x")), "x").select("team", "club"),
+    ]
+    for i in range(n):
+        a, b = t.select("team", F.col(f"f{i}").alias("a"), F.lit("").alias("block")), c.select("club", F.col(f"g{i}").alias("b"), F.lit("").alias("block"))
+        met = close_pairs(a, b, LEAST_SCORE - SAME_COMPETITION - 0.00005).drop("block")
+        parts.append(met.join(a, "a").join(b, "b").select("team", "club"))
+    pairs = functools.reduce(DataFrame.unionByName, parts).distinct().join(t, "team").join(c, "club")
+    direct = F.arrays_overlap(spelt("f"), spelt("g"))
+    contains = F.coalesce((F.col("f0") != "") & F.array_contains(words, F.col("f0")), F.lit(False)) | F.coalesce((F.col(f"f{last}") != "") & F.array_contains(words, F.col(f"f{last}")), F.lit(False))
+
+    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from difflib import SequenceMatcher
+
+        for b in batches:
+            yield b[["team", "club", "same_competition", "direct", "contains"]].assign(similarity=[max(SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in ((getattr(r, f"f{i}"), getattr(r, f"g{i}")) for i in range(n))) for r in b.itertuples()])
+
+    flagged = pairs.withColumn("same_competition", F.coalesce(F.col("own") == F.col("competition"), F.lit(False))).withColumn("direct", direct).withColumn("contains", contains)
+    alike = flagged.mapInPandas(ratios, "team string, club string, same_competition boolean, direct boolean, contains boolean, similarity double")
+    bonus = lambda flag, x: F.when(F.col(flag), x).otherwise(0.0)
+    scored = alike.withColumn("score", F.round(F.col("similarity") + bonus("same_competition", SAME_COMPETITION) + bonus("direct", DIRECT_ALIAS) + bonus("contains", NAME_TOKEN), 4)).withColumn("similarity", F.round("similarity", 4))
+    w = Window.partitionBy("team").orderBy(F.desc("same_competition"), F.desc("score"), "club")
+    return scored.where(F.col("direct") | F.col("contains") | (F.col("score") >= LEAST_SCORE)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
 def best_with_margin(scored: DataFrame, least: float = 0.80, margin: float = 0.04) -> DataFrame:
     """The top candidate of a name, if good enough and clear of the second."""
     w = Window.partitionBy("name").orderBy(F.desc("score"), "candidate")

@@ -383,6 +383,13 @@ def fuzzy_candidates(spark, sf):
     return identity.fuzzy_candidates(p, p, itself=False)
 
 
+@query()
+def club_candidates(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_name").alias("team"), F.col("p_brand").alias("competition")).distinct()
+    s = table(spark, sf, "part").select(F.concat(F.col("p_name"), F.lit(" fc")).alias("club"), F.col("p_brand").alias("competition")).distinct()
+    return identity.composite_candidates(p, s, [text.name_player, lambda x: text.name_compact(x), text.name_spaced], 3)
+
+
 @query(f"WITH {FX} SELECT home AS team, round(avg(hg),6) AS gf, count(*) AS n FROM fx GROUP BY 1")
 def home_attack(spark, sf):
     return sides(fixtures(spark, sf)).where("is_home").groupBy("team").agg(r6(F.avg("gf")).alias("gf"), F.count(F.lit(1)).alias("n"))
