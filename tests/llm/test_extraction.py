@@ -19,6 +19,28 @@ def test_boxes_of_a_known_role_go_wherever_they_stand(name, outer):
     assert extraction.extract(f"<html><body><nav><a href=x>h</a></nav>{outer % (BODY + box)}</body></html>") == TEXT
 
 
+LEAKED = "usercomments cmt-list feedback-thread responses thread talkback Guestbook kommentare commentaires see-also post-meta tags-list toolbox paywall author-bio related-posts social-links ad-slot-2 comments-area"
+ABOUT = "discussion search-engines share-prices related-work reviews notice-period story-of-the-ads social-history comment-on-law colophon"
+
+
+@pytest.mark.parametrize("name", LEAKED.split())
+@pytest.mark.parametrize("outer", ["<article>%s</article>", "<div id=main>%s</div>"])
+def test_other_names_of_boxes_go_too(name, outer):
+    box = f"<div class='{name}'><p>{'junk said the reader at length ' * 20}</p></div>"
+    assert extraction.extract(f"<html><body>{outer % (BODY + box)}</body></html>") == TEXT
+
+
+@pytest.mark.parametrize("name", ABOUT.split())
+def test_names_that_are_about_something_keep_their_text(name):
+    part = f"<div class='{name}' id='{name}'><p>{'a part of the article ' * 20}</p></div>"
+    assert extraction.extract(f"<html><body><article>{BODY}{part}</article></body></html>") == f"{TEXT} {('a part of the article ' * 20).strip()}"
+
+
+def test_formulas_and_field_sets_of_the_article_stay():
+    more = "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p><fieldset><p>framed words of the text</p></fieldset>"
+    assert extraction.extract(f"<body><article>{BODY}{more}</article></body>") == f"{TEXT} so x=2 holds framed words of the text"
+
+
 def test_links_inside_the_article_stay():
     links = "<ul><li><a href=1>one</a><li><a href=2>two</a></ul>"
     assert extraction.extract(f"<body><article>{BODY}{links}</article>{links}</body>") == f"{TEXT} one two"

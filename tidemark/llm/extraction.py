@@ -23,18 +23,30 @@ from pyspark.sql import functions as F
 
 # Fixed values of HTML and of common page roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg annotation".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img nobr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img nobr "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover semantics".split()
 )
-DROPPED_TAGS = frozenset("nav footer aside form button select menu dialog object canvas audio video map applet head datalist optgroup option fieldset marquee".split())
+DROPPED_TAGS = frozenset("nav footer aside form button select menu dialog object canvas audio video map applet head datalist optgroup option marquee".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
 DROPPED_WORDS = frozenset(
-    "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promoted promotion sidebar aside menu submenu nav navbar navigation breadcrumb breadcrumbs "
-    "footer foot masthead topbar comment comments commentlist discussion disqus replies reply respond reviews cookie cookies consent gdpr notice notices disclaimer newsletter subscribe signup "
-    "popup modal overlay share sharing social related recommended recommendations widget widgets login signin search pagination pager toolbar copyright skip hidden colophon".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored promo promos promoted promotion sidebar aside menu submenu nav navbar navigation breadcrumb "
+    "breadcrumbs footer foot masthead topbar comment comments commentlist commentary disqus replies reply respond responses thread threads talkback guestbook cmt cmts kommentar kommentare commentaire commentaires "
+    "comentario comentarios commenti cookie cookies consent gdpr notice notices disclaimer newsletter subscribe signup popup modal overlay paywall share sharing social related recommended recommendations "
+    "widget widgets login signin search pagination pager toolbar toolbox tags copyright skip hidden".split()
 )
-DROPPED_PAIRS = frozenset({("site", "info"), ("user", "review"), ("customer", "review"), ("reader", "review"), ("user", "rating"), ("user", "ratings")})
+DROPPED_PAIRS = frozenset(
+    {("site", "info"), ("user", "review"), ("customer", "review"), ("reader", "review"), ("user", "reviews"), ("customer", "reviews"), ("reader", "reviews"), ("user", "rating"), ("user", "ratings")}
+    | {("see", "also"), ("read", "next"), ("post", "meta"), ("entry", "meta"), ("article", "meta"), ("author", "bio"), ("author", "box"), ("reader", "feedback"), ("user", "feedback"), ("user", "discussion"), ("reader", "discussion")}
+)
+# Words that say what kind of box a role has, and so may follow the word that names it.
+BOXES = frozenset(
+    "list lists box boxes section sections area wrap wrapper container holder block blocks panel panels bar bars button buttons link links item items icon icons slot slots unit units zone top bottom left right inner outer "
+    "module modules feed title heading header count media posts post articles article stories story content news topics videos products form field text body row col column group toggle cloud main".split()
+)
+LITTLE = frozenset("of on in for to from by and or the a an at as about with".split())  # a name with one inside is a phrase, not a role
+RUN_TOGETHER = ("comments", "commentlist", "sidebar", "navbar", "newsletter", "advertisement")  # ends of names without breaks
 NEGATIONS = frozenset("has with no without not".split())  # has-sidebar tells what a box holds, not what it is
 LAYOUT = frozenset("wrap wrapper container layout grid".split())
 CONTENT_WORDS = frozenset("content article post entry body story text".split())
@@ -62,8 +74,11 @@ class Node:
 
 
 def _role(name: str, tag: str, in_article: bool) -> bool:
-    """Whether one class or id says that its element is no content. Every word of the name counts, so that a content word
-    beside a dropped one (article-comments, post-notice) saves nothing; only an article's own header is excused."""
+    """Whether one class or id says that its element is no content.
+
+    The word that names the box decides: article-comments and comment-list are comments, search-engines and notice-period
+    are about engines and a period. A name that is a phrase (story-of-the-ads) is none; of headers an article's own is excused.
+    """
     words = [w for w in _NAME.split(name) if w]
     words = [w.lower() for w in words]
     if not words or words[0] in NEGATIONS:
@@ -72,7 +87,14 @@ def _role(name: str, tag: str, in_article: bool) -> bool:
         return not OTHER_ARTICLES.isdisjoint(words)
     if words[-1] in LAYOUT and words[0] in CONTENT_WORDS:
         return False  # a box around the content and what is beside it
-    if not DROPPED_WORDS.isdisjoint(words) or not DROPPED_PAIRS.isdisjoint(zip(words, words[1:])):
+    if not LITTLE.isdisjoint(words[1:-1]):
+        return False
+    if not DROPPED_PAIRS.isdisjoint(zip(words, words[1:])):
+        return True
+    head = len(words)  # the word that names the box: the last that does not only say what kind of box it is
+    while head > 1 and (words[head - 1] in BOXES or words[head - 1].isdigit()):
+        head -= 1
+    if words[head - 1] in DROPPED_WORDS or words[head - 1].endswith(RUN_TOGETHER):
         return True
     return "header" in words and not (in_article and (len(words) == 1 or not ARTICLE_HEADERS.isdisjoint(words)))
 
