@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm import language
+from pyspark.sql import functions as F
+
+from tidemark.llm import base, language
 from tidemark.llm.extraction import extract
 
 SCHEMA = "page_id long, url string, html string, lang string"
@@ -73,3 +75,12 @@ def test_long_repeated_and_tied_pages(spark):
     rows = [(1, "http://x.yy/", "<p>" + "qqq www " * 40_000 + "</p>", "x")] * 2 + [(2, "http://x.yy/", "", "x")]
     got = language.identify(spark.createDataFrame(rows, SCHEMA), docs).collect()
     assert Counter(r.page_id for r in got) == {1: 2, 2: 1} and {r.lang for r in got} == {"aa"} and all(math.isclose(r.posterior, 0.5) for r in got)
+
+
+@pytest.mark.parametrize("most", [1, 3, 10, 1000])
+def test_attaching_is_a_left_join_however_keys_are_served(spark, most):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(300)], "i int, k string").repartition(5)
+    right = spark.createDataFrame([("hot", 200.0, "h"), *[(f"k{i}", 1.0, f"v{i}") for i in range(0, 150, 6)]], "k string, n double, v string")
+    got = base.attach(left, right, "k", F.col("n"), most)
+    assert got.columns == ["i", "k", "n", "v"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, "k", "left").select("i", "k", "n", "v").collect()), key=str)

@@ -82,6 +82,26 @@ def few(keys: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge")
 
 
+def attach(left: DataFrame, right: DataFrame, key: str, weight: Column, most: int = 20_000) -> DataFrame:
+    """left with right's columns where its key has them (right has a row a key): a left join that no key can crowd.
+
+    weight: how many rows of left have the key, of which only the proportions count. Keys with over one `most`-th of all
+    weight are fewer than `most`, so they are broadcast; every other key is a small part of a merge join.
+    """
+    own = [c for c in right.columns if c != key]
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), key, "left").select(*left.columns, *own)
+    bar = (right.agg(F.sum(weight)).first()[0] or 0.0) / most
+    heavy = right.where(weight > bar).select(key, F.struct(*own).alias("__heavy"))
+    light = right.where(~(weight > bar)).select(F.col(key).cast("string").alias("__key"), F.struct(*own).alias("__light"))
+    out = left.join(F.broadcast(heavy), key, "left")
+    # rows that are served already, and those without a key, are spread over the tasks of the merge join
+    away = F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 100_003).cast("string"))
+    out = out.withColumn("__key", F.when(F.col(key).isNotNull() & F.col("__heavy").isNull(), F.col(key).cast("string")).otherwise(away))
+    out = out.join(light.hint("merge"), "__key", "left")
+    return out.select(*left.columns, *[F.coalesce(F.col(f"__heavy.{c}"), F.col(f"__light.{c}")).alias(c) for c in own])
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import scratch, written
+from .base import attach, scratch, written
 from .extraction import extract
 
 BUCKETS = 1 << 14  # of letter trigrams; the models' size, whatever the corpus'
@@ -145,7 +145,9 @@ def identify(pages: DataFrame, docs: DataFrame, temper: float = 60.0, strength:
         return F.when(F.col(f"{key}_n").isNotNull(), of).otherwise(none)
 
     none = F.array(*[F.lit(0.0)] * n)
-    out = seen.join(hosts, "host", "left").join(given("declared"), "declared", "left").join(given("suffix"), "suffix", "left")
+    out = attach(seen, hosts, "host", add_up(F.col("host_n")))
+    for key in ("declared", "suffix"):
+        out = attach(out, given(key), key, add_up(F.col(f"{key}_n")))
     out = out.withColumn("domain_p", shrink(others(F.col("domain_n")), corpus)).withColumn("host_p", shrink(others(F.col("host_n")), F.col("domain_p")))
     out = out.withColumn("declared_ll", evidence("declared")).withColumn("suffix_ll", evidence("suffix"))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
