@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.operators import models
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +18,9 @@ def test_memory_is_every_other_row(spark):
     want = {int(i): y[np.argsort(-row, kind="stable")[:5]].mean() for i, row in zip(ids, s)}
     got = {r.vec_id: r.memory_value for r in entry.queries()["knn_memory"](spark, SF).collect()}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_blocks_of_both_sides_give_the_same(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS v", "cast(label AS double) AS value")
+    whole, blocks = ({r.id: r.memory_value for r in models.memory_values(e, e, 5, block=b).collect()} for b in (4096, 60))
+    assert whole == pytest.approx(blocks, abs=1e-12) and len(whole) == e.count()

@@ -44,11 +44,14 @@ def memory_values(queries: DataFrame, memory: DataFrame, k: int = 5, beta: float
     """id and the mean (or softmax(beta * cosine) weighted mean) value of the k most similar memory rows.
 
     queries: id, v (array<double>); memory: id, v, value; a query's own id is no memory. Both sides are dealt into
-    blocks, each pair of blocks keeps k rows per query, and the blocks' best are merged. NULL with an empty memory.
+    blocks; a task holds one block of either side, which keeps k rows per query, and the blocks' best are merged. The search is
+    exact, so its work is queries times memory. NULL with an empty memory.
     """
-    n = max(1, -(-memory.count() // block))
-    m = memory.select("id", "v", "value", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
-    q = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    n, asks = (max(1, -(-side.count() // block)) for side in (memory, queries))
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    m = memory.select("id", "v", "value", own(n).alias("b"), every(asks).alias("a"))
+    q = queries.select("id", "v", own(asks).alias("a"), every(n).alias("b"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -58,16 +61,16 @@ def memory_values(queries: DataFrame, memory: DataFrame, k: int = 5, beta: float
         x, y = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300) for z in (x, y))
         ids, mids, values, found = a["id"].to_numpy(), b["id"].to_numpy(), b["value"].to_numpy(), []
         for at in range(0, len(a), 512):  # so that no more than 512 x block similarities are held
-            own = ids[at : at + 512]
+            mine = ids[at : at + 512]
             s = np.round(x[at : at + 512] @ y.T, 9)  # as alike as nine places tell
-            s[own[:, None] == mids[None, :]] = -np.inf
+            s[mine[:, None] == mids[None, :]] = -np.inf
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(own)), top.shape[1])
-            found.append(pd.DataFrame({"id": own[rows], "sim": s[rows, top.ravel()], "value": values[top.ravel()], "mid": mids[top.ravel()]}))
+            rows = np.repeat(np.arange(len(mine)), top.shape[1])
+            found.append(pd.DataFrame({"id": mine[rows], "sim": s[rows, top.ravel()], "value": values[top.ravel()], "mid": mids[top.ravel()]}))
         out = pd.concat(found)
         return out[np.isfinite(out["sim"])]
 
-    near = q.groupBy("b").cogroup(m.groupBy("b")).applyInPandas(run, "id long, sim double, value double, mid long")
+    near = q.groupBy("a", "b").cogroup(m.groupBy("a", "b")).applyInPandas(run, "id long, sim double, value double, mid long")
     best = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", (-F.col("mid")).alias("o"), "value")), False), 1, k).alias("top"))
     weight = (lambda s: F.exp(F.lit(beta) * (s["sim"] - F.col("top")[0]["sim"]))) if beta is not None else (lambda s: F.lit(1.0))
     total = F.aggregate(F.transform("top", weight), F.lit(0.0), lambda a, x: a + x)
