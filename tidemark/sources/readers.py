@@ -37,8 +37,10 @@ def csv_strict(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 def csv_flexible(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows that fit, and a one-row count of those that were skipped."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt"), rows.agg(F.count("_corrupt").alias("skipped"))
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path)
+    # a row is known to be malformed once all of its fields have been read
+    read = F.xxhash64(*[f.name for f in schema.fields])
+    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt"), rows.agg(F.count(F.when(F.col("_corrupt").isNotNull(), read)).alias("skipped"))
 
 
 def csv_resilient(spark: SparkSession, path: str) -> DataFrame:
