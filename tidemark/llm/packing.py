@@ -308,3 +308,23 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), block: int = 4
     rows = examples.select("example_id", F.col("n_tokens").cast("double"), F.col("n_loss").cast("double"))
     kind = examples.schema["example_id"].dataType.simpleString()
     return rows.mapInArrow(_whole(limits, block), f"example_id {kind}, n_tokens bigint, n_loss bigint, sequence_id bigint, offset bigint")
+
+
+def _counted(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n = [len(ids) // 4 + 1 for ids in encode.all([t or "" for t in part.column(2).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64())], names=["example_id", "bears_loss", "n"])
+
+    return run
+
+
+def instruction_examples(conversations: DataFrame, tokenizer_path: str, learnt: str = "assistant") -> DataFrame:
+    """example_id, n_tokens, n_loss of each conversation (conv_id, role, text): a turn is its ids and an end id, and those of the
+    role `learnt` bear loss. A null text is the end id alone, a null role bears none, a null conv_id is an example too."""
+    rows = conversations.select(F.col("conv_id").cast("long"), F.coalesce(F.col("role") == learnt, F.lit(False)), F.col("text").cast("string"))
+    counted = rows.mapInArrow(_counted(tokenizer_path), "example_id bigint, bears_loss boolean, n bigint")
+    return counted.groupBy("example_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("bears_loss"), F.col("n")).otherwise(0)).alias("n_loss"))

@@ -57,6 +57,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations uncut, under limits that pull apart: tokens, conversations and tokens of the assistant."""
+    examples = packing.instruction_examples(table(spark, sf_dir, "conversations"), tokenizer_path())
+    return packing.pack_examples(examples, packing.Limits(tokens=4096, segments=16, loss=2048))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -94,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op11_conversation_repair": op11_conversation_repair,
     "op12_best_fit": op12_best_fit,
     "op13_divergence": op13_divergence,
+    "instruction_packing": instruction_packing,
 }
 
 ORACLES: dict[str, str] = {
