@@ -27,7 +27,7 @@ def plain(v):
     return str(v)[:19] if hasattr(v, "isoformat") else v
 
 
-LLM = [k for k in entry.queries() if k.startswith("op") or k == "pipeline"]
+LLM = [k for k in entry.queries() if k.startswith("op") or k in ("pipeline", "instruction_packing")]
 
 
 def column(got, cols, name):
