@@ -87,7 +87,7 @@ def best_side(rows: DataFrame, key: str, valid: Column, edge: str = "edge") -> D
 
 
 def rules_met(rules: dict[str, tuple[str, ...]], conditions: dict[str, Column]) -> Column:
-    """The names of the rules all of whose conditions hold of a row; an unknown condition does not hold.
+    """The names of the rules all of whose conditions hold of a row; a condition that is NULL does not hold.
 
     rules: name to the names of its conditions; conditions: what each of those asks. A rule is data: a new one is a new
     entry, and no name has a meaning.
