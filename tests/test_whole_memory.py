@@ -17,7 +17,10 @@ def test_memory_is_every_other_row(spark):
     np.fill_diagonal(s, -np.inf)
     want = {int(i): y[np.argsort(-row, kind="stable")[:5]].mean() for i, row in zip(ids, s)}
     got = {r.vec_id: r.memory_value for r in entry.queries()["knn_memory"](spark, SF).collect()}
-    assert got == pytest.approx(want, abs=2e-6)
+    assert got == pytest.approx({i: v for i, v in want.items() if i % 50 == 0}, abs=2e-6)
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS v", "cast(label AS double) AS value")
+    every = {r.id: r.memory_value for r in models.memory_values(e, e, 5).collect()}
+    assert every == pytest.approx(want, abs=2e-6)
 
 
 def test_blocks_of_both_sides_give_the_same(spark):

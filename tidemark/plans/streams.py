@@ -96,12 +96,12 @@ def request_plan(spark, sf):
 
 
 @query(
-    """WITH m AS (SELECT vec_id, embedding::DOUBLE[] e, label FROM embeddings), s AS (SELECT q.vec_id, m.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e,m.e),9) DESC, m.vec_id) AS rn FROM m q, m WHERE q.vec_id<>m.vec_id)
+    """WITH m AS (SELECT vec_id, embedding::DOUBLE[] e, label FROM embeddings), s AS (SELECT q.vec_id, m.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e,m.e),9) DESC, m.vec_id) AS rn FROM m q, m WHERE q.vec_id<>m.vec_id AND q.vec_id%50=0)
 SELECT vec_id, round(avg(label),6) AS memory_value FROM s WHERE rn<=5 GROUP BY 1"""
 )
 def knn_memory(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("double").alias("value"))
-    out = models.memory_values(e, e, 5)
+    out = models.memory_values(e.where("id % 50 = 0"), e, 5)  # a search asks for every fiftieth id, against all rows
     return out.select(F.col("id").alias("vec_id"), r6("memory_value").alias("memory_value"))
 
 
