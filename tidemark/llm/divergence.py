@@ -46,6 +46,7 @@ COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 def _counter(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
+        size = 0  # counts held, a group counting as one more
 
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, docs) in held.items():
@@ -58,12 +59,17 @@ def _counter(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 for lang, source, raw in zip(*(part.column(k).to_pylist() for k in range(3))):
-                    n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                    terms = raw.translate(_FOLD).split()
+                    if (found := held.get((lang, source))) is None:
+                        found, size = (Counter(), Counter()), size + 1
+                        held[lang, source] = found
+                    n, docs = found
+                    terms, before = raw.translate(_FOLD).split(), len(n)
                     n.update(terms)
                     docs.update(set(terms))
-                if sum(len(n) for n, _ in held.values()) > most:
+                    size += len(n) - before
+                if size > most:
                     yield from flush()
+                    size = 0
         yield from flush()
 
     return run
