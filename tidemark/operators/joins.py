@@ -94,35 +94,60 @@ def change_intervals(changes: DataFrame, keys: list[str], start: str) -> DataFra
     return changes.withColumn("valid_to", F.lead(start).over(Window.partitionBy(*keys).orderBy(start)))
 
 
+def _micros(at: str) -> Column:
+    return F.unix_micros(F.col(at).cast("timestamp"))
+
+
+def _within(left: DataFrame, right: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """keys, __t and, within +-seconds of it, __lefts and __rights, how many rows, and __rt, the last right time; both sides have keys and __t.
+
+    No pair is formed: rows of a time are counted first, then numbers are differences of two running sums. A time stands in
+    the spans of `seconds` before and after its own, so a key is as many sorted runs as it has spans.
+    """
+    one = lambda df, n: df.select(*keys, "__t", F.lit(n).alias("l"), F.lit(1 - n).alias("r")).dropna(subset=[*keys, "__t"])
+    times = one(left, 1).unionByName(one(right, 0)).groupBy(*keys, "__t").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    us = max(1, int(seconds * 1_000_000))
+    span = F.expr(f"(__t - pmod(__t, {us})) div {us}")
+    dealt = times.withColumn("__d", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("__span", span + F.col("__d"))
+    w = Window.partitionBy(*keys, "__span").orderBy("__t")
+    upto, before = w.rangeBetween(Window.unboundedPreceding, int(seconds * 1_000_000)), w.rangeBetween(Window.unboundedPreceding, -int(seconds * 1_000_000) - 1)
+    near = lambda n: F.sum(n).over(upto) - F.coalesce(F.sum(n).over(before), F.lit(0))
+    out = dealt.select(*keys, "__t", "__d", near("l").alias("__lefts"), near("r").alias("__rights"), F.max(F.when(F.col("r") > 0, F.col("__t"))).over(upto).alias("__rt"))
+    return out.where("__d = 0").drop("__d")
+
+
+def _alone(df: DataFrame, times: DataFrame, keys: list[str], near: str, row_id: str) -> DataFrame:
+    """Rows whose id has one partner in all."""
+    met = df.join(times.where(F.col(near) > 0), [*keys, "__t"])
+    return met.withColumn("__n", F.sum(near).over(Window.partitionBy(row_id))).where("__n = 1").drop("__n", near)
+
+
 def tolerance_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, seconds: int, left_id: str) -> DataFrame:
     """Left rows joined to the only right row of the key within +-seconds; rows with several candidates are rejected.
 
-    Times are bucketed by the tolerance and the right side stands in three buckets, so that the join is an equality.
+    Candidates are counted, not listed: only a row that has one is joined to it, by key and time.
     """
-    sec = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
-    l = left.withColumn("__b", F.floor(sec(left_ts) / seconds))  # noqa: E741
-    r = right.withColumn("__b", F.explode(F.array(*[F.floor(sec(right_ts) / seconds) + d for d in (-1, 0, 1)])))
-    near = l.join(r, [key, "__b"]).where(F.abs(sec(left_ts) - sec(right_ts)) <= seconds).drop("__b")
-    return near.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(left_id))).where("__n = 1").drop("__n")
+    l, r = left.withColumn("__t", _micros(left_ts)), right.withColumn("__t", _micros(right_ts))  # noqa: E741
+    times = _within(l, r, [key], seconds).select(key, "__t", "__rights", "__rt")
+    return _alone(l, times, [key], "__rights", left_id).drop("__t").join(r.withColumnRenamed("__t", "__rt"), [key, "__rt"]).drop("__rt")
 
 
 def pair_tolerance_join(left: DataFrame, right: DataFrame, pair: tuple[str, str], left_ts: str, right_ts: str, seconds: int, left_id: str, right_id: str) -> DataFrame:
     """Left and right rows of the same two parties, in either order, within +-seconds, where each is the other's only match.
 
     A row with several partners is in conflict and leaves, and so do its partners' pairs with it. Adds swapped: whether the
-    right side has the parties the other way round. Rows with a missing party or time match nothing.
+    right side has the parties the other way round. Rows with a missing party or time match nothing. Partners are counted,
+    not listed, as in tolerance_join.
     """
     sides = F.array_sort(F.array(*[F.col(c).cast("string") for c in pair]))
     key = F.when(F.col(pair[0]).isNotNull() & F.col(pair[1]).isNotNull(), sides)
-    l = left.withColumn("__pair", key).where("__pair IS NOT NULL")  # noqa: E741
-    r = right.select(F.col(right_id), F.col(right_ts), key.alias("__pair"), F.col(pair[0]).alias("__first"), *[c for c in right.columns if c not in (right_id, right_ts, *pair)]).where("__pair IS NOT NULL")
-    sec = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
-    l = l.withColumn("__b", F.floor(sec(left_ts) / seconds))  # noqa: E741
-    r = r.withColumn("__b", F.explode(F.array(*[F.floor(sec(right_ts) / seconds) + d for d in (-1, 0, 1)])))
-    near = l.join(r, ["__pair", "__b"]).where(F.abs(sec(left_ts) - sec(right_ts)) <= seconds)
-    alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
-    near = near.withColumn("__l", alone(left_id)).withColumn("__r", alone(right_id)).where("__l = 1 AND __r = 1")
-    return near.withColumn("swapped", F.col("__first") != F.col(pair[0])).drop("__pair", "__b", "__first", "__l", "__r")
+    l = left.withColumn("__pair", key).withColumn("__t", _micros(left_ts))  # noqa: E741
+    r = right.select(F.col(right_id), F.col(right_ts), key.alias("__pair"), F.col(pair[0]).alias("__first"), *[c for c in right.columns if c not in (right_id, right_ts, *pair)]).withColumn("__t", _micros(right_ts))
+    times = _within(l, r, ["__pair"], seconds)
+    lone = _alone(l, times.select("__pair", "__t", "__rights", "__rt"), ["__pair"], "__rights", left_id).drop("__t")
+    other = _alone(r, times.select("__pair", "__t", "__lefts"), ["__pair"], "__lefts", right_id).withColumnRenamed("__t", "__rt")
+    both = lone.join(other, ["__pair", "__rt"])
+    return both.withColumn("swapped", F.col("__first") != F.col(pair[0])).drop("__pair", "__rt", "__first")
 
 
 def trailing_join(left: DataFrame, events: DataFrame, key: str, date: str, event_date: str, days: int) -> DataFrame:
