@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.operators import joins
+from tidemark.operators import joins, state
 
 T0 = datetime(1969, 12, 31, 12)
 
@@ -52,3 +52,35 @@ def test_crowded_times_make_no_pairs(spark):
     for df in (joins.pair_tolerance_join(l, r, ("h", "a"), "t", "u", 60, "id", "other"), joins.tolerance_join(l.drop("a"), r.withColumnRenamed("h", "g").withColumnRenamed("a", "h").drop("g"), "h", "t", "u", 60, "id")):
         rows, most = _joined(df)
         assert rows == [] and most <= 2 * n  # all pairs: 90,000
+
+
+@pytest.mark.parametrize("kind", ["scoreline"])
+def test_scans_hold_a_batch_and_not_a_league(spark, kind):
+    """The same rows from batches of 64 as from one, with leagues, teams and scores missing; no plan step takes a league whole."""
+    rng = random.Random(7)
+    some = lambda *v: rng.choice([*v, *v, *v, *v, None])
+    teams = (lambda: (some("a", "b", "c"), some("d", "e", "f"))) if kind == "elo" else lambda: (rng.choice("abc"), rng.choice("def"))
+    rows = [(i, some("x", "x", "y", "z"), (T0 + timedelta(days=rng.randint(1, 900))).date(), *teams(), some(0, 1, 2), some(0, 1, 3)) for i in range(1500)]
+    m = spark.createDataFrame(rows, "match_id long, league string, match_date date, home string, away string, hg int, ag int").repartition(5)
+    got = []
+    for n in (64, 100_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            out = getattr(state, kind)(m)
+            got.append(sorted((tuple(r) for r in out.collect()), key=str))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" in plan and "FlatMapGroups" not in plan
+    assert got[0] == got[1] and len(got[0]) == (4 * len(rows) if kind == "scoreline" else sum(None not in r[3:5] for r in rows))
+    if kind == "elo":  # the recursion over the leagues written out
+        rating, want = {}, []
+        for i, lg, _, h, a, hg, ag in sorted(rows, key=lambda r: (r[2], r[0])):
+            if None not in (h, a):
+                x, y = rating.get((lg, h), 1500.0), rating.get((lg, a), 1500.0)
+                p = 1 / (1 + 10 ** ((y - x - 60) / 400))
+                want.append((i, x, y, p))
+                if None not in (hg, ag):
+                    s = 20 * ((1.0 if hg > ag else 0.5 if hg == ag else 0.0) - p)
+                    rating[lg, h], rating[lg, a] = x + s, y - s
+        assert {r[0]: r[1:] for r in got[0]} == {r[0]: pytest.approx(r[1:], abs=1e-9) for r in want}

@@ -3,12 +3,34 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _scan(rows: DataFrame, key: str, order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
+    """Rows of each key in order (nulls last) through step(state, batch); a key's state comes from start().
+
+    Spark sorts; a worker holds one batch and the state of one key, never a key's rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, None
+        for pdf in batches:
+            for own, part in pdf.groupby(key, sort=False, dropna=False):
+                now = (None if pd.isna(own) else own,)
+                if now != at:
+                    at, held = now, start()
+                out = step(held, part)
+                if len(out):
+                    yield out
+
+    by = [key, *order]
+    return rows.repartition(key).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in by]).mapInPandas(run, schema)
+
+
 def elo(matches: DataFrame, league: str = "league", start: float = 1500.0, k: float = 20.0, advantage: float = 60.0) -> DataFrame:
     """Ratings before each match, updated after it, per league: match_id, home_elo_pre, away_elo_pre, p_home.
 
@@ -43,33 +65,35 @@ def scoreline(matches: DataFrame, league: str = "league", candidates: tuple = CA
 
     match_id, candidate, rho, prior_matches (fewer of the two teams'), rate_home, rate_away, uncertainty, home_staleness and
     away_staleness (days since a team's last match, NULL before its first). Predict, then update; a missing score updates
-    nothing. State crosses the teams of a league, so a league and candidate is one ordered scan; they run side by side.
+    nothing. State crosses the teams of a league, so a league is one ordered scan, which carries all candidates along; leagues
+    run side by side.
     """
-    plan = F.array(*[F.struct(F.lit(n).alias("candidate"), F.lit(d).alias("decay"), F.lit(w).alias("prior"), F.lit(r).alias("rho")) for n, d, w, r in candidates])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, decay, prior, rho = pdf[["candidate", "decay", "prior", "rho"]].iloc[0]
-        team: dict[int, tuple[float, float, float, int, int]] = {}  # goals for, against, weight, last day, matches
-        sums, n, out = [0.0, 0.0], 0, []
-        for m in pdf.sort_values(["match_date", "home", "away", "match_id"], kind="stable").itertuples():
-            day = pd.Timestamp(m.match_date).toordinal()
-            now = []
-            for t in (m.home, m.away):
-                f, a, w, last, k = team.get(t, (0.0, 0.0, 0.0, None, 0))
-                keep = 1.0 if last is None else math.exp(-decay * max(0, day - last) / 365.25)
-                now.append((f * keep, a * keep, w * keep, last, k))
-            base = [(s + p * prior) / (n + prior) for s, p in zip(sums, (PRIOR_HOME, PRIOR_AWAY))]
-            (hf, ha, hw, hl, hk), (af, aa, aw, al, ak) = now
-            attack = (hf + base[0] * prior) / (hw + prior), (af + base[1] * prior) / (aw + prior)
-            defence = (ha + base[1] * prior) / (hw + prior), (aa + base[0] * prior) / (aw + prior)
-            rates = [min(max(attack[i] * defence[1 - i] / max(base[i], 0.2), low), high) for i in (0, 1)]
-            stale = [None if last is None else day - last for last in (hl, al)]
-            out.append((m.match_id, name, rho, min(hk, ak), *rates, 1 / math.sqrt(hw + 1) + 1 / math.sqrt(aw + 1), *stale))
-            if not (pd.isna(m.hg) or pd.isna(m.ag)):
-                for t, own, f, a in ((m.home, now[0], m.hg, m.ag), (m.away, now[1], m.ag, m.hg)):
-                    team[t] = (own[0] + f, own[1] + a, own[2] + 1, day, own[4] + 1)
-                sums, n = [sums[0] + m.hg, sums[1] + m.ag], n + 1
+    def start() -> list:
+        return [[{}, [0.0, 0.0], 0] for _ in candidates]  # teams: goals for, against, weight, last day, matches; goals and matches of all
+
+    def step(held: list, pdf: pd.DataFrame) -> pd.DataFrame:
+        known, days, out = (pdf["hg"].notna() & pdf["ag"].notna()).tolist(), [pd.Timestamp(d).toordinal() for d in pdf["match_date"]], []
+        for m, played, day in zip(pdf.itertuples(), known, days):
+            for own, (name, decay, prior, rho) in zip(held, candidates):
+                team, sums, n = own
+                now = []
+                for t in (m.home, m.away):
+                    f, a, w, last, k = team.get(t, (0.0, 0.0, 0.0, None, 0))
+                    keep = 1.0 if last is None else math.exp(-decay * max(0, day - last) / 365.25)
+                    now.append((f * keep, a * keep, w * keep, last, k))
+                base = [(s + p * prior) / (n + prior) for s, p in zip(sums, (PRIOR_HOME, PRIOR_AWAY))]
+                (hf, ha, hw, hl, hk), (af, aa, aw, al, ak) = now
+                attack = (hf + base[0] * prior) / (hw + prior), (af + base[1] * prior) / (aw + prior)
+                defence = (ha + base[1] * prior) / (hw + prior), (aa + base[0] * prior) / (aw + prior)
+                rates = [min(max(attack[i] * defence[1 - i] / max(base[i], 0.2), low), high) for i in (0, 1)]
+                stale = [None if last is None else day - last for last in (hl, al)]
+                out.append((m.match_id, name, rho, min(hk, ak), *rates, 1 / math.sqrt(hw + 1) + 1 / math.sqrt(aw + 1), *stale))
+                if played:
+                    for t, was, f, a in ((m.home, now[0], m.hg, m.ag), (m.away, now[1], m.ag, m.hg)):
+                        team[t] = (was[0] + f, was[1] + a, was[2] + 1, day, was[4] + 1)
+                    own[1], own[2] = [sums[0] + m.hg, sums[1] + m.ag], n + 1
         return pd.DataFrame(out, columns=["match_id", "candidate", "rho", "prior_matches", "rate_home", "rate_away", "uncertainty", "home_staleness", "away_staleness"]).astype({"home_staleness": "Int64", "away_staleness": "Int64"})
 
-    rows = matches.select(league, "match_id", "match_date", "home", "away", "hg", "ag", F.explode(plan).alias("c")).select(league, "match_id", "match_date", "home", "away", "hg", "ag", "c.*")
-    return rows.groupBy(league, "candidate").applyInPandas(run, "match_id long, candidate string, rho double, prior_matches long, rate_home double, rate_away double, uncertainty double, home_staleness long, away_staleness long")
+    rows = matches.select(league, "match_id", "match_date", "home", "away", "hg", "ag")
+    return _scan(rows, league, ["match_date", "home", "away", "match_id"], start, step, "match_id long, candidate string, rho double, prior_matches long, rate_home double, rate_away double, uncertainty double, home_staleness long, away_staleness long")
