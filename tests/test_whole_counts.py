@@ -54,7 +54,7 @@ def test_crowded_times_make_no_pairs(spark):
         assert rows == [] and most <= 2 * n  # all pairs: 90,000
 
 
-@pytest.mark.parametrize("kind", ["scoreline"])
+@pytest.mark.parametrize("kind", ["elo", "scoreline"])
 def test_scans_hold_a_batch_and_not_a_league(spark, kind):
     """The same rows from batches of 64 as from one, with leagues, teams and scores missing; no plan step takes a league whole."""
     rng = random.Random(7)

@@ -38,21 +38,20 @@ def elo(matches: DataFrame, league: str = "league", start: float = 1500.0, k: fl
     teams, so a league is one ordered scan; leagues run in parallel.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rating: dict[int, float] = {}
-        out = []
-        for m in pdf.sort_values(["match_date", "match_id"], kind="stable").itertuples():
-            if pd.isna(m.home) or pd.isna(m.away):
-                continue
+    def step(rating: dict[int, float], pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["home"].notna() & pdf["away"].notna()]
+        known, out = (pdf["hg"].notna() & pdf["ag"].notna()).tolist(), []
+        for m, played in zip(pdf.itertuples(), known):
             h, a = rating.get(m.home, start), rating.get(m.away, start)
             p = 1 / (1 + 10 ** ((a - h - advantage) / 400))
             out.append((m.match_id, h, a, p))
-            if not (pd.isna(m.hg) or pd.isna(m.ag)):
+            if played:
                 s = 1.0 if m.hg > m.ag else 0.5 if m.hg == m.ag else 0.0
                 rating[m.home], rating[m.away] = h + k * (s - p), a - k * (s - p)
         return pd.DataFrame(out, columns=["match_id", "home_elo_pre", "away_elo_pre", "p_home"])
 
-    return matches.select(league, "match_id", "match_date", "home", "away", "hg", "ag").groupBy(league).applyInPandas(run, "match_id long, home_elo_pre double, away_elo_pre double, p_home double")
+    rows = matches.select(league, "match_id", "match_date", "home", "away", "hg", "ag")
+    return _scan(rows, league, ["match_date", "match_id"], dict, step, "match_id long, home_elo_pre double, away_elo_pre double, p_home double")
 
 
 # Name, decay a year, weight of the prior and low-score correction of the candidates, and the prior's goals.
