@@ -5,7 +5,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.operators import joins, state
+import __spark_entry__ as entry
+from tidemark.operators import identity, joins, state
 
 T0 = datetime(1969, 12, 31, 12)
 
@@ -84,3 +85,23 @@ def test_scans_hold_a_batch_and_not_a_league(spark, kind):
                     s = 20 * ((1.0 if hg > ag else 0.5 if hg == ag else 0.0) - p)
                     rating[lg, h], rating[lg, a] = x + s, y - s
         assert {r[0]: r[1:] for r in got[0]} == {r[0]: pytest.approx(r[1:], abs=1e-9) for r in want}
+
+
+def test_conflicts_equal_sets_written_out(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([*range(150), None]), rng.choice([0, 1, 1, 2, None]), rng.choice(["x", "x", "x", "y", None]), rng.choice([1, 1, 1, 2])) for _ in range(600)]
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == k]
+        top = min((r[1] for r in own if r[1] is not None), default=None)
+        n, t = len({r[2:] for r in own}), len({r[2:] for r in own if r[1] == top and top is not None})
+        want[k] = (len(own), n, "none" if n <= 1 else "resolved_by_source_priority" if t <= 1 else "quarantined")
+    got = identity.conflict_status(spark.createDataFrame(rows, "k int, p int, v string, w int").repartition(4), ["k"], "p", ["v", "w"])
+    assert {r.k: (r.n_rows, r.n_variants, r.status) for r in got.collect()} == want and len(set(x[2] for x in want.values())) == 3
+    assert {r.k: r.status for r in got.select("k", "status").collect()} == {k: x[2] for k, x in want.items()}
+
+
+def test_conflict_status_shuffles_its_rows_once(spark):
+    df = entry.queries()["dedup_conflict_status"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 1

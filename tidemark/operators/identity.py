@@ -22,11 +22,16 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def conflict_status(df: DataFrame, keys: list[str], priority: str, variant: list[str]) -> DataFrame:
-    """keys + n_rows, n_variants and status: none, resolved_by_source_priority, or quarantined if the top source itself disagrees."""
+    """keys + n_rows, n_variants and status: none, resolved_by_source_priority, or quarantined if the top source itself disagrees.
+
+    The status asks whether variants differ, which the smallest and the largest tell: one shuffle and one sort by the keys.
+    n_variants is the only distinct count, made where it is asked for.
+    """
     v = F.struct(*variant)
-    top = F.min(priority).over(Window.partitionBy(*keys))
-    g = df.withColumn("__top", F.col(priority) == top).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(v).alias("n_variants"), F.count_distinct(F.when(F.col("__top"), v)).alias("__t"))
-    status = F.when(F.col("n_variants") <= 1, "none").when(F.col("__t") <= 1, "resolved_by_source_priority").otherwise("quarantined")
+    topped = df.select(*keys, *[c for c in dict.fromkeys([priority, *variant]) if c not in keys], F.min(priority).over(Window.partitionBy(*keys)).alias("__top"))
+    own = F.when(F.col(priority) == F.col("__top"), v)
+    g = topped.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(v).alias("n_variants"), F.min(v).eqNullSafe(F.max(v)).alias("__same"), F.min(own).eqNullSafe(F.max(own)).alias("__t"))
+    status = F.when(F.col("__same"), "none").when(F.col("__t"), "resolved_by_source_priority").otherwise("quarantined")
     return g.select(*keys, "n_rows", "n_variants", status.alias("status"))
 
 
