@@ -224,6 +224,19 @@ def test_repeats_match_brute_force(spark, hot):
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, 100)
 
 
+def test_op6_takes_repeats_of_400_bytes_and_no_shorter_ones(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+    passage = lambda n: (" ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(n // 7 + 1)) + "x" * 7)[:n]
+    passages = [passage(n) for n in (394, 399, 400, 401)]
+    assert all(len(p.split()) > 50 for p in passages)
+    texts = [f"{text(300)}{k}{i}{p}{i}{k}{text(300)}" for k, p in enumerate(passages) for i in "yz"] + [None]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op6_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_spans(texts, 400)
+    assert [got[i][:2] for i in range(len(texts))] == [(len(t or ""), n) for t, n in zip(texts, [0, 0, 0, 0, 400, 400, 401, 401, 0])]
+
+
 def test_pipeline_removes_repeated_passages_of_over_fifty_words(spark):
     rng = random.Random(8)
     text = lambda n, most=9: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, most))) for _ in range(n))
