@@ -1,5 +1,6 @@
 """The memory is every other row."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -17,7 +18,7 @@ def test_memory_is_every_other_row(spark):
     np.fill_diagonal(s, -np.inf)
     want = {int(i): y[np.argsort(-row, kind="stable")[:5]].mean() for i, row in zip(ids, s)}
     got = {r.vec_id: r.memory_value for r in entry.queries()["knn_memory"](spark, SF).collect()}
-    assert got == pytest.approx({i: v for i, v in want.items() if i % 50 == 0}, abs=2e-6)
+    assert got == pytest.approx(want, abs=2e-6)
     e = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS v", "cast(label AS double) AS value")
     every = {r.id: r.memory_value for r in models.memory_values(e, e, 5).collect()}
     assert every == pytest.approx(want, abs=2e-6)
@@ -27,3 +28,11 @@ def test_blocks_of_both_sides_give_the_same(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS v", "cast(label AS double) AS value")
     whole, blocks = ({r.id: r.memory_value for r in models.memory_values(e, e, 5, block=b).collect()} for b in (4096, 60))
     assert whole == pytest.approx(blocks, abs=1e-12) and len(whole) == e.count()
+
+
+def test_query_and_its_sql_answer_every_row(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    want = dict(db.execute(entry.oracle_sql()["knn_memory"]).fetchall())
+    assert set(want) == {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.vec_id: r.memory_value for r in entry.queries()["knn_memory"](spark, SF).collect()} == want
