@@ -100,7 +100,7 @@ def request_plan(spark, sf):
 SELECT vec_id, round(avg(label),6) AS memory_value FROM s WHERE rn<=5 GROUP BY 1"""
 )
 def knn_memory(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("double").alias("value"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").cast("double").alias("value"))
     out = models.memory_values(e, e, 5)
     return out.select(F.col("id").alias("vec_id"), r6("memory_value").alias("memory_value"))
 
